@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common
+from . import bpe, common, media, mix
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a stored image, and what the stored bytes say about it."""
+    common.small_batches(spark)
+    folder = common.shared_folder(spark, "media")
+    docs = common.table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload")
+    )
+    index = common.settled(media.store(docs, folder), "media-index")
+    places = media.canonical(index)
+    stored = media.read_back(places, folder).join(media.headers(places, folder), "digest")
+    return index.select("doc_id", "n_bytes", "digest").join(stored, "digest").drop("digest")
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes from every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix.mix(docs)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op8_media": op8_media, "op9_mix": op9_mix}
 ORACLE_SQL: dict[str, str] = {}
