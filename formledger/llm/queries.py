@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, media, mix
+from . import bpe, common, media, mix, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +41,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_media": op8_media, "op9_mix": op9_mix}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; rows of one fold are never fitted on."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op8_media": op8_media, "op9_mix": op9_mix}
 ORACLE_SQL: dict[str, str] = {}
