@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, media, mix, toxicity
+from . import bpe, common, graph_ann, media, mix, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector."""
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_ann.search(vectors, lambda vec_id: F.pmod(vec_id, F.lit(50)) == 0)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a stored image, and what the stored bytes say about it."""
     common.small_batches(spark)
@@ -50,5 +56,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op8_media": op8_media, "op9_mix": op9_mix}
+QUERIES = {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
 ORACLE_SQL: dict[str, str] = {}
