@@ -38,7 +38,7 @@ WIDTH = 64
 SHARD_BYTES = 64 << 20  #: a shard is closed when it holds more
 HEAD = 33  #: fixed by the format: signature, length and type of the first chunk, its 13 bytes and checksum
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-LEVEL = 1
+LEVEL = 6
 
 
 def payload(text: Column) -> Column:
