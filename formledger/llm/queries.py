@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, media, mix, toxicity
+from . import bpe, common, graph_ann, jaccard, media, mix, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by links of three-word shingles at 90 of 100."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.join(docs, k=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; rows of one fold are never fitted on."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,5 +62,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
+QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
 ORACLE_SQL: dict[str, str] = {}
