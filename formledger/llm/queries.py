@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, jaccard, media, mix, toxicity
+from . import bpe, common, graph_ann, html_text, jaccard, media, mix, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,13 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(docs)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    common.small_batches(spark)
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by links of three-word shingles at 90 of 100."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -62,5 +69,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
 ORACLE_SQL: dict[str, str] = {}
