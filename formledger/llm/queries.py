@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, html_text, jaccard, media, mix, toxicity
+from . import bpe, common, graph_ann, html_text, jaccard, media, mix, secrets, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +69,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of every document."""
+    found = secrets.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.listed("assign", "access", "hex")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.listed("assign", "access", "hex", "random").alias("spans"),
+    )
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
