@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, html_text, jaccard, media, mix, secrets, toxicity
+from . import bpe, common, graph_ann, html_text, jaccard, media, mix, pii, secrets, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    return pii.pseudonymised(common.table(spark, sf_dir, "documents"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found of every fiftieth vector."""
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -81,5 +86,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
