@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, html_text, jaccard, media, mix, pii, secrets, toxicity
+from . import bpe, common, graph_ann, html_text, jaccard, licenses, media, mix, pii, secrets, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document: its own, or that of the nearest folder above; folders are source, thousand and hundred of ids."""
+    docs = common.table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path"))).withColumnRenamed("id", "doc_id")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by links of three-word shingles at 90 of 100."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,5 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.oracle("coalesce(source, '') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id"),
+}
