@@ -69,7 +69,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents by links of three-word shingles at 90 of 100."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard.join(docs, k=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+    return jaccard.join(docs, k=3, num=90, den=100).withColumnRenamed("id", "doc_id").drop("digest")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
