@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import audits, profiles, reports, runs
+
+QUERIES = {**profiles.QUERIES, **audits.QUERIES, **runs.QUERIES, **reports.QUERIES}
+ORACLE_SQL = {**profiles.ORACLE_SQL, **audits.ORACLE_SQL, **runs.ORACLE_SQL, **reports.ORACLE_SQL}
