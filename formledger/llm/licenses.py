@@ -82,8 +82,12 @@ def own(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: floa
     known = F.broadcast(spark.createDataFrame(idf, "term string, idf double"))
     templates = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, w double"))
     t = F.col(text)
-    hit = docs.where(F.regexp_like(t, F.lit(SIGNS))).select(_key(t), common.words(t).alias("words"), F.explode(units(t)).alias("unit")).distinct()
-    hit = hit.select("key", "words", F.xxhash64("unit").alias("u"), common.words(F.col("unit")).alias("unit_words"), F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))).alias("term"))
+    # what belongs to a whole text or unit is computed before its parts become rows
+    texts = docs.where(F.regexp_like(t, F.lit(SIGNS))).select(_key(t), common.words(t).alias("words"), units(t).alias("units")).dropDuplicates(["key"])
+    unit = texts.select("key", "words", F.explode("units").alias("unit"))
+    terms = F.regexp_extract_all(F.lower("unit"), F.lit(TERM), F.lit(0))
+    hit = unit.select("key", "words", F.xxhash64("unit").alias("u"), common.words(F.col("unit")).alias("unit_words"), terms.alias("terms"))
+    hit = hit.select("key", "words", "u", "unit_words", F.explode("terms").alias("term"))
     counts = hit.groupBy("key", "words", "u", "unit_words", "term").agg(F.count("*").alias("c"))
     weighed = counts.join(known, "term", "left").withColumn("v", F.col("c") * F.coalesce("idf", F.lit(other)))
     length = weighed.groupBy("key", "u").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
