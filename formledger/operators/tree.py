@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def reachable(nodes: DataFrame, roots: list[str], limit: int = 64) -> DataFrame:
     """doc_id, path of the nodes under the roots; each round joins the frontier with its children, whatever a document's shape."""
-    edges = nodes.select("doc_id", F.col("parent_path").alias("up"), "path")
+    edges = nodes.select(F.col("doc_id").alias("d"), F.col("parent_path").alias("up"), F.col("path").alias("below"))
     frontier = nodes.where(F.col("path").isin(roots)).select("doc_id", "path").distinct()
     found = frontier
     for _ in range(limit):
-        frontier = frontier.join(edges, (frontier["doc_id"] == edges["doc_id"]) & (frontier["path"] == edges["up"])).select(edges["doc_id"], edges["path"]).distinct()
-        frontier = frontier.join(found, ["doc_id", "path"], "left_anti").persist()
+        down = frontier.join(edges, (F.col("doc_id") == F.col("d")) & (F.col("path") == F.col("up"))).select(F.col("d").alias("doc_id"), F.col("below").alias("path")).distinct()
+        frontier = down.join(found, ["doc_id", "path"], "left_anti").persist()
         if not frontier.take(1):
             break
         found = found.unionByName(frontier)

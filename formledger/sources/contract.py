@@ -12,7 +12,12 @@ REGISTRY = "slot string, data_type string, unit string, nullable boolean, enum_v
 def slots(spark: SparkSession, path: str) -> DataFrame:
     """role_kind, category, slot, requirement from JSON lines of roles."""
     roles = spark.read.schema(CONTRACT).json(path)
-    kinds = [F.transform(F.coalesce(f"{k}_slots", F.array().cast("array<string>")), lambda s, k=k: F.struct(s.alias("slot"), F.lit(k).alias("requirement"))) for k in ("required", "optional", "forbidden")]
+
+    def marked(kind: str):
+        of = F.coalesce(f"{kind}_slots", F.array().cast("array<string>"))
+        return F.transform(of, lambda s: F.struct(s.alias("slot"), F.lit(kind).alias("requirement")))
+
+    kinds = [marked(k) for k in ("required", "optional", "forbidden")]
     return roles.select("role_kind", "category", F.explode(F.concat(*kinds)).alias("s")).select("role_kind", "category", "s.slot", "s.requirement")
 
 
