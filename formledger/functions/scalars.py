@@ -311,3 +311,44 @@ def native_projection(properties: Column) -> Column:
 
 def review_state(required: Column, status: Column, open_items: Column) -> Column:
     return F.when(~F.coalesce(required, F.lit(False)), "not_required").when(status == "blocked", "blocked").when((status == "pending") | (open_items > 0), "pending").otherwise("cleared")
+
+
+def selected_action_hash(action: Column) -> Column:
+    """Hash of a decision's action (a struct) without its own hash, who decided and when."""
+    return F.sha2(F.to_json(action.dropFields("selected_action_sha256", "decided_by", "decided_at")), 256)
+
+
+def viewer(name: Column) -> Column:
+    low = F.lower(F.trim(name))
+    return F.when(low.contains("wps"), "wps").when(low.contains("word"), "word")
+
+
+BLOCKING = ("sectPr", "tbl", "hdr", "ftr", "fld", "sdt", "numPr", "style")  #: elements whose warnings block
+
+
+def warning_severity(target: Column) -> Column:
+    low = F.lower(F.coalesce(target, F.lit("")))
+    hit = F.lit(False)
+    for token in BLOCKING:
+        hit = hit | low.contains(token.lower())
+    return F.when(hit, "blocking").otherwise("advisory")
+
+
+def outcome_ok(exit_code: Column, success: Column, severities: Column) -> Column:
+    """Exit 0, or a success whose warnings are all advisory."""
+    return F.coalesce(exit_code == 0, F.lit(False)) | (F.coalesce(success, F.lit(False)) & F.forall(severities, lambda s: s == "advisory"))
+
+
+def rule_path_problem(path: Column) -> Column:
+    """Why a path is no place for a rule package, or null."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return (
+        F.when(path_problem(path).isNotNull(), path_problem(path))
+        .when(plain.rlike("(^|/)format_runs/[^/]+/rules(/|$)|(^|/)format_rules(/|$)"), "path_retired")
+        .when(~F.element_at(F.split(plain, "/"), -1).rlike(NAME), "rule_id_pattern")
+    )
+
+
+def final_name_ok(name: Column) -> Column:
+    """Names of final files: a base, the word final, a number."""
+    return name.rlike(r"^[^/\\\\]+_final_v[0-9]+\.docx$")

@@ -102,3 +102,53 @@ def replays(results: DataFrame, key: str, order: str, content: str) -> DataFrame
     first = F.first(content).over(Window.partitionBy(key).orderBy(order))
     nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return results.withColumn("append", F.when(nth == 1, "first").when(F.col(content).eqNullSafe(first), "replay").otherwise("conflict"))
+
+
+def latest(plans: DataFrame, run: str, *order: Column) -> DataFrame:
+    """The last plan of each run, by time and then by number (never by name)."""
+    nth = F.row_number().over(Window.partitionBy(run).orderBy(*[o.desc_nulls_last() for o in order]))
+    return plans.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+#: What a run's status may become.
+TRANSITIONS = (("running", "done"), ("running", "retryable_failure"), ("running", "failed"), ("done", "executed_ready"), ("retryable_failure", "running"), ("executed_ready", "review_ready"))
+
+
+def bad_transitions(log: DataFrame, run: str, order: str, status: str, allowed: tuple = TRANSITIONS) -> DataFrame:
+    """Entries whose status may not follow the one before; the first entry of a run may be any."""
+    before = F.lag(status).over(Window.partitionBy(run).orderBy(order))
+    step = F.concat_ws(">", "source_status", status)
+    return log.withColumn("source_status", before).where(F.col("source_status").isNotNull() & ~step.isin([f"{a}>{b}" for a, b in allowed]))
+
+
+def open_batches(batches: DataFrame, done: DataFrame, key: str = "batch_id") -> DataFrame:
+    """Batches that a resumed run still has to do."""
+    return batches.join(done.select(key).distinct(), key, "left_anti")
+
+
+def missing_results(results: DataFrame, run: str, order: str) -> DataFrame:
+    """run, order: gaps in the numbers of a run's results up to its last."""
+    spans = results.groupBy(run).agg(F.max(order).alias("last"))
+    want = spans.select(run, F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias(order))
+    return want.join(results.select(run, F.col(order).cast("int").alias(order)).distinct(), [run, order], "left_anti")
+
+
+def resume_decision() -> Column:
+    """What to do with a run, from chain_valid, failure_kind, contract_valid, next_kind, agrees and remaining; the first that holds decides."""
+    c = F.col
+    return (
+        F.when(~c("chain_valid") & (c("failure_kind") == "missing"), "synthesize_failure")
+        .when(~c("chain_valid"), "manual_recover")
+        .when(~c("contract_valid"), "blocked")
+        .when(c("next_kind") == "wait_user", "wait_user")
+        .when((c("next_kind") == "retry") & (c("remaining") <= 0), "blocked")
+        .when(~c("agrees"), "apply_last_result")
+        .when(c("next_kind").isin("finalize", "stop"), c("next_kind"))
+        .otherwise("run_next")
+    )
+
+
+def safe_outputs(state: DataFrame, results: DataFrame, run: str, column: str) -> DataFrame:
+    """All output ids that a run's state or results name, sorted and once."""
+    both = state.select(run, F.explode(column).alias("id")).unionByName(results.select(run, F.explode(column).alias("id")))
+    return both.groupBy(run).agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -122,3 +122,50 @@ VERDICTS = ["passed", "failed", "manual_required", "not_executed"]
 def verdict_summary(judged: DataFrame, run: str) -> DataFrame:
     """Counts by verdict, one column each."""
     return judged.groupBy(run).agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS])
+
+
+def applied_decisions(items: DataFrame, decisions: DataFrame, key: str = "review_id") -> tuple[DataFrame, DataFrame]:
+    """(items with the newest decision of each, hash recomputed; decisions for unknown items)."""
+    newest = decisions.groupBy(key).agg(F.max_by(F.struct("decision_status", "selected_action", "decided_by", "decided_at"), "decided_at").alias("d"))
+    out = items.join(newest, key, "left").withColumn("decision_status", F.coalesce("d.decision_status", "decision_status"))
+    out = out.withColumn("selected_action", F.when(F.col("d").isNotNull(), F.col("d.selected_action")).otherwise(F.col("selected_action")))
+    out = out.withColumn("selected_action_sha256", F.sha2(F.to_json(F.parse_json("selected_action")), 256)).drop("d")
+    return out, decisions.join(items.select(key), key, "left_anti")
+
+
+def expected_changes(properties):
+    """``key=value`` texts of a map of properties, sorted."""
+    return F.array_sort(F.transform(F.map_entries(properties), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
+
+
+def property_mismatches(expected, actual):
+    """Sorted keys whose value after a change isn't the expected one."""
+    off = F.map_filter(expected, lambda k, v: ~v.eqNullSafe(F.try_element_at(actual, k)))
+    return F.array_sort(F.map_keys(off))
+
+
+def inverted(nodes: DataFrame, key: str, node_id: str) -> DataFrame:
+    """Index rows (key, node_id), sorted within partitions by key; write them partitioned and they stay rows, never one list."""
+    return nodes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), node_id).repartitionByRange("key").sortWithinPartitions("key", node_id)
+
+
+def heavy_write_problems(operations: DataFrame, decisions: DataFrame, parts: DataFrame) -> DataFrame:
+    """operation_id, code: heavy writes that lack what authorises them.
+
+    The command must be a raw one with a single-node path, one match and the payload's hash; the decision approved and bound to the
+    payload; the part in the state that the plan saw; and the operation alone in its batch.
+    """
+    d = decisions.select(F.col("review_id").alias("_review"), F.col("decision_status").alias("_decision"), F.col("payload_sha256").alias("_bound"))
+    p = parts.select("run_id", F.col("part_name").alias("_part"), F.col("sha256").alias("_part_sha"))
+    rows = operations.where("risk_class = 'L3_WRITE'").join(d, F.col("review_id") == F.col("_review"), "left").join(p.withColumnRenamed("run_id", "_run"), (F.col("run_id") == F.col("_run")) & (F.col("part") == F.col("_part")), "left")
+    code = (
+        F.when(F.col("command") != "raw-set", "heavy_not_raw")
+        .when(~F.coalesce(F.col("xpath").rlike(r"^(/[A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*\[[1-9][0-9]*\])+$"), F.lit(False)), "heavy_xpath")
+        .when(F.coalesce(F.col("expected_match_count"), F.lit(0)) != 1, "heavy_match_count")
+        .when(F.sha2("xml", 256) != F.col("xml_sha256"), "heavy_payload_hash")
+        .when(F.coalesce(F.col("_decision"), F.lit("")) != "approved", "heavy_not_approved")
+        .when(~F.col("_bound").eqNullSafe(F.col("xml_sha256")), "heavy_not_bound")
+        .when(~F.col("_part_sha").eqNullSafe(F.col("precondition_sha256")), "heavy_part_changed")
+        .when(F.col("n_in_batch") != 1, "heavy_not_alone")
+    )
+    return rows.withColumn("code", code).where(F.col("code").isNotNull()).select("operation_id", "code")

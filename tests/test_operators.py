@@ -222,3 +222,58 @@ def test_stuck_runs_are_told(spark, tmp_path):
     assert ("a", 1, "stuck") in {(r.run_id, r.n_events, r.alert) for r in seen}
     last = max((r for r in seen if r.run_id == "b"), key=lambda r: r.n_events)
     assert (last.n_events, last.last_stage) == (3, "review")
+
+
+def test_rule_packs_parse_and_find(spark):
+    from formledger.operators import rulepacks
+
+    kinds = dict(
+        run_id="string", result_id="string", stage="string", idempotency_key="string", status="string", next_kind="string", order_no="int", attempt="int", error_code="string", gate_passed="boolean", next_stage="string", retry_of="string", mode="string", chain_head="string",
+        final_acceptance_path="string", applied_result_id="string", last_result_id="string", rule_id="string", role="string", write_strategy="string", confidence="double", requires_user_confirmation="boolean", manual_confirmation_reason="string", issue_id="string", element_id="string",
+        semantic_role="string", current_problem="string", action_type="string", auto_fix_policy="string", risk_level="string", evidence="array<string>", expected_role="string", review_id="string", proposal_id="string", category="string", problem="string", decision_status="string",
+        source_refs="array<string>", allows_continue="boolean", blocking="boolean", decided_by="string", decided_at="timestamp", selected_action="string", selected_action_sha256="string", plan_id="string", plan_state="string", backend="string", backend_version="string", plan_revision="long",
+        snapshot_sha256="string", capability_sha256="string", finalized_from_plan_id="string", finalized_at="timestamp", blocking_count="long", pending_count="long", action_id="string", command="string", target_path="string", risk_class="string", target_node_id="string",
+        expected_match_count="int", xml="string", xml_sha256="string", plan_run_id="string", request_revision="long", request_snapshot_sha256="string", request_capability_sha256="string", n_operations="long", has_heavy="boolean", artifact_id="string", kind="string", path="string", sha256="string",
+        size_bytes="long", toc_mode="string", toc_required="boolean", refresh_attempted="boolean", refresh_succeeded="boolean", placeholder_removed="boolean", field_count="int", visible_count="int", reason="string", acceptance_type="string", blocking_categories="array<string>", n_warnings="long",
+        doc_id="string", node_type="string", node_id="string", ordinal="int", selector_kind="string", rebindable="boolean", content_fingerprint="string", attempt_no="int", after_ref="string", n_failed="long",
+    )
+    empty = rulepacks.with_columns(spark.createDataFrame([("e",)], "id string"), **kinds)
+    for name, pack in rulepacks.PACKS.items():
+        assert rules.violations(empty, name, "id", pack).count() > 0
+    draft = lambda **v: {r.code for r in rules.violations(rulepacks.with_columns(spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} {kinds[k]}" for k in v)).withColumn("id", F.lit("x")), **kinds), "rule_draft", "id", rulepacks.RULE_DRAFT).collect()}
+    assert draft(rule_id="r", role="t", write_strategy="direct", confidence=0.92) == set()
+    assert draft(rule_id="r", role="t", write_strategy="audit-only", confidence=0.92) == {"confirmation_required"}
+    assert draft(rule_id="r", role="t", write_strategy="direct", confidence=0.74, requires_user_confirmation=True) == {"confirmation_reason"}
+    assert draft(rule_id="r", role="t", write_strategy="direct", confidence=1.2) == {"value_range"}
+
+
+def test_transitions_gaps_and_resume(spark):
+    log = spark.createDataFrame([("r", 1, "running"), ("r", 2, "done"), ("r", 3, "executed_ready"), ("r", 5, "running")], "run string, n int, status string")
+    assert [(r.n, r.source_status) for r in ledger.bad_transitions(log, "run", "n", "status").collect()] == [(5, "executed_ready")]
+    assert [(r.run, r.n) for r in ledger.missing_results(log, "run", "n").collect()] == [("r", 4)]
+    cases = [(False, "missing", True, "run_skill", True, 3), (False, "chain_mismatch", True, "run_skill", True, 3), (True, None, False, "run_skill", True, 3), (True, None, True, "wait_user", True, 3), (True, None, True, "retry", True, 0), (True, None, True, "run_skill", False, 3), (True, None, True, "stop", True, 3), (True, None, True, "run_skill", True, 3)]
+    rows = spark.createDataFrame(cases, "chain_valid boolean, failure_kind string, contract_valid boolean, next_kind string, agrees boolean, remaining int")
+    assert [r[0] for r in rows.coalesce(1).select(ledger.resume_decision()).collect()] == ["synthesize_failure", "manual_recover", "blocked", "wait_user", "blocked", "apply_last_result", "stop", "run_next"]
+    plans = spark.createDataFrame([("r", 9, "r9"), ("r", 10, "r10")], "run string, rev int, name string")
+    assert ledger.latest(plans, "run", F.col("rev")).first().name == "r10"
+
+
+def test_decisions_properties_and_heavy_writes(spark):
+    t = datetime.datetime(2024, 1, 1)
+    items = spark.createDataFrame([("R1", "pending", None), ("R2", "pending", None)], "review_id string, decision_status string, selected_action string")
+    decisions = spark.createDataFrame([("R1", "rejected", None, "p", t), ("R1", "approved", '{"b": 1, "a": 2}', "p", t + datetime.timedelta(1)), ("R9", "approved", None, "p", t)], "review_id string, decision_status string, selected_action string, decided_by string, decided_at timestamp")
+    done, unknown = repair.applied_decisions(items, decisions)
+    assert {(r.review_id, r.decision_status, r.selected_action_sha256 is None) for r in done.collect()} == {("R1", "approved", False), ("R2", "pending", True)}
+    assert [r.review_id for r in unknown.collect()] == ["R9"]
+    maps = spark.createDataFrame([({"a": "1", "b": "2", "c": None}, {"a": "1", "b": "3"})], "e map<string,string>, a map<string,string>")
+    row = maps.select(repair.property_mismatches(F.col("e"), F.col("a")).alias("m"), repair.expected_changes(F.col("e")).alias("x")).first()
+    assert (row.m, row.x) == (["b"], ["a=1", "b=2", "c=null"])
+    import hashlib
+
+    sha = hashlib.sha256(b"<x/>").hexdigest()
+    good = ("r", "o1", "L3_WRITE", "raw-set", "/w:document[1]/w:p[2]", 1, "<x/>", sha, "p.xml", "s1", "R1", 1)
+    bad = [good[:1] + ("o2",) + good[2:3] + ("set",) + good[4:], good[:1] + ("o3",) + good[2:4] + ("//p",) + good[5:], good[:1] + ("o4",) + good[2:9] + ("s2",) + good[10:], good[:1] + ("o5",) + good[2:11] + (2,)]
+    ops = spark.createDataFrame([good, *bad], "run_id string, operation_id string, risk_class string, command string, xpath string, expected_match_count int, xml string, xml_sha256 string, part string, precondition_sha256 string, review_id string, n_in_batch int")
+    approved = spark.createDataFrame([("R1", "approved", sha)], "review_id string, decision_status string, payload_sha256 string")
+    parts = spark.createDataFrame([("r", "p.xml", "s1"), ("r", "q.xml", "s2")], "run_id string, part_name string, sha256 string")
+    assert {(r.operation_id, r.code) for r in repair.heavy_write_problems(ops, approved, parts).collect()} == {("o2", "heavy_not_raw"), ("o3", "heavy_xpath"), ("o4", "heavy_part_changed"), ("o5", "heavy_not_alone")}
