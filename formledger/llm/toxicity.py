@@ -24,9 +24,10 @@ from . import common
 
 SIZES = (3, 4, 5)
 BITS = 20
-SAMPLE = 20_000  #: labelled rows that a fit takes at most
-KEPT = 6_000  #: buckets with a weight
-SMOOTHING, PENALTY, ROUNDS = 1.0, 0.3, 500
+SAMPLE = 10_000  #: labelled rows that a fit takes at most
+KEPT = 4_000  #: buckets with a weight
+SMOOTHING, PENALTY, ROUNDS = 1.0, 0.3, 300
+BLOCK_ROWS = 500
 CHUNK = 1 << 19  #: characters that are hashed at once
 
 U32 = np.uint32
@@ -84,19 +85,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -700, 700)))
 
 
-def _regression(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on sparse rows, both classes of equal weight, by gradient steps with momentum."""
-    n = len(y)
+def _regression(begins: np.ndarray, columns: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty on sparse rows, both classes of equal weight, by gradient steps with momentum.
+
+    Row i has the columns from begins[i] to begins[i + 1]; a column's value is its ratio.  Rows are taken in blocks, so a step needs
+    little more memory than the columns themselves.
+    """
+    n, width = len(y), len(ratio)
+    blocks = [np.arange(i, min(i + BLOCK_ROWS, n)) for i in range(0, n, BLOCK_ROWS)]
+    square = float((ratio[columns[:1_000_000]] ** 2).sum()) / max(1, np.searchsorted(begins, 1_000_000) if len(columns) > 1_000_000 else n) + 1
     w, v, bias, bias_v = np.zeros(width), np.zeros(width), 0.0, 0.0
-    square = np.bincount(rows, values * values, n).mean() + 1
     rate = 4 / square
-    even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes weigh alike
-    for k in range(ROUNDS):
+    even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    lines = [np.repeat(np.arange(len(r), dtype=np.int32), np.diff(begins[r[0] : r[-1] + 2])) for r in blocks]
+    for _ in range(ROUNDS):
         ahead, ahead_bias = w + 0.9 * v, bias + 0.9 * bias_v
-        z = np.bincount(rows, values * ahead[columns], n) + ahead_bias
-        error = even * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        gradient = np.bincount(columns, values * error[rows], width) / n + PENALTY / n * ahead
-        v, bias_v = 0.9 * v - rate * gradient, 0.9 * bias_v - rate * error.mean()
+        by_value, gradient, slope = ratio * ahead, PENALTY / n * ahead, 0.0
+        for r, line in zip(blocks, lines):
+            own = columns[begins[r[0]] : begins[r[-1] + 1]]
+            z = np.bincount(line, by_value[own], len(r)) + ahead_bias
+            error = even[r] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[r])
+            gradient += ratio * np.bincount(own, error[line], width) / n
+            slope += float(error.sum()) / n
+        v, bias_v = 0.9 * v - rate * gradient, 0.9 * bias_v - rate * slope
         w, bias = w + v, bias + bias_v
     return w, bias
 
@@ -161,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     got.sort(key=lambda r: (r[0], r[1].tobytes()))  # in one order, whatever the partitions
     y = np.array([r[0] for r in got], float)
     columns = np.concatenate([r[1] for r in got])
-    lines = np.repeat(np.arange(len(got)), [len(r[1]) for r in got])
-    w, bias = _regression(lines, columns, ratio[kept][columns], y, len(kept))
+    begins = np.concatenate([[0], np.cumsum([len(r[1]) for r in got])])
+    w, bias = _regression(begins, columns, ratio[kept], y)
     weight = np.zeros(1 << BITS)
     weight[kept] = w * ratio[kept]
     return Model(weight, float(bias))
