@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"  #: a word: a run without ASCII white space
 
 #: A side of a join is broadcast below this many (narrow) rows; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    What it was made from isn't needed any more; a collection lets Spark's cleaner drop its shuffle files and broadcasts now
+    instead of when the driver happens to run short of memory, so a job of many steps needs the disk of one.
+    """
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
