@@ -95,5 +95,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": jaccard.oracle(3, 90, 100),
     "op3_licenses": licenses.oracle("coalesce(source, '') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id"),
 }
