@@ -37,15 +37,16 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
+def settled(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    What it was made from isn't needed any more; a collection lets Spark's cleaner drop its shuffle files and broadcasts now
-    instead of when the driver happens to run short of memory, so a job of many steps needs the disk of one.
+    ``free``: what it was made from was large and isn't needed any more; a collection lets Spark's cleaner drop its shuffle files
+    and broadcasts now instead of when the driver happens to run short of memory, so a job of many steps needs the disk of one.
     """
     path = shared_folder(df.sparkSession, what)
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if free:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
