@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if stage is not encode:
-            docs = common.settled(docs, "stage-" + name.replace(" ", "-"))
+            docs = common.settled(docs, "stage-" + name.replace(" ", "-"), free=True)
     return docs
