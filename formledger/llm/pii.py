@@ -3,8 +3,8 @@
 Kinds: e-mail addresses, phone numbers, payment cards (with a valid check digit), IPv4 addresses, social security numbers,
 IBANs, and names after a title.  A surrogate keeps what the entity looks like:
 
-* digits become other digits, everything between them stays; of phone numbers the country code and of addresses the range
-  stay; cards keep their length and get a valid check digit;
+* digits become other digits, everything between them stays; of phone numbers the country code
+  stays, octets of addresses keep their lengths; cards keep their length and get a valid check digit;
 * the letters of an e-mail's local part become other letters of the same case and script, its digits other digits; the
   domain becomes one of the reserved example domains of equal depth;
 * names come from lists by gender (that of the title) and script (that of the name), in the case of the name.
