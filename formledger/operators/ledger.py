@@ -152,3 +152,14 @@ def safe_outputs(state: DataFrame, results: DataFrame, run: str, column: str) ->
     """All output ids that a run's state or results name, sorted and once."""
     both = state.select(run, F.explode(column).alias("id")).unionByName(results.select(run, F.explode(column).alias("id")))
     return both.groupBy(run).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def missing_files(expected: DataFrame, inventory: DataFrame) -> DataFrame:
+    """test_id, path of expected evidence files that no inventory row ends with."""
+    have = inventory.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_name")).distinct()
+    return expected.join(have, F.regexp_extract("path", r"([^/]+)$", 1) == F.col("_name"), "left_anti")
+
+
+def coverage_summary(tests: DataFrame) -> DataFrame:
+    """status, n, ids (sorted): how tests (test_id, status) stand."""
+    return tests.groupBy("status").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("test_id")).alias("ids"))

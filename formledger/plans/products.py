@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import audit, profile, repair
+from ..operators import audit, ledger, profile, repair, rulepacks, rules
 from ..sources import documents
 
 
@@ -64,3 +64,18 @@ def review(operations: DataFrame, results: DataFrame, after: DataFrame) -> DataF
         }
     )
     return repair.verdicts(rows).select("issue_id", "doc_id", "batch", "verdict", "verdict_code")
+
+
+def acceptance(artifacts: DataFrame, references: DataFrame, inventory: DataFrame, required: list[str]) -> DataFrame:
+    """run_id, status, codes: whether a run's evidence is whole: fields, files as declared, references, kinds.
+
+    ``references``: run_id, artifact_id; all checks give violation rows, and one aggregation closes the gate of each run.
+    """
+    keyed = artifacts.withColumn("entity", F.col("run_id"))
+    found = rules.violations(keyed, "artifact", "entity", rulepacks.ARTIFACT).select(F.col("entity_id").alias("run_id"), "code")
+    files = ledger.verified(artifacts, inventory).join(artifacts.select("path", "run_id"), "path").select("run_id", "code")
+    lost = rules.dangling(references, "artifact_id", artifacts, "artifact_id").select("run_id", F.lit("reference_dangling").alias("code"))
+    kinds = ledger.completeness(artifacts, "run_id", required).where("status = 'broken'").select("run_id", F.lit("kinds_missing").alias("code"))
+    problems = found.unionByName(files).unionByName(lost).unionByName(kinds).groupBy("run_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    runs = artifacts.select("run_id").distinct().join(problems, "run_id", "left")
+    return runs.select("run_id", F.when(F.col("codes").isNull(), "accepted").otherwise("blocked").alias("status"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))

@@ -169,3 +169,15 @@ def paragraph_formats(nodes: DataFrame) -> DataFrame:
     default = in_styles.where(F.col("parent_path").rlike(r"/docDefaults(\[1\])?/[pr]PrDefault\[1\]/[pr]Pr\[1\]$")).select("doc_id", "node_type", "attributes")
     everywhere = own.select("doc_id", "element_id").join(_slots(default), "doc_id").select("doc_id", "element_id", "slot", "value_str", F.lit("doc_defaults").alias("source"), F.lit(0).alias("precedence"))
     return facts.layered(layers.unionByName(everywhere), "doc_id", "element_id")
+
+
+def cell_formats(nodes: DataFrame) -> DataFrame:
+    """doc_id, cell (path), has_bold, fonts and sizes (sorted, distinct) of the runs directly formatted in each cell."""
+    inner = F.regexp_extract("path", r"^(.*/tc\[[0-9]+\])/", 1)
+    props = nodes.where((F.col("part_name") == PARTS[0]) & F.col("parent_path").endswith("/rPr[1]") & (inner != "")).select("doc_id", inner.alias("cell"), "node_type", "attributes")
+    slots = _slots(props)
+    return slots.groupBy("doc_id", "cell").agg(
+        F.bool_or((F.col("slot") == "bold") & (F.col("value_str") == "true")).alias("has_bold"),
+        F.array_sort(F.collect_set(F.when(F.col("slot").isin("font_east_asia", "font_ascii"), F.col("value_str")))).alias("fonts"),
+        F.array_sort(F.collect_set(F.when(F.col("slot") == "font_size_pt", F.col("value_str").cast("double")))).alias("sizes"),
+    )

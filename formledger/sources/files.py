@@ -68,3 +68,18 @@ def write_once(df: DataFrame, path: str, *partitions: str) -> None:
     """Write a table; one that is there already is an error, never overwritten."""
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+
+
+def json_paths(rows: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
+    """key, json_path, value (as JSON) of every value in a JSON text, down to a depth; each level is one step over all rows."""
+    spark = rows.sparkSession
+    level = rows.select(F.col(key), F.lit("$").alias("json_path"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL")
+    found = level
+    for _ in range(depth):
+        kind = F.schema_of_variant("v")
+        open_ = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        below = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = below.select(open_[key], F.concat(F.col("json_path"), step).alias("json_path"), F.col("value").alias("v"))
+        found = found.unionByName(level)
+    return found.select(key, "json_path", F.to_json("v").alias("value"))

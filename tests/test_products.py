@@ -36,3 +36,21 @@ def test_from_standard_to_verdicts(spark, tmp_path):
     results = issues.select("issue_id", F.lit(True).alias("success"))
     verdicts = {r.verdict_code for r in products.review(ops, results, now).collect()}
     assert verdicts == {None, "after_property_mismatch"}
+
+
+def test_acceptance(spark):
+    from formledger.operators import ledger
+    from formledger.sources import files
+
+    sha = "a" * 64
+    artifacts = spark.createDataFrame([("r1", "A1", "plan", "r1/p", sha, 5), ("r1", "A2", "log", "r1/l", sha, 5), ("r2", "A3", "plan", "../p", sha, 0)], "run_id string, artifact_id string, kind string, path string, sha256 string, size_bytes long")
+    inventory = spark.createDataFrame([("r1/p", sha, 5), ("r1/l", sha, 5)], "path string, sha256 string, size_bytes long")
+    refs = spark.createDataFrame([("r1", "A1"), ("r2", "A9")], "run_id string, artifact_id string")
+    got = {r.run_id: (r.status, r.codes) for r in products.acceptance(artifacts, refs, inventory, ["plan", "log"]).collect()}
+    assert got == {"r1": ("accepted", []), "r2": ("blocked", ["artifact_missing", "kinds_missing", "path_unsafe", "reference_dangling", "size_positive"])}
+    expected = spark.createDataFrame([("t1", "x/p"), ("t2", "x/q")], "test_id string, path string")
+    assert [r.test_id for r in ledger.missing_files(expected, inventory).collect()] == ["t2"]
+    tests = spark.createDataFrame([("t1", "ok"), ("t2", "ok"), ("t3", "open")], "test_id string, status string")
+    assert {(r.status, r.n, tuple(r.ids)) for r in ledger.coverage_summary(tests).collect()} == {("ok", 2, ("t1", "t2")), ("open", 1, ("t3",))}
+    rows = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": "x"}'), (2, "broken")], "id long, j string")
+    assert {(r.json_path, r.value) for r in files.json_paths(rows, "id", "j", 3).collect()} == {("$", '{"a":[1,{"b":null}],"c":"x"}'), ("$.a", '[1,{"b":null}]'), ("$.a[0]", "1"), ("$.a[1]", '{"b":null}'), ("$.a[1].b", "null"), ("$.c", '"x"')}
