@@ -4,8 +4,8 @@ Vectors are scaled to length 1, so Euclidean order is cosine order.  Equal vecto
 Nodes are dealt to shards of about ``SHARD`` by a hash.  In a shard the nodes join the graph in batches: a greedy search
 from the entry proposes neighbours, and of these the closest is kept and all that are ``ALPHA`` times closer to it than to
 the node are dropped, again and again; the edges get their way back under the same rule.  A second pass over all nodes
-follows with the whole graph in place.  Every query goes to each shard, which gives its best by beam search; scores are
-computed anew in double precision on the original vectors, and the best of all shards are kept.
+follows with the whole graph in place.  The graphs are settled as a table.  Queries visit each shard in blocks of ``BLOCK``, so
+a task holds one shard and one block; each shard gives a query's best by beam search; scores are computed anew in double precision on the original vectors, and the best of all shards are kept.
 
 Defined results: vectors that are null, empty, zero, of another length than most or with null or non-finite components take
 no part; ties go to the smaller id; a query never finds its own id, also if its id is there twice; fewer candidates
@@ -24,6 +24,7 @@ from . import common
 SHARD = 4096  #: nodes in a shard
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 BATCH = 256
+BLOCK = 4096  #: queries that visit a shard at once
 
 
 def _top(distance: np.ndarray, k: int) -> np.ndarray:
@@ -38,8 +39,11 @@ def _top(distance: np.ndarray, k: int) -> np.ndarray:
 class Graph:
     """Nodes are rows of ``x`` (length 1); ``edges`` holds up to DEGREE neighbours of each, -1 where there is none."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
         self.x = np.ascontiguousarray(x, np.float32)
+        if edges is not None:
+            self.edges, self.entry = edges, entry
+            return
         self.edges = np.full((len(x), DEGREE), -1, np.int32)
         self.entry = int(np.argmax(self.x @ self.x.mean(0)))
         self._build()
@@ -173,36 +177,52 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
         return empty
     shards = max(1, round(n / shard))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    asked = rows.where(is_query(F.col("id"))).distinct().withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def visit(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        if not len(index) or not len(queries):
-            return out
-        x, q = np.stack(index["v"].tolist()), np.stack(queries["v"].tolist())
+    graphs = common.settled(dealt.groupBy("shard").applyInPandas(_built, "shard long, x binary, ids binary, counts binary, edges binary, entry int"), "ann-graphs")
+    queries = common.settled(rows.where(is_query(F.col("id"))).distinct(), "ann-queries")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", every(shards))
+
+    def visit(graph: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(graph) or not len(block):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        g = graph.iloc[0]
+        counts, ids = np.frombuffer(g["counts"], np.int64), np.frombuffer(g["ids"], np.int64)
+        x, q = np.frombuffer(g["x"]).reshape(len(counts), -1), np.stack(block["v"].tolist())
         long_x, long_q = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        graph = Graph(x / long_x[:, None])
-        found, _ = graph.nearest((q / long_q[:, None]).astype(np.float32), BEAM)
+        index = Graph(x / long_x[:, None], np.frombuffer(g["edges"], np.int32).reshape(len(x), DEGREE), int(g["entry"]))
+        found, _ = index.nearest((q / long_q[:, None]).astype(np.float32), BEAM)
         a, b = np.nonzero(found >= 0)
         node = found[a, b]
         score = np.einsum("md,md->m", q[a], x[node]) / (long_q[a] * long_x[node])
         order = np.lexsort((-score, a))
         a, node, score = a[order], node[order], score[order]
         begin = np.searchsorted(a, np.arange(len(q)))
-        kept = np.arange(len(a)) - begin[a] < 2 * k + 2
-        a, node, score = a[kept], node[kept], score[kept]
-        ids = index["ids"].tolist()
-        lines = np.repeat(np.arange(len(a)), [len(ids[i]) for i in node])
-        members = np.concatenate([np.asarray(ids[i], np.int64) for i in node])
-        result = pd.DataFrame({"query_id": queries["id"].to_numpy()[a[lines]], "vec_id": members, "score": score[lines]})
+        near = np.arange(len(a)) - begin[a] < 2 * k + 2
+        a, node, score = a[near], node[near], score[near]
+        lines = np.repeat(np.arange(len(a)), counts[node])
+        first = np.cumsum(counts) - counts
+        within = np.arange(len(lines)) - np.repeat(np.cumsum(counts[node]) - counts[node], counts[node])
+        members = ids[first[node][lines] + within]
+        result = pd.DataFrame({"query_id": block["id"].to_numpy()[a[lines]], "vec_id": members, "score": score[lines]})
         result = result[result["query_id"] != result["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return result.groupby("query_id", sort=False).head(k)
 
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(visit, "query_id long, vec_id long, score double")
+    pairs = graphs.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    found = pairs.applyInPandas(visit, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _built(index: pd.DataFrame) -> pd.DataFrame:
+    """One shard: its vectors, the ids of each, and the graph's edges."""
+    x = np.stack(index["v"].tolist())
+    graph = Graph(x / np.sqrt((x * x).sum(1))[:, None])
+    ids = [np.asarray(i, np.int64) for i in index["ids"]]
+    counts = np.array([len(i) for i in ids], np.int64)
+    return pd.DataFrame({"shard": [index["shard"].iloc[0]], "x": [x.tobytes()], "ids": [np.concatenate(ids).tobytes()], "counts": [counts.tobytes()], "edges": [graph.edges.tobytes()], "entry": [graph.entry]})
+
+
 def _smallest(rows: DataFrame, k: int) -> DataFrame:
     """v, ids: the k smallest ids of each distinct vector; copies meet in salted groups first, so a hot vector is not one task's."""
     salted = Window.partitionBy("v", "salt").orderBy("id")
