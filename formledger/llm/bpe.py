@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 1 << 19  #: code points in one scan
-CACHED = 300_000  #: merged pieces that a worker remembers; then it starts anew
+CACHED = 150_000  #: merged pieces that a worker remembers; then it starts anew
 SHORT_PIECE = 32  #: pieces of more bytes are merged one by one, with a heap, and not remembered
 NONE = 1 << 40  #: the rank of a pair that makes no token
 

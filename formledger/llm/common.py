@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 200) -> None:
+    """Bound what one Arrow batch of whole texts holds in a Python worker and in its executor's buffers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shared_root(spark: SparkSession) -> str:
