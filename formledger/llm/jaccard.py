@@ -17,6 +17,11 @@ with one leader, linked sets become one component, and at last only pairs of dif
 of these only the ones whose sketches of parities don't rule a link out.
 So no link between components is lost, and a group of near copies costs about its size for each round.
 
+Links inside the components of such sets are counted, not listed: each set is held as its difference d from one leader of its
+component.  Two sets of sizes n differ in d + d' - 2c hashes, c of them shared differences, so they are linked when
+``v + v' + 2 (den + num) c >= 0`` with ``v = (den - num) n - (den + num) d``.  Pairs with v + v' >= 0 are counted by rank; all others
+need c > 0, so they meet at a shared difference.
+
 Equal sets are one class from the beginning (its links are those of one of them).  Candidates are verified on whole sets.
 
 Defined results: null and empty texts have an empty set, no links and their own id as component; rows may repeat; a null id is
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, components, shingles
@@ -40,6 +45,7 @@ HOT = 48  #: a hash indexed by more sets is expensive
 MARGIN = 1  #: further matches that pairs of longer sets need
 MARGIN_FROM = 20  #: hashes in a longer set
 ROUNDS = 2  #: of leaders; further ones found next to nothing on the tables that were looked at
+GROUP = 1000  #: sets of a component that meet one copy of its leader
 
 
 def _required(n, num: int, den: int):
@@ -143,7 +149,7 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _crowded(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among sets whose hashes are nearly all expensive: leaders first, then what is left between components."""
+    """Links that connect sets whose hashes are nearly all expensive: leaders first, then what is left between components."""
     links = None
     crowd = common.settled(crowd.join(sets.select("cid", "sketch"), "cid").withColumn("led", F.lit(0)), "crowded", free=True)
     labelled = crowd.withColumn("c", F.col("cid"))
@@ -178,8 +184,58 @@ def _crowded(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return none if links is None else links
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: id, n, digest; classes: cid, digest, id, n; links: a, b between the cids of different linked sets)."""
+def _differences(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """component, cid, n, d, v, sketch, diff for the sets of ``crowd`` that have a link: what differs from their component's leader."""
+    placed = common.settled(crowd.drop("members").join(labels, F.col("cid") == F.col("node")).drop("node"), "placed")
+    # the original of a group of copies has the fewest hashes of its own
+    groups = placed.groupBy("component").agg(F.min_by("cid", F.struct("rare", "cid")).alias("leader"), F.ceil(F.count("*") / GROUP).alias("copies"))
+    groups = common.settled(groups, "crowd-groups")
+    sets = crowd.select("cid", "members")
+    leaders = groups.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("leader").alias("cid")).join(sets, "cid").select("component", "copy", F.col("members").alias("of_leader"))
+    own = placed.join(common.narrow(groups), "component").withColumn("copy", F.pmod(F.xxhash64("cid"), F.col("copies"))).join(sets, "cid")
+    both = own.join(leaders, ["component", "copy"]).select("component", "cid", "n", "sketch", "members", "of_leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(4), batch.column(5))
+            diff = [np.setxor1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in diff], pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["component", "cid", "n", "sketch", "d", "diff"])
+
+    return both.mapInArrow(run, "component long, cid long, n long, sketch array<long>, d long, diff array<long>")
+
+
+def _crowd_degrees(crowd: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, n: parts of the number of links among the sets of ``crowd`` (cid, rare, n, members, sketch), to be summed; labels are of all links."""
+    v = (den - num) * F.col("n") - (den + num) * F.col("d")
+    far = common.settled(_differences(crowd, labels).withColumn("v", v), "differences", free=True)
+    # linked whatever they share: the sets with v' >= -v, counted over the different values in a component
+    values = common.settled(far.groupBy("component", "v").agg(F.count("*").alias("c")), "values")
+    points = values.select("component", F.col("v").alias("at"), "c", F.lit(None).cast("long").alias("asks")).unionByName(values.select("component", (-F.col("v")).alias("at"), F.lit(0).cast("long").alias("c"), F.col("v").alias("asks")))
+    above = Window.partitionBy("component").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = points.withColumn("sure", F.sum("c").over(above)).where("asks IS NOT NULL").select("component", F.col("asks").alias("v"), (F.col("sure") - (F.col("asks") >= 0).cast("long")).alias("sure"))
+    counted = far.select("component", "cid", "v").join(common.narrow(common.settled(sure, "sure")), ["component", "v"]).select("cid", F.col("sure").alias("n"))
+    # the others: only sets that have such a partner, and only at differences that they share
+    least = values.groupBy("component").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    reach = (F.col("v") + F.col("least") < 0) & (F.col("v") + F.col("most") + 2 * (den + num) * F.col("d") >= 0)
+    open_ = far.join(common.narrow(common.settled(least, "least")), "component").where(reach).select("component", F.explode("diff").alias("token"), "cid", "n", "d", "v", "sketch")
+    one, two = (open_.select("component", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "d", "v", "sketch")]) for x in "ab")
+    both = F.col("v_a") + F.col("v_b")
+    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + 2 * (den + num) * F.least("d_a", "d_b") >= 0) & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), num, den)
+    met = one.join(two, ["component", "token"]).where(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("v")).agg(F.count("*").alias("c"))
+    found = common.settled(met.where(F.col("v") + 2 * (den + num) * F.col("c") >= 0).select("a", "b"), "crowd-links", free=True)
+    return counted.union(_degrees(found))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n"))
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links, connecting, crowd).
+
+    rows: id, n, digest; classes: cid, digest, id, n; links: a, b between the cids of different linked sets, all but those of two
+    sets of the crowd; connecting: as many of these as connect the same sets; crowd: cid, rare, n, members, sketch.
+    """
     common.small_batches(docs.sparkSession, 100)  # two whole sets of a pair can be large
     rows = common.settled(signatures(docs, id_col, text, k, num, den), "signatures", free=True)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -246,20 +302,29 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     known = lists(docs, classes.join(ends, "cid", "left_semi").select("cid", "digest", "id", F.col("n").alias("reach")), id_col, text, k)
     found = verified(pairs, known, num, den)
     crowd = listed.join(common.narrow(crowded), "cid").where(F.col("pos") < base).select("token", "cid", "n", "rare")
-    crowded = _crowded(crowd, known, num, den)
-    return rows.select("id", "n", "digest"), classes.select("cid", "digest", "id", "n"), common.settled(found.union(crowded), "links")
+    found, connecting = common.settled(found, "links"), _crowded(crowd, known, num, den)
+    return rows.select("id", "n", "digest"), classes.select("cid", "digest", "id", "n"), found, connecting, known.join(common.narrow(crowded), "cid")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach), n_links (of the row's set to different sets), digest (of its set)."""
-    rows, classes, found = links(docs, id_col, text, k, num, den)
-    labels = components.components(found, "a", "b")
-    degree = found.select(F.col("a").alias("cid")).union(found.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n_links"))
-    grouped = classes.join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
+    rows, classes, found, connecting, crowd = links(docs, id_col, text, k, num, den)
+    labels = components.components(found.union(connecting), "a", "b")
+    degree = _degrees(found)
+    if connecting.take(1):
+        degree = degree.union(_crowd_degrees(crowd, labels, num, den)).groupBy("cid").agg(F.sum("n").alias("n"))
+    degree = degree.withColumnRenamed("n", "n_links")
+    out = _placed(rows, classes, labels, degree)
+    return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
+
+
+def _placed(rows: DataFrame, classes: DataFrame, labels: DataFrame, degree: DataFrame | None = None) -> DataFrame:
+    """id, n, digest, component_id for every row, and what ``degree`` (by cid) has."""
+    grouped = classes.drop("n").join(labels, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = grouped.join(least, "component").join(degree, "cid", "left").select("digest", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.join(known, "digest", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
+    known = grouped.join(least, "component").drop("id", "node", "component")
+    known = known if degree is None else known.join(degree, "cid", "left")
+    return rows.join(known.drop("cid"), "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -267,7 +332,9 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
 
     Rows with an empty set and rows without an id stay all.
     """
-    found = common.settled(join(docs, id_col, text, k, num, den).select("id", "component_id", "digest"), "groups")
+    rows, classes, found, connecting, _ = links(docs, id_col, text, k, num, den)
+    labels = components.components(found.union(connecting), "a", "b")
+    found = common.settled(_placed(rows, classes, labels).select("id", "component_id", "digest"), "groups")
     gone = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone")).distinct()
     gone = common.narrow(common.settled(gone, "gone"))
     out = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")

@@ -90,3 +90,30 @@ def test_query_against_postings(spark, small):
     want = plain_components(rows, 3, 90, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_jaccard(spark, small).collect()} == want
     assert len({c for _, c in want.values()}) < len(rows)
+
+
+@pytest.mark.parametrize("k, num, den, copies, edits", [(3, 90, 100, 120, 3), (5, 8, 10, 90, 3)])
+def test_links_of_crowded_sets_are_counted(spark, k, num, den, copies, edits):
+    """A group of more than HOT near copies, and another that hangs together through chains: n_links as the SQL has it."""
+    import duckdb
+    import pandas as pd
+
+    draw = random.Random(k)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base, other, rows = [[draw.choice(vocabulary) for _ in range(n)] for n in (120, 90)] + [corpus(k, 0)]
+    texts = [t for _, t in rows]
+    for i in range(copies):
+        t = list(base)
+        for _ in range(draw.randint(0, edits)):
+            t[draw.randrange(len(t))] = draw.choice(vocabulary)
+        texts.append(" ".join(t))
+        chain = [f"c{j}" if j < i // 4 else w for j, w in enumerate(other)]
+        texts.append(" ".join(chain + ["e"] * (i % 3)))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    known = duckdb.connect()
+    known.register("documents", documents)
+    want = {r[0]: r[1:] for r in known.sql(jaccard.oracle(k, num, den)).fetchall()}
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=den).collect()}
+    assert got == want
+    assert max(n for _, _, n in got.values()) > jaccard.HOT
