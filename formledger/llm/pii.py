@@ -10,7 +10,7 @@ IBANs, and names after a title.  A surrogate keeps what the entity looks like:
 * names come from lists by gender (that of the title) and script (that of the name), in the case of the name.
 
 A surrogate is a function of key, kind, entity and an attempt number; the entity is normalised, so all its mentions get
-the same one (coreference).  Collision check: the distinct entities of all documents are counted by surrogate; of those that
+the same one (coreference), whatever separates the digits; a title's gender belongs to the name.  Collision check: the distinct entities of all documents are counted by surrogate; of those that
 share one (or meet an entity that is itself in the documents) all but the first try the next attempt, until none collide or
 ``ATTEMPTS`` are made; the few attempts above 0 go back to the documents in a join, by broadcast only below a counted bound.
 
@@ -41,6 +41,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity.
 SIGNS = r"@|[0-9]{3}|[0-9]\.[0-9]|\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Г-н|Г-жа)\b"
+#: Country codes, by the first digits: how a mention separates them says nothing.
+COUNTRY = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа)\b"
 # Names by gender and script.
 FIRST = {
@@ -77,7 +79,8 @@ def _weighed(number: Column) -> Column:
 
 def normal(kind: Column, entity: Column) -> Column:
     """The form in which mentions of one entity are equal."""
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("name"), F.regexp_replace(F.regexp_replace(F.lower(entity), r"^\S+ ", ""), r"\s+", " ")).otherwise(F.regexp_replace(F.upper(entity), "[^0-9A-Z+.]", ""))
+    name = F.concat(F.when(entity.rlike(FEMALE), "f ").otherwise("m "), F.regexp_replace(F.regexp_replace(F.lower(entity), r"^\S+ ", ""), r"\s+", " "))
+    return F.when(kind == "email", F.lower(entity)).when(kind == "name", name).when(kind == "ip", entity).otherwise(F.regexp_replace(F.upper(entity), "[^0-9A-Z+]", ""))
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -153,9 +156,15 @@ def _email(x: Column) -> Column:
     return F.concat(F.substring_index(x["body"], "@", 1), F.lit("@"), below, _listed(DOMAINS, x["stream"], 40))
 
 
+def _laid(letters: Column, mention: Column) -> Column:
+    """The letters and digits in turn, with what stands between those of the mention."""
+    before = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^0-9A-Za-z]", ""))
+    return F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(letters, before(i) + 1, F.lit(1))).otherwise(c)), "")
+
+
 def _phone(x: Column) -> Column:
-    country = F.length(F.regexp_extract(x["e"], r"^(\+[0-9]{1,3})?", 0))
-    return F.concat(F.substring(x["e"], F.lit(1), country), F.substring(x["body"], country + 1, F.length(x["e"])))
+    country = F.greatest(F.lit(0), F.length(F.regexp_extract(x["norm"], COUNTRY, 0)) - 1)
+    return F.concat(F.substring(x["plain"], F.lit(1), country), F.substring(x["body"], country + 1, F.length(x["plain"])))
 
 
 def _person(x: Column) -> Column:
@@ -171,23 +180,35 @@ def _person(x: Column) -> Column:
 def surrogates(items: Column, key: str = KEY) -> Column:
     """Add ``s``, what replaces the entity, to structs of e, kind, norm, ok and attempt: of its kind, length and form."""
     items = _with(items, stream=lambda x: _stream(key, x["kind"], x["norm"], x["attempt"].cast("string")))
-    items = _with(items, rest=lambda x: F.reverse(x["stream"]), body=lambda x: _rewritten(x["e"], x["stream"]))
+    # numbers are rewritten without what separates their digits, so all forms of one get the same
+    items = _with(items, rest=lambda x: F.reverse(x["stream"]), plain=lambda x: F.when(x["kind"] == "email", x["e"]).otherwise(F.regexp_replace(x["norm"], "[^0-9A-Z]", "")))
+    items = _with(items, body=lambda x: _rewritten(x["plain"], x["stream"]))
     # the last digit of a card makes its check valid
-    items = _with(items, card=lambda x: F.concat(F.substring(x["e"], 1, 1), F.substring(x["body"], F.lit(2), F.length(x["e"]) - 2)))
+    items = _with(items, card=lambda x: F.concat(F.substring(x["plain"], 1, 1), F.substring(x["body"], F.lit(2), F.length(x["plain"]) - 2)))
     made = {
         "email": _email,
         "ip": lambda x: F.array_join(F.transform(F.split(x["e"], r"\."), lambda p, i: _octet(p, _byte(x["stream"], i))), "."),
+    }
+    numbers = {
         "phone": _phone,
         "card": lambda x: F.concat(x["card"], F.pmod(-_weighed(F.concat(x["card"], F.lit("0"))), F.lit(10)).cast("string")),
-        "iban": lambda x: F.concat(F.substring(x["e"], 1, 2), F.substring(x["body"], F.lit(3), F.length(x["e"]))),
+        "iban": lambda x: F.concat(F.substring(x["plain"], 1, 2), F.substring(x["body"], F.lit(3), F.length(x["plain"]))),
         "ssn": lambda x: F.concat(F.lit("9"), _tail(x["body"])),  # numbers that begin with 9 are never given out
     }
 
+    def number(x: Column) -> Column:
+        out = x["plain"]
+        for kind, f in numbers.items():
+            out = F.when(x["kind"] == kind, f(x)).otherwise(out)
+        return out
+
+    items = _with(items, number=number)
+
     def one(x: Column) -> Column:
         out = _person(x)
         for kind, f in made.items():
             out = F.when(x["kind"] == kind, f(x)).otherwise(out)
-        return out
+        return F.when(x["kind"].isin(*numbers), _laid(x["number"], x["e"])).otherwise(out)
 
     return _with(items, s=one)
 
