@@ -11,8 +11,10 @@ IBANs, and names after a title.  A surrogate keeps what the entity looks like:
 
 A surrogate is a function of key, kind, entity and an attempt number; the entity is normalised, so all its mentions get
 the same one (coreference), whatever separates the digits; a title's gender belongs to the name.  Collision check: the distinct entities of all documents are counted by surrogate; of those that
-share one (or meet an entity that is itself in the documents) all but the first try the next attempt, until none collide or
-``ATTEMPTS`` are made; the few attempts above 0 go back to the documents in a join, by broadcast only below a counted bound.
+share one (or meet an entity that is itself in the documents) all but the first try the next attempt, until none collide.
+Each attempt after the first has a larger space: names get one more last name, local parts one more letter, octets any
+length.  Numbers keep their digits; if there are more of a form than it has values, ``LIMIT`` ends it with an error.
+The few attempts above 0 go back to the documents in a join, by broadcast only below a counted bound.
 
 Defined results: null texts stay null, empty ones empty; rows may repeat and are treated alike; overlapping detections go to
 the earlier one, then to the order of the kinds; texts are read and rewritten whole; other columns stay as they are.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KEY = "formledger"  #: replace it by a secret of your own
-ATTEMPTS = 6
+LIMIT = 64  #: attempts before a form counts as full, which is an error
 
 # The patterns, in order of precedence.
 PATTERNS = {
@@ -112,8 +114,8 @@ def _rewritten(s: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
-def _listed(words: list[str], stream: Column, at: int) -> Column:
-    return F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(_byte(stream, F.lit(at)), F.lit(len(words))).cast("int") + 1)
+def _listed(words: list[str], stream: Column, at: int | Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), F.pmod(_byte(stream, at if isinstance(at, Column) else F.lit(at)), F.lit(len(words))).cast("int") + 1)
 
 
 def _tail(s: Column) -> Column:
@@ -153,7 +155,9 @@ def named(x: Column) -> Column:
 def _email(x: Column) -> Column:
     domain = F.substring_index(x["e"], "@", -1)
     below = _rewritten(F.regexp_extract(domain, r"^(.*?)(?:[^.]+\.[^.]+)$", 1), x["rest"])
-    return F.concat(F.substring_index(x["body"], "@", 1), F.lit("@"), below, _listed(DOMAINS, x["stream"], 40))
+    # one more letter for each further attempt: local parts can be short
+    more = F.array_join(F.transform(F.sequence(F.lit(0), x["attempt"]), lambda k: F.when(k > 0, F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _byte(x["rest"], k * 5) % 26 + 1, F.lit(1))).otherwise("")), "")
+    return F.concat(F.substring_index(x["body"], "@", 1), more, F.lit("@"), below, _listed(DOMAINS, x["stream"], 40))
 
 
 def _laid(letters: Column, mention: Column) -> Column:
@@ -172,8 +176,9 @@ def _person(x: Column) -> Column:
     cyrillic, female = name.rlike(r"\p{IsCyrillic}"), x["e"].rlike(FEMALE)
     first = F.when(cyrillic, F.when(female, _listed(FIRST["f", "cyrillic"], stream, 3)).otherwise(_listed(FIRST["m", "cyrillic"], stream, 3))).otherwise(F.when(female, _listed(FIRST["f", "latin"], stream, 3)).otherwise(_listed(FIRST["m", "latin"], stream, 3)))
     last = lambda at: F.when(cyrillic, _listed(LAST["cyrillic"], stream, at)).otherwise(_listed(LAST["latin"], stream, at))
-    # further attempts have a double name: the lists alone are short
-    full = F.concat(F.when(name.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), last(7), F.when(x["attempt"] > 0, F.concat(F.lit("-"), last(11))).otherwise(""), F.when(x["attempt"] > 1, F.concat(F.lit("-"), last(15))).otherwise(""))
+    # each further attempt has one more last name: the lists alone are short
+    lasts = F.array_join(F.transform(F.sequence(F.lit(0), x["attempt"]), lambda k: last(k * 4 + 7)), "-")
+    full = F.concat(F.when(name.contains(" "), F.concat(first, F.lit(" "))).otherwise(""), lasts)
     return F.concat(title, F.lit(" "), F.when(name == F.upper(name), F.upper(full)).otherwise(full))
 
 
@@ -187,7 +192,7 @@ def surrogates(items: Column, key: str = KEY) -> Column:
     items = _with(items, card=lambda x: F.concat(F.substring(x["plain"], 1, 1), F.substring(x["body"], F.lit(2), F.length(x["plain"]) - 2)))
     made = {
         "email": _email,
-        "ip": lambda x: F.array_join(F.transform(F.split(x["e"], r"\."), lambda p, i: _octet(p, _byte(x["stream"], i))), "."),
+        "ip": lambda x: F.array_join(F.transform(F.split(x["e"], r"\."), lambda p, i: F.when(x["attempt"] > 1, (_byte(x["stream"], i) % 256).cast("string")).otherwise(_octet(p, _byte(x["stream"], i)))), "."),
     }
     numbers = {
         "phone": _phone,
@@ -224,7 +229,7 @@ def settle_attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     known = found.select(F.explode("items").alias("x")).where("x.ok").groupBy("x.kind", "x.norm").agg(F.min("x.e").alias("e"))
     state = common.settled(known.withColumn("attempt", F.lit(0)), "entities")
     own = state.select(F.col("kind").alias("k"), F.col("norm").alias("taken"))
-    for _ in range(ATTEMPTS):
+    for _ in range(LIMIT):
         made = surrogates(F.array(F.struct("e", "kind", "norm", F.lit(True).alias("ok"), "attempt")), key)[0]["s"]
         tried = common.settled(state.withColumn("s", normal(F.col("kind"), made)), "tried")
         # a surrogate belongs to the entity that needed the most attempts for it, then to the last by its text
@@ -233,9 +238,9 @@ def settle_attempts(found: DataFrame, key: str = KEY) -> DataFrame:
         meets = tried.join(own, (F.col("k") == F.col("kind")) & (F.col("taken") == F.col("s")), "left_semi").select("kind", "norm")
         again = common.settled(clash.union(meets).distinct().withColumn("more", F.lit(1)), "again")
         if not again.take(1):
-            break
+            return common.settled(state.where("attempt > 0").select("kind", "norm", "attempt"), "attempts")
         state = common.settled(state.join(again, ["kind", "norm"], "left").select("kind", "norm", "e", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-    return common.settled(state.where("attempt > 0").select("kind", "norm", "attempt"), "attempts")
+    raise ValueError(f"surrogates still collide after {LIMIT} attempts: a form has more entities than values")
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:

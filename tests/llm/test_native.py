@@ -172,3 +172,12 @@ def test_forms_of_one_entity_have_one_surrogate(spark):
             assert m != f and re.sub("[0-9A-Z]", "x", m) == re.sub("[0-9A-Z]", "x", f)
     assert got[90].split(" ", 1)[1].upper() == got[91].split(" ", 1)[1]
     assert got[90].split(" ", 1)[1] != got[92].split(" ", 1)[1]
+
+
+def test_surrogates_stay_distinct_in_small_spaces(spark):
+    """More titled names than the lists' double names, and more short local parts than one letter has."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"Г-н Имя{chr(1072 + i // 900)}{chr(1072 + i // 30 % 30)}{chr(1072 + i % 30)} пришёл") for i in range(1500)]
+    rows += [(2000 + i, f"to {letters[i % 26]}@{letters[i // 26]}.org") for i in range(400)]
+    out = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(out.values())) == len(rows)
