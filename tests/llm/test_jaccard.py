@@ -92,7 +92,7 @@ def test_query_against_postings(spark, small):
     assert len({c for _, c in want.values()}) < len(rows)
 
 
-@pytest.mark.parametrize("k, num, den, copies, edits", [(3, 90, 100, 120, 3), (5, 8, 10, 90, 3)])
+@pytest.mark.parametrize("k, num, den, copies, edits", [(3, 90, 100, 120, 3), (5, 8, 10, 90, 6)])
 def test_links_of_crowded_sets_are_counted(spark, k, num, den, copies, edits):
     """A group of more than HOT near copies, and another that hangs together through chains: n_links as the SQL has it."""
     import duckdb
@@ -116,4 +116,4 @@ def test_links_of_crowded_sets_are_counted(spark, k, num, den, copies, edits):
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=den).collect()}
     assert got == want
-    assert max(n for _, _, n in got.values()) > jaccard.HOT
+    assert max(n for _, _, n in got.values()) > 40
