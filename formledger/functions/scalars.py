@@ -168,6 +168,7 @@ def revision_of(*parts: Column) -> Column:
 
 HASH = r"^[0-9a-f]{64}$"
 NAME = r"^[A-Za-z0-9_-]{1,80}$"
+#: Fixed value: a path that names one node, each step with its number.
 SINGLE_NODE_XPATH = r"^(/[A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*\[[1-9][0-9]*\])+$"
 
 
@@ -323,7 +324,8 @@ def viewer(name: Column) -> Column:
     return F.when(low.contains("wps"), "wps").when(low.contains("word"), "word")
 
 
-BLOCKING = ("sectPr", "tbl", "hdr", "ftr", "fld", "sdt", "numPr", "style")  #: elements whose warnings block
+#: Elements whose warnings block.
+BLOCKING = ("sectPr", "tbl", "hdr", "ftr", "fld", "sdt", "numPr", "style")
 
 
 def warning_severity(target: Column) -> Column:
@@ -352,3 +354,20 @@ def rule_path_problem(path: Column) -> Column:
 def final_name_ok(name: Column) -> Column:
     """Names of final files: a base, the word final, a number."""
     return name.rlike(r"^[^/\\\\]+_final_v[0-9]+\.docx$")
+
+
+def slot_value(json: Column) -> Column:
+    """The value of a slot that is either bare or wrapped in an object with a field ``value``."""
+    v = F.try_parse_json(json)
+    wrapped = F.coalesce(F.schema_of_variant(v).rlike(r"^OBJECT<(.*, )?value:"), F.lit(False))
+    return F.when(wrapped, F.try_variant_get(v, "$.value", "string")).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def outside(items: Column, allowed: Column) -> Column:
+    """What an array has beyond the allowed values, sorted; empty if it is a subset."""
+    return F.array_sort(F.array_except(items, allowed))
+
+
+def shared(items: Column, others: Column) -> Column:
+    """What two arrays have in common, sorted."""
+    return F.array_sort(F.array_intersect(items, others))

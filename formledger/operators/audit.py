@@ -32,6 +32,31 @@ def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> Da
     return both.select(F.coalesce("_b", "_a").alias(key), change.alias("change"), changed.alias("fields")).where(F.col("change").isNotNull())
 
 
+def diff_nodes(before: DataFrame, after: DataFrame, doc: str, identity: str, path: str, fields: list[str]) -> DataFrame:
+    """Nodes of two snapshots, matched by identity where both have it, the rest by path.
+
+    doc, matched_by (identity, path or none), path_before, path_after, change (added, removed, changed, moved), fields.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(doc).alias("_doc"), F.col(identity).alias("_id"), F.col(path).alias(f"path_{name}"), F.struct(*fields).alias(name))
+
+    b, a = side(before, "before"), side(after, "after")
+    same = b.where("_id IS NOT NULL").join(a.where("_id IS NOT NULL"), ["_doc", "_id"]).withColumn("matched_by", F.lit("identity"))
+    met = same.select("_doc", "path_before", "path_after")
+    rest_b = b.join(met.select("_doc", "path_before"), ["_doc", "path_before"], "left_anti").drop("_id")
+    rest_a = a.join(met.select("_doc", "path_after"), ["_doc", "path_after"], "left_anti").drop("_id")
+    x, y = rest_b.alias("x"), rest_a.withColumnRenamed("_doc", "_doc_after").alias("y")
+    both = x.join(y, (F.col("x._doc") == F.col("y._doc_after")) & (F.col("path_before") == F.col("path_after")), "full_outer")
+    by = F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), "path").otherwise("none")
+    rest = both.select(F.coalesce("_doc", "_doc_after").alias("_doc"), "path_before", "before", "path_after", "after", by.alias("matched_by"))
+    rows = same.select(*rest.columns).unionByName(rest)
+    names = F.array_compact(F.array(*[F.when(~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}")), f) for f in sorted(fields)]))
+    pair = F.col("path_before").isNotNull() & F.col("path_after").isNotNull()
+    change = F.when(F.col("path_before").isNull(), "added").when(F.col("path_after").isNull(), "removed").when(F.size(names) > 0, "changed").when(F.col("path_before") != F.col("path_after"), "moved")
+    out = rows.select(F.col("_doc").alias(doc), "matched_by", "path_before", "path_after", change.alias("change"), F.when(pair, F.array_join(names, ",")).alias("fields"))
+    return out.where("change IS NOT NULL")
+
+
 def drift(actual: DataFrame, expected: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, code (missing, unknown, field_differs), field, expected, actual: a table against its reference."""
     e = expected.select(F.col(key).alias("_e"), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias("want"))

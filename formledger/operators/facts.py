@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 #: How sure a value is, by where it comes from, the strongest last.
 CONFIDENCE = {"unresolved": 0.0, "legacy": 0.5, "word_ui_default": 0.6, "theme": 0.75, "doc_defaults": 0.85, "style_inherit": 0.9, "direct": 0.98}
 
@@ -30,20 +32,23 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return docs.select(*[c for c in docs.columns if c != text], F.posexplode(kept).alias("at", "line")).withColumn("pos", F.col("at") + 1).drop("at")
 
 
-def style_chains(styles: DataFrame, limit: int = 32) -> DataFrame:
+def style_chains(styles: DataFrame) -> DataFrame:
     """doc_id, style_id, ancestor, level (0: itself): styles with all they inherit from.
 
-    Each style is resolved once, by joins that double the reach; a style that comes again ends its chain.
+    Each round appends to a style's chain the chain of the style it ends at, so chains double; a style that comes again ends its chain.
     """
-    own = styles.select("doc_id", "style_id", "based_on")
-    step = own.select("doc_id", "style_id", F.array("style_id").alias("chain"), F.col("based_on").alias("next"))
-    up = own.select(F.col("doc_id").alias("d"), F.col("style_id").alias("s"), F.col("based_on").alias("above"))
-    for _ in range(limit):
-        open_ = step.where(F.col("next").isNotNull() & ~F.array_contains("chain", F.col("next")))
-        if not open_.take(1):
-            break
-        joined = step.join(up, (F.col("doc_id") == F.col("d")) & (F.col("next") == F.col("s")) & ~F.array_contains("chain", F.col("next")), "left")
-        step = joined.select("doc_id", "style_id", F.when(F.col("s").isNotNull(), F.concat("chain", F.array("s"))).otherwise(F.col("chain")).alias("chain"), F.when(F.col("s").isNotNull(), F.col("above")).alias("next"))
+    step = styles.select("doc_id", "style_id", F.array("style_id").alias("chain"), F.when(F.col("based_on") != F.col("style_id"), F.col("based_on")).alias("next"))
+    step = tables.settled(step, "style-chains")
+    while step.where("next IS NOT NULL").take(1):
+        up = step.select(F.col("doc_id").alias("d"), F.col("style_id").alias("s"), F.col("chain").alias("more"), F.col("next").alias("after"))
+        joined = step.join(up, (F.col("doc_id") == F.col("d")) & (F.col("next") == F.col("s")), "left")
+        seen = F.array_position(F.transform(F.coalesce("more", F.array().cast("array<string>")), lambda x: F.array_contains("chain", x)), True)
+        new = F.when(seen > 0, F.slice("more", F.lit(1), (seen - 1).cast("int"))).otherwise(F.coalesce("more", F.array().cast("array<string>")))
+        again = F.array_contains(F.concat("chain", new), F.col("after"))
+        longer, then = F.concat("chain", new), F.when((seen == 0) & ~F.coalesce(again, F.lit(False)), F.col("after"))
+        # under names of their own: a new column named chain would be what the lambda sees
+        step = joined.select("doc_id", "style_id", longer.alias("longer"), then.alias("then")).toDF("doc_id", "style_id", "chain", "next")
+        step = tables.settled(step, "style-chains")
     return step.select("doc_id", "style_id", F.posexplode("chain").alias("level", "ancestor"))
 
 

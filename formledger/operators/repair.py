@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+
 BATCH = 12  #: operations in a batch
 
 
@@ -14,7 +16,7 @@ def review_items(issues: DataFrame, run: str, *order: str) -> DataFrame:
     return issues.withColumn("nth", nth).withColumn("review_id", F.format_string("R-%04d", F.col("nth")))
 
 
-def decided(items: DataFrame, decisions: DataFrame, key: str = "review_id") -> DataFrame:
+def decided(items: DataFrame, decisions: DataFrame, key: str | list[str] = "review_id") -> DataFrame:
     """Items with their decision; without one they are pending."""
     return items.join(decisions, key, "left").withColumn("decision_status", F.coalesce("decision_status", F.lit("pending")))
 
@@ -160,7 +162,7 @@ def heavy_write_problems(operations: DataFrame, decisions: DataFrame, parts: Dat
     rows = operations.where("risk_class = 'L3_WRITE'").join(d, F.col("review_id") == F.col("_review"), "left").join(p.withColumnRenamed("run_id", "_run"), (F.col("run_id") == F.col("_run")) & (F.col("part") == F.col("_part")), "left")
     code = (
         F.when(F.col("command") != "raw-set", "heavy_not_raw")
-        .when(~F.coalesce(F.col("xpath").rlike(r"^(/[A-Za-z_][\w.-]*:[A-Za-z_][\w.-]*\[[1-9][0-9]*\])+$"), F.lit(False)), "heavy_xpath")
+        .when(~F.coalesce(F.col("xpath").rlike(scalars.SINGLE_NODE_XPATH), F.lit(False)), "heavy_xpath")
         .when(F.coalesce(F.col("expected_match_count"), F.lit(0)) != 1, "heavy_match_count")
         .when(F.sha2("xml", 256) != F.col("xml_sha256"), "heavy_payload_hash")
         .when(F.coalesce(F.col("_decision"), F.lit("")) != "approved", "heavy_not_approved")
@@ -169,3 +171,8 @@ def heavy_write_problems(operations: DataFrame, decisions: DataFrame, parts: Dat
         .when(F.col("n_in_batch") != 1, "heavy_not_alone")
     )
     return rows.withColumn("code", code).where(F.col("code").isNotNull()).select("operation_id", "code")
+
+
+def flattened(batches: DataFrame, operations: str, *keep: str) -> DataFrame:
+    """One row for each operation of a batch's array: the kept columns, index (from 0) and the operation's fields."""
+    return batches.select(*keep, F.posexplode(operations).alias("index", "_op")).select(*keep, "index", "_op.*")

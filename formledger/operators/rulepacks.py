@@ -140,15 +140,55 @@ NODE = [
     Rule("positional_rebindable", "rebindable", when("selector_kind = 'positional'", "NOT rebindable")),
     Rule("hash_pattern", "content_fingerprint", f"content_fingerprint {HASH}"),
 ]
+#: The statuses of a run's execution.
+RUN_STATUSES = ("preflight_pending", "snapshot_ready", "plan_finalized", "execution_in_progress", "execution_failed_retryable", "execution_failed_final", "executed_ready", "blocked_waiting_native_toc", "toc_refresh_in_progress", "toc_refresh_failed_final", "review_ready", "accepted", "blocked")
 EXECUTION_LOG = [
-    one_of("status", "running", "executed_ready", "review_ready", "failed", "retryable_failure", "done", "already_applied"),
+    one_of("status", *RUN_STATUSES),
+    Rule("retry_reason", "retry_reason", when("status = 'execution_failed_retryable'", "retry_reason IS NOT NULL")),
+    Rule("resume_forbidden", "resume_allowed", when("resume_allowed", "status IN ('execution_in_progress', 'execution_failed_retryable', 'executed_ready')")),
     Rule("attempt_positive", "attempt_no", "attempt_no > 0"),
-    Rule("done_without_after", "after_ref", when("status = 'done'", "after_ref IS NOT NULL AND n_failed = 0")),
-    Rule("failed_without_ids", "n_failed", when("status = 'failed'", "n_failed > 0")),
+    Rule("done_without_after", "after_ref", when("status IN ('executed_ready', 'review_ready', 'accepted')", "after_ref IS NOT NULL AND n_failed = 0")),
+    Rule("failed_without_ids", "n_failed", when("status = 'execution_failed_final'", "n_failed > 0")),
+]
+#: Why a resolver chose a role.
+REASONS = ("ROLEMAP_CONSISTENT", "ROLEMAP_CONFLICT_WARNING", "ROLEMAP_CONFLICT_BLOCKED", "LEGACY_ROLE_DIAGNOSTIC", "STRUCTURE_RULE_USED", "STRUCTURE_RULE_WARNING", "STRUCTURE_RULE_BLOCKED", "USER_CONFIRMED", "UNRESOLVED_MAPPING", "LOW_CONFIDENCE", "MULTI_ROLE_CONFLICT")
+RESOLVER_REASON = [
+    *required("message", "source"),
+    one_of("reason_code", *REASONS, code="reason_unknown"),
+]
+#: For rows of a product joined with the snapshot of its run (``snapshot_...``).
+SOURCE_CONSISTENCY = [
+    Rule("source_differs", f, f"{f} <=> snapshot_{f}") for f in ("source_artifact_id", "source_sha256", "source_size_bytes")
+]
+LEGACY_LOG = [
+    *required("run_id", "plan_path", "plan_sha256", "document_path", "document_sha256"),
+    one_of("schema_id", "repair-execution-log"),
+    one_of("contract_version", "legacy"),
+    Rule("size_positive", "plan_size_bytes", "plan_size_bytes > 0"),
+    Rule("size_positive", "document_size_bytes", "document_size_bytes > 0"),
+]
+LEGACY_ACTION = [
+    *required("action_id"),
+    one_of("status", "executed", "skipped", "rejected", "failed"),
+]
+LEGACY_CHECK = [
+    *required("check_id", "action_id", "check_type"),
+    one_of("status", "passed", "failed", "skipped", "not_applicable"),
+    one_of("review_status", "passed", "passed_with_warnings", "failed"),
+    Rule("blocked_but_executed", "source_execution_status", when("source_action_status = 'blocked'", "source_execution_status IS NULL OR source_execution_status = 'rejected'")),
+    Rule("executed_unchecked", "check_type", when("source_execution_status = 'executed'", "check_type IN ('after_value_match', 'snapshot_diff')")),
+    Rule("failed_but_passed", "review_status", when("blocking AND status = 'failed'", "review_status = 'failed' AND gate_status = 'failed'")),
+]
+REPORTING = [
+    *required("run_id", "report_path", "acceptance_sha256"),
+    Rule("acceptance_changed", "acceptance_sha256", "acceptance_sha256 = accepted_sha256"),
+    Rule("fields_leaked", "acceptance_fields", "NOT arrays_overlap(acceptance_fields, array('report_path', 'report_sha256', 'reported_at'))"),
+    Rule("report_missing", "report_exists", "report_exists"),
 ]
 PACKS = {
     "stage_result": STAGE_RESULT, "run_state": RUN_STATE, "rule_draft": RULE_DRAFT, "audit_item": AUDIT_ITEM, "review_item": REVIEW_ITEM, "plan": PLAN, "action": ACTION,
     "request": REQUEST, "artifact": ARTIFACT, "toc": TOC, "acceptance": ACCEPTANCE, "node": NODE, "execution_log": EXECUTION_LOG,
+    "resolver_reason": RESOLVER_REASON, "source": SOURCE_CONSISTENCY, "legacy_log": LEGACY_LOG, "legacy_action": LEGACY_ACTION, "legacy_check": LEGACY_CHECK, "reporting": REPORTING,
 }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,15 @@ def missing_and_extra(actual: DataFrame, expected: DataFrame, key: str) -> DataF
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one of two tables has more often, with the side."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def listed(found: DataFrame, key: str = "entity_id") -> DataFrame:
+    """key, problems: the violations of each entity as ``field: code``, by field and code; a pack's size bounds the list."""
+    item = F.concat(F.col("field"), F.lit(": "), F.col("code"))
+    return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_set(F.struct("field", "code", item.alias("text")))), lambda x: x["text"]).alias("problems"))
+
+
+def first_rows(df: DataFrame, key: str, order: list, limit: int = 50) -> DataFrame:
+    """The first rows of each key, with their place; the limit is the feature (what a reader sees of a long list)."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("place", nth).where(F.col("place") <= limit)

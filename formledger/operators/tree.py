@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import tables
 
-def reachable(nodes: DataFrame, roots: list[str], limit: int = 64) -> DataFrame:
-    """doc_id, path of the nodes under the roots; each round joins the frontier with its children, whatever a document's shape."""
+
+def reachable(nodes: DataFrame, roots: list[str]) -> DataFrame:
+    """doc_id, path of the nodes under the roots, of any depth; each round joins the frontier with its children."""
     edges = nodes.select(F.col("doc_id").alias("d"), F.col("parent_path").alias("up"), F.col("path").alias("below"))
-    frontier = nodes.where(F.col("path").isin(roots)).select("doc_id", "path").distinct()
+    frontier = tables.settled(nodes.where(F.col("path").isin(roots)).select("doc_id", "path").distinct(), "roots")
     found = frontier
-    for _ in range(limit):
+    while frontier.take(1):
         down = frontier.join(edges, (F.col("doc_id") == F.col("d")) & (F.col("path") == F.col("up"))).select(F.col("d").alias("doc_id"), F.col("below").alias("path")).distinct()
-        frontier = down.join(found, ["doc_id", "path"], "left_anti").persist()
-        if not frontier.take(1):
-            break
+        frontier = tables.settled(down.join(found, ["doc_id", "path"], "left_anti"), "frontier")
         found = found.unionByName(frontier)
     return found
 

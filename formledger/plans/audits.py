@@ -103,11 +103,15 @@ def q09b_risk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q17_style_chains(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations inherit from regions, regions from one base: each style with its ancestors and their level."""
-    nations = table(spark, folder, "nation").select(F.lit(1).alias("doc_id"), F.col("n_name").alias("style_id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("based_on"))
-    regions = table(spark, folder, "region").select(F.lit(1).alias("doc_id"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("style_id"), F.lit("base").alias("based_on"))
-    base = regions.limit(1).select("doc_id", F.lit("base").alias("style_id"), F.lit("base").alias("based_on"))  # a loop ends its chain
-    return facts.style_chains(nations.unionByName(regions).unionByName(base)).drop("doc_id")
+    """Customers inherit from nations, nations from regions, regions from one base, by segment: each style with its ancestors and their level."""
+    customers = table(spark, folder, "customer")
+    segments = customers.select(F.col("c_mktsegment").alias("doc_id")).distinct()
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    leaves = customers.select(F.col("c_mktsegment").alias("doc_id"), name("C", "c_custkey").alias("style_id"), name("N", "c_nationkey").alias("based_on"))
+    shared = table(spark, folder, "nation").select(name("N", "n_nationkey").alias("style_id"), name("R", "n_regionkey").alias("based_on"))
+    shared = shared.unionByName(table(spark, folder, "region").select(name("R", "r_regionkey").alias("style_id"), F.lit("base").alias("based_on")))
+    base = segments.select("doc_id", F.lit("base").alias("style_id"), F.lit("R0").alias("based_on"))  # a loop ends its chain
+    return facts.style_chains(leaves.unionByName(segments.crossJoin(F.broadcast(shared))).unionByName(base))
 
 
 def q24_review(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,8 +120,7 @@ def q24_review(spark: SparkSession, folder: str) -> DataFrame:
     issues = labels.where("quality = 0 OR toxic = 1").join(docs, "doc_id").withColumn("blocking", F.col("toxic") == 1)
     items = repair.review_items(issues, "source", "doc_id")
     decisions = items.where(F.col("doc_id") % 3 == 0).select("source", "review_id", F.when(F.col("doc_id") % 2 == 0, "approved").otherwise("rejected").alias("decision_status"))
-    done = items.join(decisions, ["source", "review_id"], "left").withColumn("decision_status", F.coalesce("decision_status", F.lit("pending")))
-    return repair.review_counts(done, "source")
+    return repair.review_counts(repair.decided(items, decisions, ["source", "review_id"]), "source")
 
 
 QUERIES = {
@@ -144,6 +147,7 @@ UNION ALL SELECT ek, 'field_differs', 'o_orderpriority', ep, ap FROM j WHERE ek
 a AS (SELECT o_orderkey AS action_id, CASE o_orderkey % 4 WHEN 0 THEN 'W1' WHEN 1 THEN 'W2' WHEN 2 THEN 'W3' ELSE 'W9' END AS whitelist_id, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' ELSE 'set' END AS o, CASE WHEN o_orderkey % 3 = 0 THEN 'structure' ELSE 'format' END AS t, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'priority' ELSE 'status' END AS att FROM orders)
 SELECT action_id, whitelist_id, CASE WHEN wo IS NULL THEN 'policy_unknown' WHEN o <> wo THEN 'policy_operation' WHEN t <> wt THEN 'policy_type' ELSE 'policy_attribute' END AS code FROM a LEFT JOIN w USING (whitelist_id) WHERE wo IS NULL OR o <> wo OR t <> wt OR att IS DISTINCT FROM wa""",
     "q09b_risk": "SELECT CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 5 IN (0, 1) THEN 'L3_WRITE' WHEN o_orderkey % 4 = 0 THEN 'L2' ELSE 'L1' END AS risk_class, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
-    "q17_style_chains": "WITH RECURSIVE s AS (SELECT n_name AS style_id, 'R' || n_regionkey AS based_on FROM nation UNION ALL SELECT 'R' || r_regionkey, 'base' FROM region UNION ALL SELECT 'base', 'base'), c AS (SELECT style_id, style_id AS ancestor, 0 AS level, [style_id] AS seen FROM s UNION ALL SELECT c.style_id, s.based_on, level + 1, list_append(seen, s.based_on) FROM c JOIN s ON s.style_id = c.ancestor WHERE NOT list_contains(seen, s.based_on)) SELECT style_id, level, ancestor FROM c",
+    "q17_style_chains": """WITH RECURSIVE g AS (SELECT DISTINCT c_mktsegment AS doc_id FROM customer), s AS (SELECT c_mktsegment AS doc_id, 'C' || c_custkey AS style_id, 'N' || c_nationkey AS based_on FROM customer UNION ALL SELECT doc_id, 'N' || n_nationkey, 'R' || n_regionkey FROM g, nation UNION ALL SELECT doc_id, 'R' || r_regionkey, 'base' FROM g, region UNION ALL SELECT doc_id, 'base', 'R0' FROM g),
+c AS (SELECT doc_id, style_id, style_id AS ancestor, 0 AS level, [style_id] AS seen FROM s UNION ALL SELECT c.doc_id, c.style_id, s.based_on, level + 1, list_append(seen, s.based_on) FROM c JOIN s ON s.doc_id = c.doc_id AND s.style_id = c.ancestor WHERE NOT list_contains(seen, s.based_on)) SELECT doc_id, style_id, level, ancestor FROM c""",
     "q24_review": "WITH i AS (SELECT d.source, l.doc_id, toxic = 1 AS blocking, CASE WHEN l.doc_id % 3 <> 0 THEN 'pending' WHEN l.doc_id % 2 = 0 THEN 'approved' ELSE 'rejected' END AS s FROM labels l JOIN documents d USING (doc_id) WHERE quality = 0 OR toxic = 1) SELECT source, count(*) AS n_items, count(*) FILTER (s = 'pending') AS pending_count, count(*) FILTER (blocking) AS blocking_count, count(*) FILTER (blocking AND s = 'pending') AS unresolved_count FROM i GROUP BY ALL",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, live, profiles, reports, runs
+from . import audits, live, packs, profiles, relations, reports, runs, values
 
-QUERIES = {**profiles.QUERIES, **audits.QUERIES, **runs.QUERIES, **reports.QUERIES, **live.QUERIES}
-ORACLE_SQL = {**profiles.ORACLE_SQL, **audits.ORACLE_SQL, **runs.ORACLE_SQL, **reports.ORACLE_SQL, **live.ORACLE_SQL}
+QUERIES = {**profiles.QUERIES, **audits.QUERIES, **runs.QUERIES, **reports.QUERIES, **live.QUERIES, **values.QUERIES, **packs.QUERIES, **relations.QUERIES}
+ORACLE_SQL = {**profiles.ORACLE_SQL, **audits.ORACLE_SQL, **runs.ORACLE_SQL, **reports.ORACLE_SQL, **live.ORACLE_SQL, **values.ORACLE_SQL, **packs.ORACLE_SQL, **relations.ORACLE_SQL}

@@ -35,7 +35,7 @@ def _drained(spark: SparkSession, stream: DataFrame, mode: str, what: str) -> Da
 def q25_stream_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Events by hour and kind, each event once."""
     events = tracker.once(_stream(spark, folder).withColumnRenamed("event_type", "kind"), key="event_id")
-    counts = events.groupBy(F.window("ts", "1 hour").alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+    counts = tracker.gate_counts(events, late=None)
     rows = _drained(spark, counts, "update", "stream-counts")
     return rows.groupBy(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "kind").agg(F.max("n").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import report
+from ..sources import files
 from ..sources.tables import table
 
 
@@ -46,7 +47,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Turns as the lines of a report for each conversation: user turns are headers."""
     turns = table(spark, folder, "conversations")
     head = F.concat(F.lit("## "), F.when(F.col("turn") == 0, "conclusion").when(F.col("turn") == 2, "evidence").otherwise("appendix"))
-    body = F.concat(F.left("text", F.lit(40)), F.when(F.col("turn") % 3 == 1, " 12 pt").when(F.col("conv_id") % 5 == 0, " {rules_table} TODO").otherwise(""))
+    body = F.concat(F.col("text"), F.when(F.col("turn") % 3 == 1, " 12 pt").when(F.col("conv_id") % 5 == 0, " {rules_table} TODO").otherwise(""))
     lines = turns.select("conv_id", F.posexplode(F.array(F.when(F.col("role") == "user", head), body)).alias("part", "line"), "turn").where("line IS NOT NULL")
     return lines.select("conv_id", (F.col("turn") * 2 + F.col("part")).alias("line_no"), "line")
 
@@ -66,7 +67,7 @@ def q22_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of messages, whether they may be tried again, and how many."""
     words = ["protected view", "password", "Read-Only", "revision protect", "write protect", "macro", "link update", "convert", "corrupt", "x"]
     word = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("conv_id") % 10 + 1).cast("int"))
-    code = scalars.error_code(F.concat_ws(" ", F.left("text", F.lit(20)), word))
+    code = scalars.error_code(F.concat_ws(" ", "text", word))
     return table(spark, folder, "conversations").select(code.alias("code"), scalars.retryable(code).alias("retryable")).groupBy("code", "retryable").agg(F.count("*").alias("n"))
 
 
@@ -77,17 +78,9 @@ def q23_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q26_token_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that contain the first 60 characters of a benchmark text, matched by a window of words.
-
-    Phrases and texts meet on the hash of their first five words, so no text is compared with all phrases.
-    """
-    words = lambda c: F.split(F.lower(c), r"\s+")
-    phrase = F.slice(words(F.trim("text")), 1, 8)
-    rules = table(spark, folder, "benchmark").select("item_id", F.array_join(phrase, " ").alias("phrase"), F.size(phrase).alias("n")).where("n = 8")
-    w = words(F.trim("text"))
-    docs = table(spark, folder, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= 8)
-    windows = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " ")))).alias("phrase"))
-    return windows.join(rules, "phrase").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """Documents that hold eight words in a row of a benchmark text (or a whole shorter one), by item."""
+    found = files.phrase_scan(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 QUERIES = {
@@ -102,7 +95,7 @@ QUERIES = {
     "q26_token_scan": q26_token_scan,
 }
 _SQL_LINES = """l AS (SELECT conv_id, turn * 2 AS line_no, '## ' || CASE turn WHEN 0 THEN 'conclusion' WHEN 2 THEN 'evidence' ELSE 'appendix' END AS line FROM conversations WHERE role = 'user'
-UNION ALL SELECT conv_id, turn * 2 + 1, left(text, 40) || CASE WHEN turn % 3 = 1 THEN ' 12 pt' WHEN conv_id % 5 = 0 THEN ' {rules_table} TODO' ELSE '' END FROM conversations)"""
+UNION ALL SELECT conv_id, turn * 2 + 1, text || CASE WHEN turn % 3 = 1 THEN ' 12 pt' WHEN conv_id % 5 = 0 THEN ' {rules_table} TODO' ELSE '' END FROM conversations)"""
 _SIZES = " ".join(f"WHEN p = {s} THEN '{n}'" for s, n in scalars.FONT_SIZES.items()) + " " + " ".join(f"WHEN abs(p - {s}) <= 0.25 THEN '约{n}'" for s, n in scalars.FONT_SIZES.items())
 _NUM = "regexp_replace(regexp_replace(printf('%.2f', {v}), '0+$', ''), '\\.$', '')"
 ORACLE_SQL = {
@@ -119,10 +112,11 @@ CASE WHEN regexp_matches(line, '\{{[a-z][a-z0-9_]*\}}') THEN {{'code': 'template
     "q20b_sections": f"""WITH {_SQL_LINES}, s AS (SELECT conv_id, line_no, line, line LIKE '## %' AS h, last_value(CASE WHEN line LIKE '## %' THEN trim(substr(line, 4)) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_no) AS section FROM l),
 b AS (SELECT conv_id, section, count(*) FILTER (NOT h AND trim(line) <> '') AS n FROM s WHERE section IS NOT NULL GROUP BY ALL), w AS (SELECT conv_id, unnest(['conclusion', 'evidence', 'appendix']) AS section FROM (SELECT DISTINCT conv_id FROM l))
 SELECT conv_id, section, CASE WHEN n IS NULL THEN 'section_missing' ELSE 'section_empty' END AS code FROM w LEFT JOIN b USING (conv_id, section) WHERE n IS NULL OR n = 0""",
-    "q22_errors": """WITH m AS (SELECT lower(left(text, 20) || ' ' || (['protected view', 'password', 'Read-Only', 'revision protect', 'write protect', 'macro', 'link update', 'convert', 'corrupt', 'x'])[conv_id % 10 + 1]) AS m FROM conversations)
+    "q22_errors": """WITH m AS (SELECT lower(text || ' ' || (['protected view', 'password', 'Read-Only', 'revision protect', 'write protect', 'macro', 'link update', 'convert', 'corrupt', 'x'])[conv_id % 10 + 1]) AS m FROM conversations)
 SELECT CASE WHEN contains(m, 'protected view') THEN 'protected_view' WHEN contains(m, 'password') THEN 'password_required' WHEN contains(m, 'read-only') OR contains(m, 'read only') OR contains(m, 'readonly') THEN 'readonly_recommended' WHEN contains(m, 'revision') AND contains(m, 'protect') THEN 'revision_protected' WHEN contains(m, 'write') AND contains(m, 'protect') THEN 'write_protected' WHEN contains(m, 'macro') THEN 'macro_prompt'
 WHEN contains(m, 'link') AND contains(m, 'update') THEN 'link_update_prompt' WHEN contains(m, 'convert') THEN 'conversion_prompt' WHEN contains(m, 'corrupt') THEN 'document_corrupt' ELSE 'api_incompatible' END AS code, false AS retryable, count(*) AS n FROM m GROUP BY ALL""",
     "q23_hashes": "SELECT o_orderkey, sha256(k) AS idempotency_key, ('0x' || left(sha256(k), 8))::BIGINT AS plan_revision, 'SA-' || left(sha256(k), 16) AS action_id FROM (SELECT o_orderkey, o_orderkey || chr(10) || o_orderpriority || chr(10) || o_orderstatus AS k FROM orders)",
-    "q26_token_scan": r"""WITH r AS (SELECT item_id, array_to_string(x[1:8], ' ') AS phrase FROM (SELECT item_id, regexp_split_to_array(lower(trim(text)), '\s+') AS x FROM benchmark) WHERE len(x) >= 8), d AS (SELECT doc_id, regexp_split_to_array(lower(trim(text)), '\s+') AS x FROM documents),
-w AS (SELECT doc_id, array_to_string(x[i:i + 7], ' ') AS phrase FROM (SELECT doc_id, x, unnest(range(1, len(x) - 6)) AS i FROM d WHERE len(x) >= 8)) SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM w JOIN r USING (phrase) GROUP BY item_id""",
+    "q26_token_scan": r"""WITH b AS (SELECT item_id, regexp_split_to_array(lower(trim(text)), '\s+') AS x FROM benchmark), r AS (SELECT item_id, array_to_string(x, ' ') AS phrase, len(x) AS n FROM b WHERE len(x) < 8 AND x <> [''] UNION SELECT item_id, array_to_string(x[i:i + 7], ' '), 8 FROM (SELECT item_id, x, unnest(range(1, len(x) - 6)) AS i FROM b WHERE len(x) >= 8)),
+d AS (SELECT doc_id, regexp_split_to_array(lower(trim(text)), '\s+') AS x FROM documents), l AS (SELECT DISTINCT n FROM r), w AS (SELECT doc_id, n, array_to_string(x[i:i + n - 1], ' ') AS phrase FROM (SELECT doc_id, x, n, unnest(range(1, len(x) - n + 2)) AS i FROM d, l WHERE len(x) >= n))
+SELECT item_id, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM w JOIN r USING (phrase, n) GROUP BY item_id""",
 }

@@ -153,24 +153,61 @@ def _slots(props: DataFrame) -> DataFrame:
     return props.withColumn("x", F.explode(items)).select(*[c for c in props.columns if c not in ("attributes", "node_type")], "x.slot", "x.value_str")
 
 
+def _style_slots(nodes: DataFrame, kinds: str = "pr") -> DataFrame:
+    """doc_id, ancestor (a style's id), slot, value_str of each style's own formats: of paragraphs (p), runs (r) or both."""
+    in_styles = nodes.where(F.col("part_name") == PARTS[1])
+    named = in_styles.where("node_type = 'style'").select("doc_id", F.col("path").alias("style_path"), F.col("attributes")["styleId"].alias("ancestor"))
+    formats = in_styles.where(F.col("parent_path").rlike(rf"/style(\[[0-9]+\])?/[{kinds}]Pr\[1\]$")).select("doc_id", F.regexp_replace("parent_path", r"/[pr]Pr\[1\]$", "").alias("style_path"), "node_type", "attributes")
+    return _slots(formats.join(named, ["doc_id", "style_path"]).select("doc_id", "ancestor", "node_type", "attributes"))
+
+
+def _default_slots(nodes: DataFrame, kinds: str = "pr") -> DataFrame:
+    """doc_id, slot, value_str of the document's defaults."""
+    default = nodes.where((F.col("part_name") == PARTS[1]) & F.col("parent_path").rlike(rf"/docDefaults(\[1\])?/[{kinds}]PrDefault\[1\]/[{kinds}]Pr\[1\]$"))
+    return _slots(default.select("doc_id", "node_type", "attributes"))
+
+
 def paragraph_formats(nodes: DataFrame) -> DataFrame:
     """doc_id, element_id, slot, value_str, source, confidence: defaults, then the style chain (base first), then direct formats."""
     own = paragraphs(nodes).select("doc_id", "path", "element_id", "style_id")
     direct = nodes.where((F.col("part_name") == PARTS[0]) & F.col("parent_path").rlike(r"/p\[[0-9]+\]/pPr\[1\]$"))
     direct = direct.select("doc_id", F.regexp_replace("parent_path", r"/pPr\[1\]$", "").alias("path"), "node_type", "attributes").join(own, ["doc_id", "path"])
     layers = _slots(direct.select("doc_id", "element_id", "node_type", "attributes")).select("*", F.lit("direct").alias("source"), F.lit(1 << 20).alias("precedence"))
-    in_styles = nodes.where(F.col("part_name") == PARTS[1])
-    named = in_styles.where("node_type = 'style'").select("doc_id", F.col("path").alias("style_path"), F.col("attributes")["styleId"].alias("ancestor"))
-    formats = in_styles.where(F.col("parent_path").rlike(r"/style(\[[0-9]+\])?/[pr]Pr\[1\]$")).select("doc_id", F.regexp_replace("parent_path", r"/[pr]Pr\[1\]$", "").alias("style_path"), "node_type", "attributes")
-    by_style = _slots(formats.join(named, ["doc_id", "style_path"]).select("doc_id", "ancestor", "node_type", "attributes"))
     chains = facts.style_chains(styles(nodes))
-    styled = own.where("style_id IS NOT NULL").join(chains, ["doc_id", "style_id"]).join(by_style, ["doc_id", "ancestor"])
+    styled = own.where("style_id IS NOT NULL").join(chains, ["doc_id", "style_id"]).join(_style_slots(nodes), ["doc_id", "ancestor"])
     layers = layers.unionByName(styled.select("doc_id", "element_id", "slot", "value_str", F.lit("style_inherit").alias("source"), (F.lit(1 << 19) - F.col("level")).alias("precedence")))
-    default = in_styles.where(F.col("parent_path").rlike(r"/docDefaults(\[1\])?/[pr]PrDefault\[1\]/[pr]Pr\[1\]$")).select("doc_id", "node_type", "attributes")
-    everywhere = own.select("doc_id", "element_id").join(_slots(default), "doc_id").select("doc_id", "element_id", "slot", "value_str", F.lit("doc_defaults").alias("source"), F.lit(0).alias("precedence"))
+    everywhere = own.select("doc_id", "element_id").join(_default_slots(nodes), "doc_id").select("doc_id", "element_id", "slot", "value_str", F.lit("doc_defaults").alias("source"), F.lit(0).alias("precedence"))
     return facts.layered(layers.unionByName(everywhere), "doc_id", "element_id")
 
 
+def runs(nodes: DataFrame) -> DataFrame:
+    """doc_id, element_id (of the paragraph), run_index (from 1), run_style_id, text_preview, style_id (of the paragraph), path: runs right below paragraphs."""
+    body = nodes.where(F.col("part_name") == PARTS[0])
+    run = body.where((F.col("node_type") == "r") & F.col("path").rlike(r"/p\[[0-9]+\]/r\[[0-9]+\]$"))
+    run = run.select("doc_id", "path", F.regexp_replace("path", r"/r\[[0-9]+\]$", "").alias("paragraph"), F.regexp_extract("path", r"/r\[([0-9]+)\]$", 1).cast("int").alias("run_index"))
+    text = body.where("node_type = 't'").groupBy("doc_id", F.col("parent_path").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
+    style = body.where("node_type = 'rStyle'").select("doc_id", F.regexp_replace("parent_path", r"/rPr\[1\]$", "").alias("path"), F.col("attributes")["val"].alias("run_style_id"))
+    own = paragraphs(nodes).select("doc_id", F.col("path").alias("paragraph"), "element_id", "style_id")
+    rows = run.join(text, ["doc_id", "path"], "left").join(style, ["doc_id", "path"], "left").join(own, ["doc_id", "paragraph"])
+    return rows.select("doc_id", "element_id", "run_index", "run_style_id", scalars.preview(F.coalesce("text", F.lit("")), 80).alias("text_preview"), "style_id", "path")
+
+
+def run_formats(nodes: DataFrame) -> DataFrame:
+    """doc_id, element_id, run_index, slot, value_str, source, confidence: defaults, the paragraph's style, the run's style, direct formats."""
+    own = runs(nodes)
+    keys = ["doc_id", "element_id", "run_index"]
+    direct = nodes.where((F.col("part_name") == PARTS[0]) & F.col("parent_path").rlike(r"/r\[[0-9]+\]/rPr\[1\]$"))
+    direct = direct.select("doc_id", F.regexp_replace("parent_path", r"/rPr\[1\]$", "").alias("path"), "node_type", "attributes").join(own.select(*keys, "path"), ["doc_id", "path"])
+    layers = _slots(direct.select(*keys, "node_type", "attributes")).select("*", F.lit("direct").alias("source"), F.lit(1 << 20).alias("precedence"))
+    chains, by_style = facts.style_chains(styles(nodes)), _style_slots(nodes, "r")
+    for column, strongest in (("run_style_id", 1 << 19), ("style_id", 1 << 18)):
+        styled = own.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("own_style"))
+        styled = styled.join(chains.withColumnRenamed("style_id", "own_style"), ["doc_id", "own_style"]).join(by_style, ["doc_id", "ancestor"])
+        layers = layers.unionByName(styled.select(*keys, "slot", "value_str", F.lit("style_inherit").alias("source"), (F.lit(strongest) - F.col("level")).alias("precedence")))
+    everywhere = own.select(*keys).join(_default_slots(nodes, "r"), "doc_id").select(*keys, "slot", "value_str", F.lit("doc_defaults").alias("source"), F.lit(0).alias("precedence"))
+    return facts.layered(layers.unionByName(everywhere), *keys)
+
+
 def cell_formats(nodes: DataFrame) -> DataFrame:
     """doc_id, cell (path), has_bold, fonts and sizes (sorted, distinct) of the runs directly formatted in each cell."""
     inner = F.regexp_extract("path", r"^(.*/tc\[[0-9]+\])/", 1)

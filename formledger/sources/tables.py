@@ -10,12 +10,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that driver and executors share (set here only where it is unset, as in tests)."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset a local session (as in tests) gets a temporary folder; a cluster has to set it, for a local one would be lost.
+    """
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="formledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

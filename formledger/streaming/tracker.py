@@ -49,7 +49,8 @@ def track(results: DataFrame, late: str = "0 seconds") -> DataFrame:
     return rows.groupBy("run_id").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def gate_counts(results: DataFrame, time: str = "ts", size: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Results by window and kind; tumbling, or sliding with ``slide``."""
+def gate_counts(results: DataFrame, time: str = "ts", size: str = "1 hour", slide: str | None = None, late: str | None = "1 hour") -> DataFrame:
+    """Results by window and kind; tumbling, or sliding with ``slide``.  ``late`` is None where the results have a watermark already."""
     window = F.window(time, size, slide) if slide else F.window(time, size)
-    return results.withWatermark(time, late).groupBy(window.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+    rows = results if late is None else results.withWatermark(time, late)
+    return rows.groupBy(window.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")

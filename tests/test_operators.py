@@ -181,8 +181,10 @@ def test_files_and_json(spark, tmp_path):
     fresh, conflicts = files.new_rows(rows, spark.createDataFrame([("k1", "c1"), ("k2", "c2")], "key string, content string"), "key", "content")
     assert ([r.key for r in fresh.collect()], [r.key for r in conflicts.collect()]) == (["k3"], ["k2"])
     files.write_once(rows, f"{folder}/once")
-    with pytest.raises(Exception, match="(?i)exists"):
-        files.write_once(rows, f"{folder}/once")
+    files.write_once(rows.orderBy(F.desc("key")), f"{folder}/once")  # equal rows: nothing happens
+    with pytest.raises(ValueError, match="never change"):
+        files.write_once(rows.limit(2), f"{folder}/once")
+    assert spark.read.parquet(f"{folder}/once").count() == 3
 
 
 def test_contract_tables(spark, tmp_path):
@@ -236,10 +238,13 @@ def test_rule_packs_parse_and_find(spark):
         expected_match_count="int", xml="string", xml_sha256="string", plan_run_id="string", request_revision="long", request_snapshot_sha256="string", request_capability_sha256="string", n_operations="long", has_heavy="boolean", artifact_id="string", kind="string", path="string", sha256="string",
         size_bytes="long", toc_mode="string", toc_required="boolean", refresh_attempted="boolean", refresh_succeeded="boolean", placeholder_removed="boolean", field_count="int", visible_count="int", reason="string", acceptance_type="string", blocking_categories="array<string>", n_warnings="long",
         doc_id="string", node_type="string", node_id="string", ordinal="int", selector_kind="string", rebindable="boolean", content_fingerprint="string", attempt_no="int", after_ref="string", n_failed="long",
+        retry_reason="string", resume_allowed="boolean", message="string", source="string", reason_code="string", source_artifact_id="string", source_sha256="string", source_size_bytes="long", snapshot_source_artifact_id="string", snapshot_source_sha256="string", snapshot_source_size_bytes="long",
+        plan_path="string", plan_sha256="string", document_path="string", document_sha256="string", schema_id="string", contract_version="string", plan_size_bytes="long", document_size_bytes="long", check_id="string", check_type="string", review_status="string", gate_status="string",
+        source_action_status="string", source_execution_status="string", report_path="string", acceptance_sha256="string", accepted_sha256="string", acceptance_fields="array<string>", report_exists="boolean",
     )
     empty = rulepacks.with_columns(spark.createDataFrame([("e",)], "id string"), **kinds)
     for name, pack in rulepacks.PACKS.items():
-        assert rules.violations(empty, name, "id", pack).count() > 0
+        assert rules.violations(empty, name, "id", pack).count() > 0 or name == "source"  # there two absent values agree
     draft = lambda **v: {r.code for r in rules.violations(rulepacks.with_columns(spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} {kinds[k]}" for k in v)).withColumn("id", F.lit("x")), **kinds), "rule_draft", "id", rulepacks.RULE_DRAFT).collect()}
     assert draft(rule_id="r", role="t", write_strategy="direct", confidence=0.92) == set()
     assert draft(rule_id="r", role="t", write_strategy="audit-only", confidence=0.92) == {"confirmation_required"}
@@ -277,3 +282,32 @@ def test_decisions_properties_and_heavy_writes(spark):
     approved = spark.createDataFrame([("R1", "approved", sha)], "review_id string, decision_status string, payload_sha256 string")
     parts = spark.createDataFrame([("r", "p.xml", "s1"), ("r", "q.xml", "s2")], "run_id string, part_name string, sha256 string")
     assert {(r.operation_id, r.code) for r in repair.heavy_write_problems(ops, approved, parts).collect()} == {("o2", "heavy_not_raw"), ("o3", "heavy_xpath"), ("o4", "heavy_part_changed"), ("o5", "heavy_not_alone")}
+
+
+RUN_STYLES = f"""<w:styles {W}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="21"/><w:rFonts w:eastAsia="Base"/></w:rPr></w:rPrDefault></w:docDefaults>
+<w:style w:type="paragraph" w:styleId="P"><w:pPr><w:jc w:val="center"/></w:pPr><w:rPr><w:b/><w:sz w:val="24"/></w:rPr></w:style><w:style w:type="character" w:styleId="R"><w:rPr><w:sz w:val="28"/><w:i/></w:rPr></w:style></w:styles>"""
+RUN_BODY = f"""<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="P"/></w:pPr><w:r><w:t>plain</w:t></w:r><w:r><w:rPr><w:rStyle w:val="R"/></w:rPr><w:t> styled</w:t></w:r>
+<w:r><w:rPr><w:rStyle w:val="R"/><w:sz w:val="32"/><w:b w:val="0"/></w:rPr><w:t>direct</w:t></w:r></w:p></w:body></w:document>"""
+
+
+def test_runs_have_four_layers(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "r.docx", "w") as z:
+        z.writestr("word/document.xml", RUN_BODY)
+        z.writestr("word/styles.xml", RUN_STYLES)
+    nodes, _ = documents.scan(spark, f"file://{tmp_path}")
+    assert [(r.element_id, r.run_index, r.run_style_id, r.text_preview) for r in documents.runs(nodes).orderBy("run_index").collect()] == [("p-00001", 1, None, "plain"), ("p-00001", 2, "R", "styled"), ("p-00001", 3, "R", "direct")]
+    got = {(r.run_index, r.slot): (r.value_str, r.source) for r in documents.run_formats(nodes).collect()}
+    assert [got[i, "font_size_pt"] for i in (1, 2, 3)] == [("12.0", "style_inherit"), ("14.0", "style_inherit"), ("16.0", "direct")]
+    assert [got[i, "bold"] for i in (1, 2, 3)] == [("true", "style_inherit"), ("true", "style_inherit"), ("false", "direct")]
+    assert got[1, "font_east_asia"] == ("Base", "doc_defaults") and (1, "italic") not in got and got[3, "italic"] == ("true", "style_inherit")
+    assert (1, "alignment") not in got  # no format of runs
+
+
+def test_no_depth_is_too_deep(spark):
+    chain = spark.createDataFrame([("d", f"s{i}", f"s{i + 1}") for i in range(100)] + [("d", "s100", "s90")], "doc_id string, style_id string, based_on string")
+    found = facts.style_chains(chain)
+    assert found.where("style_id = 's0'").count() == 101 and found.where("style_id = 's95'").count() == 11
+    nodes = spark.createDataFrame([(1, f"/n{i}", f"/n{i - 1}" if i else None) for i in range(70)], "doc_id long, path string, parent_path string")
+    assert tree.orphans(nodes, ["/n0"]).count() == 0
+    deep = spark.createDataFrame([(1, '{"a":' * 12 + "1" + "}" * 12)], "id long, j string")
+    assert files.json_paths(deep, "id", "j").where("value = '1'").first().json_path == "$" + ".a" * 12

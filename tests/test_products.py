@@ -53,4 +53,4 @@ def test_acceptance(spark):
     tests = spark.createDataFrame([("t1", "ok"), ("t2", "ok"), ("t3", "open")], "test_id string, status string")
     assert {(r.status, r.n, tuple(r.ids)) for r in ledger.coverage_summary(tests).collect()} == {("ok", 2, ("t1", "t2")), ("open", 1, ("t3",))}
     rows = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": "x"}'), (2, "broken")], "id long, j string")
-    assert {(r.json_path, r.value) for r in files.json_paths(rows, "id", "j", 3).collect()} == {("$", '{"a":[1,{"b":null}],"c":"x"}'), ("$.a", '[1,{"b":null}]'), ("$.a[0]", "1"), ("$.a[1]", '{"b":null}'), ("$.a[1].b", "null"), ("$.c", '"x"')}
+    assert {(r.json_path, r.value) for r in files.json_paths(rows, "id", "j").collect()} == {("$", '{"a":[1,{"b":null}],"c":"x"}'), ("$.a", '[1,{"b":null}]'), ("$.a[0]", "1"), ("$.a[1]", '{"b":null}'), ("$.a[1].b", "null"), ("$.c", '"x"')}

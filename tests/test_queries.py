@@ -33,3 +33,29 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_elements_of_pages_are_counted(spark):
+    import re
+    from collections import Counter
+
+    nodes, in_pages = Counter(), Counter()
+    for (html,) in duckdb.sql(f"SELECT html FROM '{FOLDER}/pages.parquet'").fetchall():
+        plain_html = re.sub(r"<!--.*?-->|(?<=<script>).*?(?=</script>)|(?<=<style>).*?(?=</style>)", "", html or "", flags=re.S)
+        own = Counter(m.lower() for m in re.findall(r"<([a-zA-Z][a-zA-Z0-9]*)(?=[^<>]*>)", plain_html))
+        nodes.update(own)
+        in_pages.update(own.keys())
+    got = {r.node_type: (r.n_nodes, r.n_pages) for r in catalog.QUERIES["q16_tree_facts"](spark, FOLDER).collect()}
+    assert got == {k: (n, in_pages[k]) for k, n in nodes.items()}
+
+
+def test_files_are_listed(spark):
+    import hashlib
+    from pathlib import Path
+
+    want = {}
+    for path in Path(FOLDER).rglob("*.parquet"):
+        want[path.name] = (hashlib.sha256(path.read_bytes()).hexdigest(), path.stat().st_size)
+    copies = [v[0] for v in want.values()]
+    got = {r.file: (r.sha256, r.size_bytes, r.n_copies) for r in catalog.QUERIES["q21b_inventory"](spark, FOLDER).collect()}
+    assert got == {k: (*v, copies.count(v[0])) for k, v in want.items()}
