@@ -12,15 +12,11 @@ counted over all sets: first in the plain prefixes, then also in the longer list
 whole sets, if a quarter of their prefix is expensive).
 
 Sets that run out of hashes (nearly all are expensive, as in large groups of near copies) are compared with the others as
-above, by their whole lists.  Among themselves they are linked by rounds of leaders: in each list every set is compared
-with one leader, linked sets become one component, and at last only pairs of different components in a list are compared,
-of these only the ones whose sketches of parities don't rule a link out.
-So no link between components is lost, and a group of near copies costs about its size for each round.
-
-Links inside the components of such sets are counted, not listed: each set is held as its difference d from one leader of its
-component.  Two sets of sizes n differ in d + d' - 2c hashes, c of them shared differences, so they are linked when
-``v + v' + 2 (den + num) c >= 0`` with ``v = (den - num) n - (den + num) d``.  Pairs with v + v' >= 0 are counted by rank; all others
-need c > 0, so they meet at a shared difference.
+above, by their whole lists.  Among themselves they form families, which hang together by hashes of plain prefixes.  A family has
+a pivot, the hashes of more than half of its sets, and each set is held as its d differences from the pivot.  Two sets of
+sizes n differ in d + d' - 2c hashes, c of them shared differences, so they are linked when ``v + v' + 2 (den + num) c >= 0``
+with ``v = (den - num) n - (den + num) d``.  Pairs with v + v' >= 0 are counted by rank, not listed, and linked through the set
+nearest to the pivot.  All others meet at a shared difference, and only if there are enough differences that another set has too.
 
 Equal sets are one class from the beginning (its links are those of one of them).  Candidates are verified on whole sets.
 
@@ -44,8 +40,7 @@ from . import common, components, shingles
 HOT = 48  #: a hash indexed by more sets is expensive
 MARGIN = 1  #: further matches that pairs of longer sets need
 MARGIN_FROM = 20  #: hashes in a longer set
-ROUNDS = 2  #: of leaders; further ones found next to nothing on the tables that were looked at
-GROUP = 1000  #: sets of a component that meet one copy of its leader
+GROUP = 1000  #: sets of a family that meet one copy of its pivot
 
 
 def _required(n, num: int, den: int):
@@ -72,14 +67,8 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: i
     return source.mapInArrow(run, "id long, n long, digest binary, prefix array<long>")
 
 
-def _sketch(members: np.ndarray) -> list[int]:
-    """256 parities of the hashes: two sets differ in at least as many hashes as their sketches in bits."""
-    bits = np.bincount((members >> np.uint64(17)).astype(np.int64) & 255, minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
-
-
 def lists(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """cid, n, members, sketch for the classes in ``wanted`` (cid, digest, id, reach): the first ``reach`` hashes, as little-endian bytes.
+    """cid, n, members for the classes in ``wanted`` (cid, digest, id, reach): the first ``reach`` hashes, as little-endian bytes.
 
     Only the texts of those ids are read into Python.
     """
@@ -95,11 +84,13 @@ def lists(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) ->
                 pa.array([c for c, _, _ in mine], pa.int64()),
                 pa.array([len(s) for _, s, _ in mine], pa.int64()),
                 pa.array([s[:r].tobytes() for _, s, r in mine], pa.binary()),
-                pa.array([_sketch(s) for _, s, _ in mine], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "members", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "members"])
 
-    got = source.mapInArrow(run, "cid long, n long, members binary, sketch array<long>")
+    got = common.settled(source.mapInArrow(run, "cid long, n long, members binary"), "lists")
+    # whole lists are shuffled only if rows with this id are there more than once
+    if got.count() == got.select("cid").distinct().count():
+        return got
     return common.settled(got.dropDuplicates(["cid"]), "lists", free=True)
 
 
@@ -119,12 +110,6 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _near(one: Column, two: Column, a: Column, b: Column, num: int, den: int) -> Column:
-    """Sketches that leave the link possible: linked sets of a and b hashes differ in a + b - 2 * (those they must share) at most."""
-    bits = sum((F.bit_count(one[i].bitwiseXOR(two[i])) for i in range(4)), F.lit(0))
-    return bits <= a + b - 2 * F.ceil((a + b) * num / (num + den))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
 
@@ -148,93 +133,79 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _crowded(crowd: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect sets whose hashes are nearly all expensive: leaders first, then what is left between components."""
-    links = None
-    crowd = common.settled(crowd.join(sets.select("cid", "sketch"), "cid").withColumn("led", F.lit(0)), "crowded", free=True)
-    labelled = crowd.withColumn("c", F.col("cid"))
-    none = crowd.sparkSession.createDataFrame([], "a long, b long")
-    if not crowd.take(1):
-        return none
-    for turn in range(ROUNDS + 1):
-        # first those that led no list yet; the original of a group of copies has the fewest hashes of its own
-        order = F.struct("led", "rare", F.xxhash64("cid", F.lit(turn)))
-        lead = F.min_by(F.struct("cid", "n", "c", "sketch"), order).alias("lead")
-        open_ = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), lead).where("low <> high")
-        open_ = common.settled(open_, "leaders")
-        if not open_.take(1):  # every list is one component
-            break
-        if turn < ROUNDS:
-            met = labelled.join(open_.select("token", "lead"), "token").where(
-                (F.col("c") != F.col("lead.c")) & _fits(F.col("n"), F.col("lead.n"), num, den) & _near(F.col("sketch"), F.col("lead.sketch"), F.col("n"), F.col("lead.n"), num, den)
-            )
-            pairs = met.select(F.col("cid").alias("x"), F.col("lead.cid").alias("y"))
-        else:
-            rest = labelled.join(open_.select("token"), "token", "left_semi")
-            one, two = (rest.select("token", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("sketch").alias(f"s{x}")) for x in "xy")
-            fits = (F.col("cx") < F.col("cy")) & _fits(F.col("nx"), F.col("ny"), num, den) & _near(F.col("sx"), F.col("sy"), F.col("nx"), F.col("ny"), num, den)
-            pairs = one.join(two, (one["token"] == two["token"]) & fits).select("x", "y")
-        found = common.settled(verified(pairs.select(*_ordered("x", "y")).distinct(), sets, num, den), "links")
-        links = found if links is None else links.union(found)
-        if turn < ROUNDS:
-            labels = components.components(links, "a", "b")
-            leaders = common.narrow(open_.select(F.col("lead.cid").alias("leader")).distinct())
-            again = labelled.drop("c").join(labels, F.col("cid") == F.col("node"), "left").join(leaders, F.col("cid") == F.col("leader"), "left")
-            labelled = common.settled(again.select("token", "cid", "n", "rare", "sketch", (F.col("led") + F.col("leader").isNotNull().cast("int")).alias("led"), F.coalesce("component", "cid").alias("c")), "crowded", free=True)
-    return none if links is None else links
-
-
-def _differences(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """component, cid, n, d, v, sketch, diff for the sets of ``crowd`` that have a link: what differs from their component's leader."""
-    placed = common.settled(crowd.drop("members").join(labels, F.col("cid") == F.col("node")).drop("node"), "placed")
-    # the original of a group of copies has the fewest hashes of its own
-    groups = placed.groupBy("component").agg(F.min_by("cid", F.struct("rare", "cid")).alias("leader"), F.ceil(F.count("*") / GROUP).alias("copies"))
-    groups = common.settled(groups, "crowd-groups")
-    sets = crowd.select("cid", "members")
-    leaders = groups.select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("leader").alias("cid")).join(sets, "cid").select("component", "copy", F.col("members").alias("of_leader"))
-    own = placed.join(common.narrow(groups), "component").withColumn("copy", F.pmod(F.xxhash64("cid"), F.col("copies"))).join(sets, "cid")
-    both = own.join(leaders, ["component", "copy"]).select("component", "cid", "n", "sketch", "members", "of_leader")
+def _families(lists: DataFrame) -> DataFrame:
+    """node, component: the sets of ``lists`` (token, cid) that hang together by tokens; a set that meets no other is not there."""
+    low = common.settled(lists.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("token", "low"), "met-lists")
+    return components.components(lists.join(low, "token").select("cid", "low").distinct(), "cid", "low")
+
+
+def _differences(crowd: DataFrame, num: int, den: int) -> DataFrame:
+    """family, cid, v, diff for sets (family, cid, n, members): what differs from the family's pivot, the tokens of more than half of its sets."""
+    sizes = common.settled(crowd.groupBy("family").agg(F.count("*").alias("size")), "families")
+    counted = _listed(crowd).join(crowd.select("cid", "family"), "cid").groupBy("family", "token").agg(F.count("*").alias("c"))
+    pivots = counted.join(common.narrow(sizes), "family").where(2 * F.col("c") > F.col("size")).groupBy("family").agg(F.sort_array(F.collect_list("token")).alias("pivot"))
+    copies = F.ceil(F.col("size") / GROUP)
+    spread = sizes.join(common.settled(pivots, "pivots"), "family", "left").select("family", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    own = crowd.join(common.narrow(sizes), "family").withColumn("copy", F.pmod(F.xxhash64("cid"), copies))
+    both = own.join(spread, ["family", "copy"]).select("family", "cid", "n", "members", "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(4), batch.column(5))
-            diff = [np.setxor1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in diff], pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["component", "cid", "n", "sketch", "d", "diff"])
-
-    return both.mapInArrow(run, "component long, cid long, n long, sketch array<long>, d long, diff array<long>")
-
-
-def _crowd_degrees(crowd: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """cid, n: parts of the number of links among the sets of ``crowd`` (cid, rare, n, members, sketch), to be summed; labels are of all links."""
-    v = (den - num) * F.col("n") - (den + num) * F.col("d")
-    far = common.settled(_differences(crowd, labels).withColumn("v", v), "differences", free=True)
-    # linked whatever they share: the sets with v' >= -v, counted over the different values in a component
-    values = common.settled(far.groupBy("component", "v").agg(F.count("*").alias("c")), "values")
-    points = values.select("component", F.col("v").alias("at"), "c", F.lit(None).cast("long").alias("asks")).unionByName(values.select("component", (-F.col("v")).alias("at"), F.lit(0).cast("long").alias("c"), F.col("v").alias("asks")))
-    above = Window.partitionBy("component").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    sure = points.withColumn("sure", F.sum("c").over(above)).where("asks IS NOT NULL").select("component", F.col("asks").alias("v"), (F.col("sure") - (F.col("asks") >= 0).cast("long")).alias("sure"))
-    counted = far.select("component", "cid", "v").join(common.narrow(common.settled(sure, "sure")), ["component", "v"]).select("cid", F.col("sure").alias("n"))
-    # the others: only sets that have such a partner, and only at differences that they share
-    least = values.groupBy("component").agg(F.min("v").alias("least"), F.max("v").alias("most"))
-    reach = (F.col("v") + F.col("least") < 0) & (F.col("v") + F.col("most") + 2 * (den + num) * F.col("d") >= 0)
-    open_ = far.join(common.narrow(common.settled(least, "least")), "component").where(reach).select("component", F.explode("diff").alias("token"), "cid", "n", "d", "v", "sketch")
-    one, two = (open_.select("component", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "d", "v", "sketch")]) for x in "ab")
-    both = F.col("v_a") + F.col("v_b")
-    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + 2 * (den + num) * F.least("d_a", "d_b") >= 0) & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), num, den)
-    met = one.join(two, ["component", "token"]).where(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("v")).agg(F.count("*").alias("c"))
-    found = common.settled(met.where(F.col("v") + 2 * (den + num) * F.col("c") >= 0).select("a", "b"), "crowd-links", free=True)
-    return counted.union(_degrees(found))
+            pairs = zip(batch.column(3), batch.column(4))
+            diff = [np.setxor1d(np.frombuffer(x.as_py(), np.int64), np.array(y.as_py() or [], np.int64), assume_unique=True) for x, y in pairs]
+            v = (den - num) * np.asarray(batch.column(2)) - (den + num) * np.array([len(x) for x in diff], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(v, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["family", "cid", "v", "diff"])
+
+    return both.mapInArrow(run, "family long, cid long, v long, diff array<long>")
+
+
+def _sure(far: DataFrame) -> DataFrame:
+    """cid, n: the sets v' >= -v of the same family, which are linked whatever they share; counted over the different values of v."""
+    values = common.settled(far.groupBy("family", "v").agg(F.count("*").alias("c")), "values")
+    points = values.select("family", F.col("v").alias("at"), "c", F.lit(None).cast("long").alias("asks")).unionByName(values.select("family", (-F.col("v")).alias("at"), F.lit(0).cast("long").alias("c"), F.col("v").alias("asks")))
+    above = Window.partitionBy("family").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = points.withColumn("sure", F.sum("c").over(above)).where("asks IS NOT NULL").select("family", F.col("asks").alias("v"), (F.col("sure") - (F.col("asks") >= 0).cast("long")).alias("sure"))
+    return far.select("family", "cid", "v").join(common.narrow(common.settled(sure, "sure")), ["family", "v"]).select("cid", F.col("sure").alias("n"))
+
+
+def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Links among sets whose hashes are nearly all expensive: (a, b) of enough links to connect what is linked; cid, n of all links if ``count``.
+
+    ``lists``: token, cid of the sets' plain prefixes, so that two linked ones meet; ``known``: cid, n, members.
+    """
+    families = common.settled(_families(lists), "crowd").select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets")
+    far = common.settled(_differences(crowd, num, den), "differences", free=True)
+    # all that are linked to the family's nearest to the pivot whatever they share are one component
+    most = far.groupBy("family").agg(F.max("v").alias("most"), F.max_by("cid", F.struct("v", "cid")).alias("nearest"))
+    most = common.narrow(common.settled(most, "nearest"))
+    core = F.col("v") + F.col("most") >= 0
+    connecting = far.join(most, "family").where(core & (F.col("cid") != F.col("nearest"))).select(*_ordered("cid", "nearest"))
+    # the others need shared differences: those that only one set has can't be shared
+    tokens = far.join(most, "family").select("family", F.explode("diff").alias("token"), "cid", "v", core.alias("core"))
+    shared = tokens.groupBy("family", "token").agg(F.count("*").alias("df")).where("df > 1").select("family", "token")
+    useful = common.settled(tokens.join(shared, ["family", "token"]), "shared-differences", free=True)
+    points = useful.join(useful.groupBy("cid").agg(F.count("*").alias("u")), "cid")
+    one, two = (points.select("family", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "v", "u", "core")]) for x in "ab")
+    both, step = F.col("v_a") + F.col("v_b"), 2 * (den + num)
+    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + step * F.least("u_a", "u_b") >= 0)
+    if not count:
+        fits = fits & ~(F.col("core_a") & F.col("core_b"))
+    met = one.join(two, ["family", "token"]).where(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("v")).agg(F.count("*").alias("c"))
+    found = common.settled(met.where(F.col("v") + step * F.col("c") >= 0).select("a", "b"), "crowd-links", free=True)
+    return connecting.union(found), _sure(far).union(_degrees(found)) if count else None
 
 
 def _degrees(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("n"))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links, connecting, crowd).
+def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10, count: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(rows, classes, links, degree).
 
     rows: id, n, digest; classes: cid, digest, id, n; links: a, b between the cids of different linked sets, all but those of two
-    sets of the crowd; connecting: as many of these as connect the same sets; crowd: cid, rare, n, members, sketch.
+    sets of a crowd, of which there are as many as connect the same sets; degree (if ``count``): cid, n, parts of the number of all links
+    of each set, to be summed.
     """
     common.small_batches(docs.sparkSession, 100)  # two whole sets of a pair can be large
     rows = common.settled(signatures(docs, id_col, text, k, num, den), "signatures", free=True)
@@ -278,8 +249,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
     places = listed.join(hot, "token", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("places"))
     places = sets.select("cid", "n", (F.length("members") / 8).cast("long").alias("listed")).join(places, "cid", "left")
-    rare = F.col("listed") - F.coalesce(F.size("places"), F.lit(0))
-    lengths = common.settled(places.select("cid", enough("n", "listed", "places").alias("length"), rare.alias("rare")), "lengths")
+    lengths = common.settled(places.select("cid", enough("n", "listed", "places").alias("length")), "lengths")
     full = F.col("length") == 0
     costly = hot.withColumn("costly", F.lit(True))
     index = (
@@ -297,23 +267,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     met = met.where(_fits(F.col("pn"), F.col("qn"), num, den) & (F.least("px", "qx") <= MARGIN))
     pairs = met.groupBy(*_ordered("p", "q")).agg(F.count("*").alias("matches"), F.min(F.least("px", "qx")).alias("x")).where(F.col("matches") > F.col("x")).select("a", "b")
     pairs = common.settled(pairs, "pairs", free=True)
-    crowded = lengths.where(full).select("cid", "rare")
+    crowded = lengths.where(full).select("cid")
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(crowded.select("cid")).distinct()
     known = lists(docs, classes.join(ends, "cid", "left_semi").select("cid", "digest", "id", F.col("n").alias("reach")), id_col, text, k)
     found = verified(pairs, known, num, den)
-    crowd = listed.join(common.narrow(crowded), "cid").where(F.col("pos") < base).select("token", "cid", "n", "rare")
-    found, connecting = common.settled(found, "links"), _crowded(crowd, known, num, den)
-    return rows.select("id", "n", "digest"), classes.select("cid", "digest", "id", "n"), found, connecting, known.join(common.narrow(crowded), "cid")
+    found = common.settled(found, "links")
+    rows, classes = rows.select("id", "n", "digest"), classes.select("cid", "digest", "id", "n")
+    degree = _degrees(found) if count else None
+    if not crowded.take(1):
+        return rows, classes, found, degree
+    crowd = listed.join(common.narrow(crowded), "cid").where(F.col("pos") < base).select("token", "cid")
+    connecting, more = _crowded(crowd, known.join(common.narrow(crowded), "cid"), num, den, count)
+    return rows, classes, found.union(connecting), degree.union(more) if count else None
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """id, n_shingles, component_id (the smallest id that links reach), n_links (of the row's set to different sets), digest (of its set)."""
-    rows, classes, found, connecting, crowd = links(docs, id_col, text, k, num, den)
-    labels = components.components(found.union(connecting), "a", "b")
-    degree = _degrees(found)
-    if connecting.take(1):
-        degree = degree.union(_crowd_degrees(crowd, labels, num, den)).groupBy("cid").agg(F.sum("n").alias("n"))
-    degree = degree.withColumnRenamed("n", "n_links")
+    rows, classes, found, degree = links(docs, id_col, text, k, num, den)
+    labels = components.components(found, "a", "b")
+    degree = degree.groupBy("cid").agg(F.sum("n").alias("n_links"))
     out = _placed(rows, classes, labels, degree)
     return out.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
 
@@ -332,8 +304,8 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
 
     Rows with an empty set and rows without an id stay all.
     """
-    rows, classes, found, connecting, _ = links(docs, id_col, text, k, num, den)
-    labels = components.components(found.union(connecting), "a", "b")
+    rows, classes, found, _ = links(docs, id_col, text, k, num, den, count=False)
+    labels = components.components(found, "a", "b")
     found = common.settled(_placed(rows, classes, labels).select("id", "component_id", "digest"), "groups")
     gone = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone")).distinct()
     gone = common.narrow(common.settled(gone, "gone"))
