@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  #: a word: a run without ASCII white space
 
-#: A side of a join is broadcast below this many (narrow) rows; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to so many rows and bytes; beyond either Spark shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,11 @@ def settled(df: DataFrame, what: str, free: bool = False) -> DataFrame:
 
 
 def narrow(side: DataFrame) -> DataFrame:
-    """Hint a broadcast if the counted rows are below the bound, else leave the join to a shuffle.  ``side`` should be settled."""
-    n = side.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(side) if n <= BROADCAST_ROWS else side
+    """Hint a broadcast if the counted rows and bytes are below the bounds, else leave the join to a shuffle.  ``side`` should be settled."""
+    deep = [F.octet_length(F.to_json(F.struct(c)) if kind[:3] in ("arr", "map", "str") and kind != "string" else F.col(c)) for c, kind in side.dtypes if kind in ("string", "binary") or kind[:3] in ("arr", "map", "str")]
+    width = sum((F.coalesce(x, F.lit(0)) for x in deep), F.lit(8 * len(side.columns)))
+    n, size = side.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(side) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else side
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -3,7 +3,8 @@
 Features are the distinct n-grams (3 to 5 characters, lower case, white space as one blank) of the whole text, hashed to
 ``2**BITS`` buckets.  Fitting takes a bounded sample of labelled rows (at most ``SAMPLE``; the rows with the smallest hash of
 their id, so every run takes the same): the log-count ratio of each bucket, the ``KEPT`` buckets that tell the classes
-apart best, and a logistic regression on presence times ratio.  Scoring needs a table of 2**BITS floats in each worker.
+apart best, and a logistic regression on presence times ratio.  Both steps run in a task each; the driver
+only holds weights.  Scoring needs a table of 2**BITS floats in each worker.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias; the score depends on the text alone,
 so copies score alike; rows may repeat; with no labelled row, or one class only, every score is the share of label 1
@@ -137,29 +138,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         if sum(n):
             yield pd.DataFrame({"label": [0, 1], "rows": n, "counts": [c.tobytes() for c in counts]})
 
-    counts, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    few = texts.coalesce(4)  # so the driver gets a few arrays of a fixed size
-    for r in few.mapInPandas(count, "label int, rows long, counts binary").toLocalIterator():
-        counts[r.label] += np.frombuffer(r.counts, np.int32)
-        n[r.label] += r.rows
-    if not n.all():
-        share = n[1] / n.sum() if n.sum() else 0.0
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2)
+        for part in parts:
+            for r in part.itertuples():
+                counts[r.label] += np.frombuffer(r.counts, np.int32)
+                n[r.label] += r.rows
+        kept, ratio = _chosen(counts, n) if n.all() else (np.empty(0, np.int64), np.empty(0))
+        yield pd.DataFrame({"n0": [n[0]], "n1": [n[1]], "kept": [kept], "ratio": [ratio]})
+
+    # a few arrays of a fixed size meet in one task; the driver gets the buckets that it keeps
+    few = texts.coalesce(4).mapInPandas(count, "label int, rows long, counts binary")
+    chosen = few.repartition(1).mapInPandas(choose, "n0 double, n1 double, kept array<long>, ratio array<double>").first()
+    n = (chosen.n0, chosen.n1) if chosen else (0.0, 0.0)
+    if not all(n):
+        share = n[1] / sum(n) if sum(n) else 0.0
         return Model(np.zeros(1 << BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    # the share of each class's documents that hold a bucket, its log ratio, and how sure the difference is
-    p, q = ((counts[y] + SMOOTHING) / (n[y] + 2 * SMOOTHING) for y in (1, 0))
-    ratio = np.log(p / q)
-    both = (counts[0] + counts[1] + SMOOTHING) / (n.sum() + 2 * SMOOTHING)
-    sure = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    sure[counts.sum(0) < 3] = 0
-    kept = np.sort(np.argsort(-sure, kind="stable")[:KEPT])
-    kept = kept[sure[kept] > 2.5]
+    kept, ratio = np.array(chosen.kept, np.int64), np.array(chosen.ratio)
     if not len(kept):
         return Model(np.zeros(1 << BITS), float(np.log(n[1] / n[0])))
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        distinct = Distinct()
+        place, distinct = np.full(1 << BITS, -1, np.int32), Distinct()
+        place[kept] = np.arange(len(kept))
         for part in parts:
             own = []
             for t in part["t"]:
@@ -168,15 +169,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 own.append(np.sort(distinct.of(np.concatenate(found))).astype(np.int32).tobytes() if found else b"")
             yield pd.DataFrame({"y": part["y"], "own": own})
 
-    got = [(r.y, np.frombuffer(r.own, np.int32)) for r in texts.mapInPandas(features, "y int, own binary").toLocalIterator()]
-    got.sort(key=lambda r: (r[0], r[1].tobytes()))  # in one order, whatever the partitions
-    y = np.array([r[0] for r in got], float)
-    columns = np.concatenate([r[1] for r in got])
-    begins = np.concatenate([[0], np.cumsum([len(r[1]) for r in got])])
-    w, bias = _regression(begins, columns, ratio[kept], y)
+    def regress(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [(y, own) for part in parts for y, own in zip(part["y"].tolist(), part["own"])]
+        got.sort()  # in one order, whatever the partitions
+        begins = np.cumsum([0] + [len(own) // 4 for _, own in got])
+        w, bias = _regression(begins, np.frombuffer(b"".join(own for _, own in got), np.int32), ratio, np.array([y for y, _ in got], float))
+        yield pd.DataFrame({"w": [w * ratio], "bias": [bias]})
+
+    # the sample is bounded, so one task fits it; the driver gets KEPT weights
+    fitted = texts.mapInPandas(features, "y int, own binary").repartition(1).mapInPandas(regress, "w array<double>, bias double").first()
     weight = np.zeros(1 << BITS)
-    weight[kept] = w * ratio[kept]
-    return Model(weight, float(bias))
+    weight[kept] = fitted.w
+    return Model(weight, fitted.bias)
+
+
+def _chosen(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that tell the classes apart best, and their log-count ratios."""
+    # the share of each class's documents that hold a bucket, its log ratio, and how sure the difference is
+    p, q = ((counts[y] + SMOOTHING) / (n[y] + 2 * SMOOTHING) for y in (1, 0))
+    both = (counts[0] + counts[1] + SMOOTHING) / (n.sum() + 2 * SMOOTHING)
+    sure = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
+    sure[counts.sum(0) < 3] = 0
+    kept = np.sort(np.argsort(-sure, kind="stable")[:KEPT])
+    kept = kept[sure[kept] > 2.5]
+    return kept, np.log(p / q)[kept]
 
 
 def score(df: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
