@@ -1,11 +1,15 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is cut into blocks at block-level tags.  Blocks inside elements that are never text of an article (menus, forms,
-footers, ...) are bad from the beginning, by tag, role and words of class and id; where a page has an article or main element
-with text, blocks outside it are bad too.  First pass: stop-word density, length and link density make a block
-good, bad or ambiguous (short, or of low density without links).  Second pass: ambiguous blocks inherit from the
-nearest decided neighbour on either side, in an article from those inside it; leaving an element makes a neighbour
-farther, a heading looks ahead first, and a tie between good and bad, or no neighbour, goes to good inside an article, to bad elsewhere.
+A page is cut into blocks at block-level tags.  First pass: link density, stop-word density and length make a block good, bad or
+ambiguous (short, or of low density without links); where the page's language has no stop words here, link density and length
+do.  What a block is part of is a prior that outweighs these: elements that are no text of an article (menus, forms, footers, ...), by
+tag, role and words of class and id, and everything outside an article or main element that has text.  Such words on an
+element that holds an article don't count, nor on the one that holds most of the good text where nothing else is left of the
+page.  Second pass: ambiguous blocks inherit from the nearest decided neighbour on either side, in an article from those
+inside it; leaving an element makes a neighbour farther, a heading looks ahead first, and a tie between good and bad, or no
+neighbour, goes to good inside an article, to bad elsewhere.
+
+Elements without text of their own (scripts, buttons, ...) that are never closed end at the next block.
 
 Defined results: null and empty pages have an empty text; a tag that the page's end cuts off is dropped; pages of
 any length are read whole; rows may repeat; other columns stay, and added ones get an underscore if they would clash.
@@ -26,7 +30,7 @@ from . import common
 # HTML's elements, by their part in a page.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = set("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
-SILENT = set("audio button canvas datalist embed head iframe label map math noframes noscript object script select style svg template textarea title video".split())
+SILENT = set("audio button canvas datalist iframe label map math noframes noscript object script select style svg template textarea title video".split())
 NEVER = set("aside dialog footer form menu nav".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -39,12 +43,14 @@ STOP = set(
     "le la les de du un une et est que qui dans pour pas sur plus par ne se ce sont avec au aux il elle nous vous ou mais son sa ses cette être "
     "el los las y en por con para del al lo como más su sus una pero este ya o fue ha muy sin sobre también me hasta hay donde".split()
 )
-SHORT, LONG = 50, 140  #: characters
+SHORT, LONG = 50, 140  #: characters; one of a script without spaces counts twice
 DENSE, SPARSE = 0.25, 0.06  #: share of stop words
 LINKED = 0.4  #: share of linked characters that a good block stays below
 GOOD, BAD, OPEN = 1, 0, None
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_WIDE = re.compile(r"[\u2E80-\uD7FF\uF900-\uFAFF]")
+_TAGS = re.compile(rf"<!--|<(/?)({'|'.join(sorted(SILENT))})(?![a-zA-Z0-9])", re.I)
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 
 
@@ -60,12 +66,40 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _closed(html: str) -> list[bool]:
+    """For each start tag of an element in SILENT, in order, whether an end tag of its own follows; comments and scripts hold no tags."""
+    found: list[bool] = []
+    open_: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAGS.search(html, at):
+        at, tag = m.end(), (m.group(2) or "").lower()
+        if not tag:
+            end = html.find("-->", at)
+            at = end + 3 if end >= 0 else at
+        elif m.group(1):
+            if open_.get(tag):
+                found[open_[tag].pop()] = True
+        else:
+            if tag in ("button", "label", "select"):  # can't hold one of their own
+                open_[tag] = []
+            open_.setdefault(tag, []).append(len(found))
+            found.append(False)
+            if tag in ("script", "style") and (end := html.lower().find("</" + tag, at) if "</" in html[at:] else -1) >= 0:
+                at = end
+    return found
+
+
 class _Blocks(HTMLParser):
-    """rows: text, linked characters, heading, bad from the beginning, inside an article, path of open containers."""
+    """rows: text, linked characters, heading, marked containers, inside an article, path of open containers.
 
-    def __init__(self):
+    marked: by container, whether its tag or its words say so; holds: containers that hold an article.
+    """
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.rows, self.open, self.silent, self.links, self.count = [], [], [], 0, 0
+        self.marked, self.holds, self.articles = {}, set(), 0
+        self.closed = iter(_closed(html))
         self._begin()
 
     def _begin(self) -> None:
@@ -74,10 +108,14 @@ class _Blocks(HTMLParser):
     def _end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.rows.append((text, self.linked, self.heading, any(b for _, _, b in self.open), any(t in ("article", "main") for t, _, _ in self.open), tuple(i for _, i, _ in self.open)))
+            marks = tuple(i for _, i in self.open if i in self.marked)
+            self.rows.append((text, self.linked, self.heading, marks, self.articles > 0, tuple(i for _, i in self.open)))
         self._begin()
 
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS and tag not in SILENT:
+            while self.silent and not self.silent[-1][1]:
+                self.silent.pop()
         if tag in VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -85,7 +123,7 @@ class _Blocks(HTMLParser):
                 self._end_block()
             return
         if tag in SILENT:
-            self.silent.append(tag)
+            self.silent.append((tag, next(self.closed, True)))
             return
         if self.silent:
             return
@@ -97,19 +135,30 @@ class _Blocks(HTMLParser):
             self.heading = tag in HEADINGS
         marked = tag not in ("html", "body", "main") and _marked(attrs)
         if tag in CONTAINERS or (marked and tag not in ("a", "b", "i", "em", "strong")):
-            inside = any(t in ("article", "main") for t, _, _ in self.open)
-            bad = tag in NEVER or marked or (tag == "header" and not inside)
+            if tag in NEVER or (tag == "header" and not self.articles):
+                self.marked[self.count + 1] = "tag"
+            elif marked:
+                self.marked[self.count + 1] = "article" if tag == "article" else "words"
+            if tag in ("article", "main"):
+                self.articles += 1
+                for _, i in reversed(self.open):
+                    if i in self.holds:
+                        break
+                    self.holds.add(i)
             self.count += 1
-            self.open.append((tag, self.count, bad))
+            self.open.append((tag, self.count))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in BLOCKS and tag not in SILENT:
+            while self.silent and not self.silent[-1][1]:
+                self.silent.pop()
         if tag in SILENT:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
+            if any(t == tag for t, _ in self.silent):
+                while self.silent.pop()[0] != tag:
                     pass
             return
         if self.silent:
@@ -123,6 +172,7 @@ class _Blocks(HTMLParser):
         if at is not None:
             if tag not in BLOCKS:
                 self._end_block()
+            self.articles -= sum(t in ("article", "main") for t, _ in self.open[at:])
             del self.open[at:]
 
     def handle_data(self, data):
@@ -133,16 +183,25 @@ class _Blocks(HTMLParser):
             self.linked += len("".join(data.split()))
 
 
-def first_label(text: str, linked: int) -> int | None:
-    """Stop-word density, length and link density of one block."""
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + len(_WIDE.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words and all words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP for w in words), len(words)
+
+
+def first_label(text: str, linked: int, density: float, known: bool = True) -> int | None:
+    """Stop-word density, length and link density of one block; without ``known`` stop words the other two."""
     letters = max(1, len(text) - text.count(" "))
     if linked / letters > LINKED:
         return BAD
-    words = _WORD.findall(text.lower())
-    density = sum(w in STOP for w in words) / len(words) if words else 0.0
-    if len(text) < SHORT:
+    size, density = _size(text), density if known else 0.0
+    if size < SHORT:
         return BAD if linked and density < SPARSE else OPEN
-    if density >= DENSE or (density >= SPARSE and len(text) >= LONG):
+    if not known or density >= DENSE or (density >= SPARSE and size >= LONG):
         return GOOD
     return OPEN
 
@@ -157,9 +216,31 @@ def _distance(a: tuple, b: tuple) -> int:
     return len(a) + len(b) - 2 * shared
 
 
-def labels(rows: list[tuple]) -> list[int]:
+def prior(rows: list[tuple], content: list[int | None], marked: dict[int, str], holds: set[int]) -> list[bool]:
+    """Whether what a block is part of makes it bad, whatever its text is."""
+    free = {i for i, kind in marked.items() if kind == "words" and i in holds}
+    bad = [any(i not in free for i in r[3]) for r in rows]
+    if any(x is GOOD and not b for x, b in zip(content, bad)):
+        return bad
+    # nothing is left: of the elements with such words the one with most good text, unless that is no more than a notice
+    held: dict[int, list[int]] = {}
+    for r, x in zip(rows, content):
+        own = [i for i in r[3] if i not in free]
+        if x is GOOD and own and all(marked[i] != "tag" for i in own):
+            held.setdefault(own[-1], []).append(_size(r[0]))
+    most = max(held, key=lambda i: (sum(held[i]), -i), default=None)
+    if most is not None and (marked[most] == "article" or len(held[most]) > 1 or sum(held[most]) >= 2 * LONG):
+        above = next(r[3] for r in rows if most in r[3])
+        free |= set(above[: above.index(most) + 1])
+    return [any(i not in free for i in r[3]) for r in rows]
+
+
+def labels(rows: list[tuple], marked: dict[int, str], holds: set[int]) -> list[int]:
     """Both passes."""
-    first = [BAD if bad else first_label(text, linked) for text, linked, _, bad, _, _ in rows]
+    counts = [_stop_words(r[0]) for r in rows]
+    known = sum(stop for stop, _ in counts) >= SPARSE / 2 * sum(n for _, n in counts)
+    content = [first_label(r[0], r[1], stop / max(n, 1), known) for r, (stop, n) in zip(rows, counts)]
+    first = [BAD if bad else x for x, bad in zip(content, prior(rows, content, marked, holds))]
     if sum(len(r[0]) for r, x in zip(rows, first) if r[4] and x != BAD) >= SHORT:
         first = [x if r[4] else BAD for r, x in zip(rows, first)]
     n = len(rows)
@@ -189,11 +270,12 @@ def labels(rows: list[tuple]) -> list[int]:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = _Blocks()
-    parser.feed(_CUT_TAG.sub("", html))
+    html = _CUT_TAG.sub("", html)
+    parser = _Blocks(html)
+    parser.feed(html)
     parser.close()
     parser._end_block()
-    return "\n\n".join(r[0] for r, x in zip(parser.rows, labels(parser.rows)) if x == GOOD)
+    return "\n\n".join(r[0] for r, x in zip(parser.rows, labels(parser.rows, parser.marked, parser.holds)) if x == GOOD)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
