@@ -29,7 +29,7 @@ from . import common
 LEAST = 0.6
 FILE_SHARE = 0.25
 SIGNS = r"(?i)licen[sc]e|copyright|spdx|permission is hereby|redistribution and use|public domain|all rights reserved"
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"  #: it never goes back, so a term of any length needs no stack
 # What licences say of themselves.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -148,7 +148,7 @@ docs AS (SELECT doc_id, {path_sql} AS path, text, CASE WHEN regexp_matches(text,
 texts AS (SELECT DISTINCT key FROM docs WHERE key IS NOT NULL),
 lines AS (SELECT key, unnest(list_distinct(list_concat(string_split(key, chr(10)), regexp_split_to_array(key, '\\n[\\x20\\x09\\x0D]*\\n')))) AS unit FROM texts),
 units AS (SELECT key, unit, len(regexp_extract_all(key, {space})) AS words, len(regexp_extract_all(unit, {space})) AS unit_words FROM lines WHERE regexp_matches(unit, {q(SIGNS)})),
-terms AS (SELECT key, unit, words, unit_words, unnest(regexp_extract_all(lower(unit), {q(TERM)})) AS term FROM units),
+terms AS (SELECT key, unit, words, unit_words, unnest(regexp_extract_all(lower(unit), {q(TERM.replace("++", "+").replace("*+", "*"))})) AS term FROM units),
 counts AS (SELECT key, unit, words, unit_words, term, count(*) AS c FROM terms GROUP BY ALL),
 weighed AS (SELECT c.*, c.c * coalesce(i.idf, {other!r}::DOUBLE) AS v FROM counts c LEFT JOIN idf i USING (term)),
 lengths AS (SELECT key, unit, sqrt(sum(v * v)) AS length FROM weighed GROUP BY ALL),
