@@ -4,7 +4,8 @@ Kinds: e-mail addresses, phone numbers, payment cards (with a valid check digit)
 IBANs, and names after a title.  A surrogate keeps what the entity looks like:
 
 * digits become other digits, everything between them stays; of phone numbers the country code
-  stays, octets of addresses keep their lengths; cards keep their length and get a valid check digit;
+  stays, octets of addresses keep their lengths; cards keep their length and get a valid check digit, IBANs keep their country
+  and have valid check digits if they had them;
 * the letters of an e-mail's local part become other letters of the same case and script, its digits other digits; the
   domain becomes one of the reserved example domains of equal depth;
 * names come from lists by gender (that of the title) and script (that of the name), in the case of the name.
@@ -16,6 +17,9 @@ Each attempt after the first has a larger space: names get one more last name, l
 length.  Numbers keep their digits; if there are more of a form than it has values, ``LIMIT`` ends it with an error.
 The few attempts above 0 go back to the documents in a join, by broadcast only below a counted bound.
 
+Every part of a pattern that may repeat has a bound (the local part of an address 64 characters, its domain 33 labels, as names of hosts
+have them), so the time for a text follows its length.  Of what is longer the end is taken.
+
 Defined results: null texts stay null, empty ones empty; rows may repeat and are treated alike; overlapping detections go to
 the earlier one, then to the order of the kinds; texts are read and rewritten whole; other columns stay as they are.
 """
@@ -32,7 +36,7 @@ LIMIT = 64  #: attempts before a form counts as full, which is an error
 
 # The patterns, in order of precedence.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,32}[A-Za-z]{2,63}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -79,6 +83,22 @@ def _weighed(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, v: a + v - F.when(v > 9, 9).otherwise(0))
 
 
+def _mod97(number: Column) -> Column:
+    """Remainder of a string of digits and capitals (A is 10, B 11, ...), as IBANs have it."""
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.split(number, ""), F.lit(0), step)
+
+
+def _iban(x: Column) -> Column:
+    country, account = F.substring(x["plain"], 1, 2), F.substring(x["body"], F.lit(5), F.length(x["plain"]))
+    valid = _mod97(F.concat(F.substring(x["plain"], F.lit(5), F.length(x["plain"])), F.substring(x["plain"], 1, 4))) == 1
+    digits = F.when(valid, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substring(x["body"], 3, 2))
+    return F.concat(country, digits, account)
+
+
 def normal(kind: Column, entity: Column) -> Column:
     """The form in which mentions of one entity are equal."""
     name = F.concat(F.when(entity.rlike(FEMALE), "f ").otherwise("m "), F.regexp_replace(F.regexp_replace(F.lower(entity), r"^\S+ ", ""), r"\s+", " "))
@@ -197,7 +217,7 @@ def surrogates(items: Column, key: str = KEY) -> Column:
     numbers = {
         "phone": _phone,
         "card": lambda x: F.concat(x["card"], F.pmod(-_weighed(F.concat(x["card"], F.lit("0"))), F.lit(10)).cast("string")),
-        "iban": lambda x: F.concat(F.substring(x["plain"], 1, 2), F.substring(x["body"], F.lit(3), F.length(x["plain"]))),
+        "iban": _iban,
         "ssn": lambda x: F.concat(F.lit("9"), _tail(x["body"])),  # numbers that begin with 9 are never given out
     }
 
