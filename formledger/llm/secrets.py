@@ -1,7 +1,8 @@
 """Secret scans: patterns, and a battery of randomness tests on encoded strings; SQL functions only.
 
 Base spans: matches of three patterns, leftmost and without overlap for each kind.  Further spans come from strings of an
-encoding's letters (``[A-Za-z0-9+/_=-]``, at least ``LEAST`` of them).  For each of these the narrowest alphabet that holds it is its
+encoding's letters (those of base64 or of base64url, at least ``LEAST`` of them, so a name and ``=`` before a value aren't part
+of it; a run of more than ``LONGEST`` letters is tested in parts of so many).  For each of these the narrowest alphabet that holds it is its
 encoding (digits, hex, base32, letters and digits, base64).  Three statistics are taken in that alphabet: chi-squared
 uniformity of the letters, the number of runs above and below the alphabet's middle, and the serial correlation of
 neighbours.  A secret looks random, so the hypothesis to be refuted is structure: each statistic is compared with what words
@@ -28,7 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))  #: kind, pattern, least length of what counts
 LEAST = 20
-ENCODED = r"[A-Za-z0-9+/_=-]{20,}"
+LONGEST = 4096
+#: A candidate has the letters of base64 or those of its form for addresses; first those that take a whole run of letters.
+ENCODED = r"(?:[A-Za-z0-9+/]{20,4096}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9_-]{20,4096}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/]{20,4096}+|[A-Za-z0-9_-]{20,4096}+)={0,2}"
+CHUNK = 256  #: matches of a text whose places are summed at once
 LEVEL = 0.01  #: share of false findings in each stratum
 BINS = 400  #: of p-values, on a log scale
 STEP = 0.1  #: natural logs in a bin
@@ -50,19 +54,38 @@ ENCODINGS = (
 )
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def found(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match) in code points: the texts between the matches tell where the matches lie."""
+    """Array of (start, end, match) in code points: the texts between the matches tell where the matches lie.
+
+    Places are summed in chunks of matches and then over the chunks: an array that grows by each match would be copied as often.
+    """
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("out"))
     pairs = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(got)), lambda s: F.length(s)).alias("gap"), got.alias("match"))
+    span = "struct<start:long,end:long,match:string>"
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
         end = start + F.length(x["match"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def chunked(all_):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda i: F.aggregate(F.slice(all_, i * CHUNK + 1, F.lit(CHUNK)), none, step))
+
+    def moved(chunks):
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        begins = F.aggregate(chunks, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        shift = lambda x, b: F.transform(x["out"], lambda s: F.struct((s["start"] + b).alias("start"), (s["end"] + b).alias("end"), s["match"].alias("match")))
+        return F.flatten(F.zip_with(chunks, begins, shift))
+
+    whole = lambda all_: F.when(F.size(all_) > 0, _let(chunked(all_), moved)).otherwise(F.array().cast(f"array<{span}>"))
+    return _let(pairs, whole)
 
 
 def spans(kind: str, text: Column, pattern: str, least: int) -> Column:
@@ -90,7 +113,8 @@ def battery(strings: DataFrame, string: str = "match") -> DataFrame:
     # values of the letters, scaled to mean 0 and variance 1 for random strings
     values = F.transform(F.split("body", ""), lambda c: F.instr(F.col("letters"), c).cast("double") - 1)
     out = out.withColumn("values", F.filter(values, lambda v: v >= 0)).withColumn("n", F.size("values").cast("double"))
-    counts = F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1), lambda i: F.size(F.filter("values", lambda v: v == i)).cast("double"))
+    without = lambda i: F.replace(F.col("body"), F.substring(F.col("letters"), i, F.lit(1)), F.lit(""))
+    counts = F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda i: (F.length("body") - F.length(without(i))).cast("double"))
     expected = F.col("n") / F.col("m")
     chi = _sum(F.transform(counts, lambda c: (c - expected) * (c - expected) / expected))
     out = out.withColumn("chi", chi).withColumn("df", F.col("m") - 1)

@@ -181,3 +181,147 @@ def test_surrogates_stay_distinct_in_small_spaces(spark):
     rows += [(2000 + i, f"to {letters[i % 26]}@{letters[i // 26]}.org") for i in range(400)]
     out = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(out.values())) == len(rows)
+
+
+def test_very_long_texts(spark):
+    """Runs of letters, labels, digits and matches end within seconds and lose nothing."""
+    import time
+
+    began = time.time()
+    texts = {1: "x" * 1_000_000 + "@ 123", 2: "a@" + "b." * 500_000 + "com", 3: "1" * 1_000_000, 4: "1234 " * 200_000, 5: "Mr. Xyz and " * 30_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    assert all(got[i].text == texts[i] and got[i].n_entities == 0 for i in (1, 2, 3))
+    assert len(got[4].text) == len(texts[4]) and got[4].n_entities > 0
+    assert got[5].n_entities == 30_000 and len(set(got[5].text.split(" and ")[:-1])) == 1
+    terms = spark.createDataFrame([(1, "license " + "a." * 1_000_000, "a/b")], "doc_id long, text string, path string")
+    assert [r.license for r in licenses.scan(terms).collect()] == [None]
+    many = "token=abcdef " * 100_000 + "é" + SECRET
+    rows = spark.createDataFrame([(1, many), (2, "q" * 5_000_000)], "doc_id long, text string")
+    out = {r.id: r for r in secrets.scan(rows).select("id", secrets.listed("assign", "access", "hex").alias("base")).collect()}
+    assert out[1].base == plain_spans(many) and out[2].base == ""
+    assert time.time() - began < 300
+
+
+def plain_battery(s):
+    """The three statistics and the p-value of one string, with NumPy."""
+    import numpy as np
+
+    name, letters = next((n, a) for n, p, a in secrets.ENCODINGS if re.search(p, s))
+    body, m = s.rstrip("="), len(letters)
+    v = np.array([letters.index(c) for c in body], float)
+    n = len(v)
+    expected = n / m
+    chi = ((np.bincount(v.astype(int), minlength=m) - expected) ** 2 / expected).sum()
+    changes = (np.diff(v >= m / 2) != 0).sum()
+    scaled = (v - (m - 1) / 2) / np.sqrt((m * m - 1) / 12)
+    serial = (scaled[1:] * scaled[:-1]).sum() / np.sqrt(n - 1)
+    excess = max(0.7, m * secrets.CONCENTRATION - 1) * (n - 1)
+    z = [(chi - (m - 1) - excess) / np.sqrt(2 * (m - 1 + 2 * excess)), ((n - 1) * secrets.CHANGES - changes) / (0.4 * np.sqrt(n - 1)), serial - secrets.SERIAL * np.sqrt(n)]
+    score = sum(w * x for w, x in zip(secrets.WEIGHTS, z)) / np.sqrt(sum(w * w for w in secrets.WEIGHTS))
+    tail = np.exp(-score * score / 2) / (1.64 * abs(score) + np.sqrt(0.76 * score * score + 4))
+    return name, (chi - (m - 1)) / np.sqrt(2 * (m - 1) * (1 - 1 / n)), (changes - (n - 1) / 2) / np.sqrt((n - 1) / 4), serial, tail if score < 0 else 1 - tail
+
+
+def plain_passed(rows):
+    """Benjamini-Hochberg by strata of length, over p-values taken as the upper end of their bin."""
+    import math
+
+    strata = {}
+    for key, s, p in rows:
+        at = min(secrets.BINS, math.floor(-math.log(p) / secrets.STEP))
+        strata.setdefault(int(math.log2(len(s))), []).append((at, key))
+    out = set()
+    for some in strata.values():
+        bins = [b for b, _ in some]
+        cut = min((b for b in bins if math.exp(-b * secrets.STEP) * len(bins) <= secrets.LEVEL * sum(x >= b for x in bins)), default=None)
+        out |= {key for b, key in some if cut is not None and b >= cut}
+    return out
+
+
+def test_all_spans_of_the_query_against_numpy(spark, small):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    tested = [((i, m.start(), m.end()), m.group(), plain_battery(m.group())) for i, t in docs.items() for m in re.finditer(secrets.ENCODED, t)]
+    passed = plain_passed([(key, s, b[4]) for key, s, b in tested])
+    assert passed
+    for r in queries.op10_secrets(spark, small).collect():
+        want = [(a, 3, f"random:{a}:{b}") for i, a, b in passed if i == r.doc_id]
+        base = [(int(x.split(":")[1]), ("assign", "access", "hex").index(x.split(":")[0]), x) for x in plain_spans(docs[r.doc_id]).split(",") if x]
+        assert r.spans == ",".join(x for _, _, x in sorted(want + base))
+
+
+def test_battery_against_numpy_and_candidates(spark):
+    strings = [SECRET, SECRET.upper(), "ABCDEFGHIJKLMNOP234567==", "Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eXVpb3A=", "a_b-c" * 8, "0123456789" * 3, "theandtioningerenton" * 3]
+    got = {r.match: r for r in secrets.battery(spark.createDataFrame([(s,) for s in strings], "match string")).collect()}
+    for s in strings:
+        name, *numbers = plain_battery(s)
+        r = got[s]
+        assert r.encoding == name
+        assert all(abs(a - b) < 1e-9 * max(1, abs(b)) for a, b in zip((r.z_uniform, r.z_runs, r.z_serial, r.p), numbers))
+    text = "DB_PASS=" + SECRET + "&sig=Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eXVpb3A= path/to-x/" + "Ab3" * 9 + " " + "q" * 5000
+    want = [m.group() for m in re.finditer(secrets.ENCODED, text)]
+    assert want[:2] == [SECRET, "Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eXVpb3A="] and [len(x) for x in want[3:]] == [4096, 904]
+    out = spark.createDataFrame([(text,)], "t string").select(F.explode(secrets.found(F.col("t"), secrets.ENCODED)).alias("s")).select("s.*").collect()
+    assert [(r.start, r.end, r.match) for r in out] == [(m.start(), m.end(), m.group()) for m in re.finditer(secrets.ENCODED, text)]
+
+
+def _plain_normal(kind, e):
+    if kind == "email":
+        return e.lower()
+    if kind == "name":
+        title, rest = e.split(" ", 1)
+        return ("f " if re.match(pii.FEMALE, e) else "m ") + rest.lower()
+    return e if kind == "ip" else re.sub("[^0-9A-Z+]", "", e.upper())
+
+
+def test_pii_query_against_plain_python(spark, small):
+    """Between the entities, found by Python's own engine, each text stays; surrogates are one to one with entities and keep their form."""
+    import regex
+
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    any_ = regex.compile(pii.ANY)
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    made, owner, n = {}, {}, 0
+    for r in queries.op6_pii(spark, small).collect():
+        text, at, out = docs[r.doc_id], 0, r.text
+        found = list(any_.finditer(text or ""))
+        for m in found:
+            kind = next(k for k, p in kinds.items() if p.fullmatch(m.group()))
+            if kind == "card" and _luhn(m.group()):
+                continue
+            between = text[at : m.start()]
+            assert out.startswith(between)
+            out, at, n = out[len(between) :], m.end(), n + 1
+            new = kinds[kind].match(out)
+            assert new, (kind, m.group(), out[:60])
+            new = new.group()
+            out = out[len(new) :]
+            key = (kind, _plain_normal(kind, m.group()))
+            assert made.setdefault(key, _plain_normal(kind, new)) == _plain_normal(kind, new) != key[1]
+            if kind in ("card", "phone", "ssn", "iban"):
+                assert re.sub("[0-9A-Z]", "x", new) == re.sub("[0-9A-Z]", "x", m.group())
+        assert out == (text or "")[at:]
+    for (kind, _), new in made.items():
+        assert owner.setdefault((kind, new), True)
+    assert n > 20 and len(set(made.items())) == len({(k[0], v) for k, v in made.items()})
+
+
+def _luhn(card):
+    digits = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(re.sub("[^0-9]", "", card)))]
+    return sum(d - 9 if d > 9 else d for d in digits) % 10
+
+
+def test_ibans_have_valid_check_digits(spark):
+    rows = [(1, "DE89 3704 0044 0532 0130 00"), (2, "GB82WEST12345698765432"), (3, "GB83WEST12345698765432")]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        number = re.sub(" ", "", got[i])
+        left = int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+        assert number[:2] == text[:2] and (left == 1 or i == 3) and got[i] != text
+
+
+def test_twenty_thousand_names_stay_distinct(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"Mr. X{letters[i // 676 % 26]}{letters[i // 26 % 26]}{letters[i % 26]}{letters[i // 17576]} left") for i in range(20_000)]
+    out = [r.text for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(out)) == len(rows)
