@@ -1,14 +1,14 @@
 """Approximate nearest neighbours: a robust-pruned directed graph for each shard, searched by beams.
 
 Vectors are scaled to length 1, so Euclidean order is cosine order.  Equal vectors are one node; its smallest ids go along.
-Nodes are dealt to shards of about ``SHARD`` by a hash.  In a shard the nodes join the graph in batches: a greedy search
+Nodes of equal length (number of components) are dealt to shards of about ``SHARD`` by a hash; vectors of different lengths have no cosine.  In a shard the nodes join the graph in batches: a greedy search
 from the entry proposes neighbours, and of these the closest is kept and all that are ``ALPHA`` times closer to it than to
 the node are dropped, again and again; the edges get their way back under the same rule.  A second pass over all nodes
 follows with the whole graph in place.  The graphs are settled as a table.  Queries visit each shard in blocks of ``BLOCK``, so
 a task holds one shard and one block; each shard gives a query's best by beam search; scores are computed anew in double precision on the original vectors, and the best of all shards are kept.
 
-Defined results: vectors that are null, empty, zero, of another length than most or with null or non-finite components take
-no part; ties go to the smaller id; a query never finds its own id, also if its id is there twice; fewer candidates
+Defined results: vectors that are null, empty, zero or with null or non-finite components take no part; a vector is only compared with
+those of its length; ties go to the smaller id; a query never finds its own id, also if its id is there twice; fewer candidates
 than k give fewer rows; an empty table gives none.
 """
 
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD = 4096  #: nodes in a shard
+SHARD = 20_000  #: nodes in a shard, which one task builds
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 BATCH = 256
-BLOCK = 4096  #: queries that visit a shard at once
+BLOCK = 32_768  #: queries that visit a shard at once
 
 
 def _top(distance: np.ndarray, k: int) -> np.ndarray:
@@ -95,7 +95,7 @@ class Graph:
         candidates = candidates.copy()
         candidates[(candidates == owner[:, None]) | (candidates < 0)] = -1
         d[candidates < 0] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :160]
+        order = np.argsort(d, axis=1, kind="stable")
         candidates, d = np.take_along_axis(candidates, order, 1), np.take_along_axis(d, order, 1)
         same = np.concatenate([np.zeros((len(owner), 1), bool), (candidates[:, 1:] == candidates[:, :-1])], 1)
         d[same] = np.inf
@@ -157,12 +157,10 @@ class Graph:
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """id, v (doubles): rows whose vector has a direction and the usual length."""
+    """id, v (doubles): rows whose vector has a direction."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    usual = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (usual[0].n if usual else 0))
+    return df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(F.coalesce(fine, F.lit(False)))
 
 
 def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -170,18 +168,14 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
     rows = common.settled(usable(df, vec_id, vector), "ann-rows")
     # a node for each distinct vector, with the k + 1 smallest of its ids: more can't be among the k nearest
     nodes = common.settled(_smallest(rows, k + 1), "ann-nodes")
-    n = nodes.count()
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
-    shards = max(1, round(n / shard))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    graphs = common.settled(dealt.groupBy("shard").applyInPandas(_built, "shard long, x binary, ids binary, counts binary, edges binary, entry int"), "ann-graphs")
+    shards = nodes.groupBy(F.size("v").alias("size")).agg(F.greatest(F.lit(1), F.round(F.count("*") / shard)).cast("long").alias("shards"))
+    shards = common.narrow(common.settled(shards, "ann-shards"))
+    dealt = nodes.withColumn("size", F.size("v")).join(shards, "size").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards"))).select("size", "shard", "v", "ids")
+    graphs = common.settled(dealt.groupBy("size", "shard").applyInPandas(_built, "size int, shard long, x binary, ids binary, counts binary, edges binary, entry int"), "ann-graphs")
     queries = common.settled(rows.where(is_query(F.col("id"))).distinct(), "ann-queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("shard", every(shards))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("size", F.size("v")).join(shards, "size").withColumn("shard", every(F.col("shards")))
 
     def visit(graph: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(block):
@@ -208,7 +202,7 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
         result = result[result["query_id"] != result["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
         return result.groupby("query_id", sort=False).head(k)
 
-    pairs = graphs.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    pairs = graphs.withColumn("block", every(F.lit(blocks).cast("long"))).groupBy("size", "shard", "block").cogroup(asked.groupBy("size", "shard", "block"))
     found = pairs.applyInPandas(visit, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -220,7 +214,7 @@ def _built(index: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(x / np.sqrt((x * x).sum(1))[:, None])
     ids = [np.asarray(i, np.int64) for i in index["ids"]]
     counts = np.array([len(i) for i in ids], np.int64)
-    return pd.DataFrame({"shard": [index["shard"].iloc[0]], "x": [x.tobytes()], "ids": [np.concatenate(ids).tobytes()], "counts": [counts.tobytes()], "edges": [graph.edges.tobytes()], "entry": [graph.entry]})
+    return pd.DataFrame({"size": [index["size"].iloc[0]], "shard": [index["shard"].iloc[0]], "x": [x.tobytes()], "ids": [np.concatenate(ids).tobytes()], "counts": [counts.tobytes()], "edges": [graph.edges.tobytes()], "entry": [graph.entry]})
 
 
 def _smallest(rows: DataFrame, k: int) -> DataFrame:
