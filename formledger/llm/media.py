@@ -1,13 +1,15 @@
 """Media columns: payloads as grey images in content-addressed tar shards, rows that point into them.
 
 ``store`` writes, from each task, one tar shard after another to a folder that all executors share.  A payload becomes
-an 8-bit grey PNG of 64 samples a row (lossless), named by the payload's SHA-256; within a task equal payloads are
-written once.  Rows carry digest, shard, offset and length.  ``canonical`` gives every digest one place, whichever tasks
-have stored it.  ``headers`` reads the fixed-length head of each stored image only and fills width and height;
-``read_back`` reads whole images and gives the payload back.
+an 8-bit grey PNG of 64 samples a row (lossless), named by the payload's SHA-256.  ``owners`` picks, of the rows with a payload that is
+there again, the one that stores it: only digests and ids are compared, payloads are never shuffled.  Within a task equal
+payloads are written once; so only rows of one id and payload in several tasks are stored more than once.  ``canonical`` gives
+every digest one place.  Rows carry digest, shard, offset and length.  ``headers`` reads the fixed-length head of each stored image
+only and fills width and height; ``read_back`` reads whole images and gives the payload back.
 
-A shard is written under a name of its own attempt and moved to its final name when it is whole, so a task that runs
-again after a lost executor leaves no half shard behind; the index is settled as a table before anyone reads a shard.
+A shard is written under a name of its own attempt and, when it is whole, moved to a name made from the digests it holds.  A
+task that runs again writes the same shards, so it replaces what it has left, and no half shard has a final name; the index
+is settled as a table before anyone reads a shard.
 
 Defined results: a null or empty text is the payload of 64 zero bytes; equal payloads have equal digests and stored bytes
 wherever they lie; rows may repeat; a payload of any length is one entry of its shard; an empty table gives no shard.
@@ -84,55 +86,88 @@ def from_image(image: bytes) -> bytes:
 
 
 class _Shards:
-    """Tar shards of one task attempt."""
+    """Tar shards of one task attempt, one after another."""
 
     def __init__(self, folder: str):
         self.files, self.folder = fs.FileSystem.from_uri(folder)
         self.files.create_dir(self.folder, recursive=True)
-        self.out, self.at, self.places = None, 0, {}
+        self.out, self.at, self.places, self.name = None, 0, {}, hashlib.sha256()
 
-    def add(self, digest: str, image: bytes) -> tuple[str, int, int]:
+    def add(self, digest: str, image: bytes) -> tuple[int, int]:
+        """Offset and length in the open shard."""
         if self.out is None:
-            self.name, self.at = uuid.uuid4().hex, 0
-            self.part = posixpath.join(self.folder, f"_{self.name}.part")
-            self.out = self.files.open_output_stream(self.part)
+            self.part = posixpath.join(self.folder, f"_{uuid.uuid4().hex}.part")
+            self.out, self.at, self.name = self.files.open_output_stream(self.part), 0, hashlib.sha256()
         info = tarfile.TarInfo(f"{digest}.png")
         info.size = len(image)
         head = info.tobuf(tarfile.USTAR_FORMAT)
         self.out.write(head + image + bytes(-len(image) % 512))
-        place = (f"{self.name}.tar", self.at + len(head), len(image))
-        self.at = place[1] + len(image) + -len(image) % 512
-        if self.at >= SHARD_BYTES:
-            self.close()
+        self.name.update(digest.encode())
+        place = (self.at + len(head), len(image))
+        self.at = place[1] + place[0] + -len(image) % 512
         return place
 
-    def close(self) -> None:
-        if self.out is not None:
-            self.out.write(bytes(1024))
-            self.out.close()
-            self.files.move(self.part, posixpath.join(self.folder, f"{self.name}.tar"))
-            self.out = None
+    def full(self) -> bool:
+        return self.at >= SHARD_BYTES
 
-
-def store(df: DataFrame, folder: str, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
-    """Write the payloads to shards under ``folder``; rows get digest, shard, offset, length.  Settle the result before you read a shard."""
-    keep = [c for c in df.columns if c != payload] if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.sha2(F.col(payload), 256).alias("_digest"), F.col(payload).alias("_payload"))
+    def close(self) -> str | None:
+        """The name of the shard, now that it is known what it holds."""
+        if self.out is None:
+            return None
+        self.out.write(bytes(1024))
+        self.out.close()
+        self.out, name = None, f"{self.name.hexdigest()[:40]}.tar"
+        self.files.move(self.part, posixpath.join(self.folder, name))
+        return name
+
+
+def owners(df: DataFrame, id_col: str, payload: str = "payload") -> DataFrame:
+    """Add ``stores``: whether the row stores its payload; of equal payloads the one with the smallest id does."""
+    digest, first, own = common.fresh(df, "own_digest", "first_id", "stores")
+    known = df.select(F.sha2(F.col(payload), 256).alias(digest), F.col(id_col).alias(first))
+    again = known.groupBy(digest).agg(F.count("*").alias("n"), F.min(first).alias(first)).where("n > 1").drop("n")
+    again = common.narrow(common.settled(again, "media-again"))
+    out = df.withColumn(digest, F.sha2(F.col(payload), 256)).join(again, digest, "left")
+    return out.withColumn(own, F.coalesce(F.col(id_col) == F.col(first), F.col(first).isNull())).drop(digest, first)
+
+
+def store(df: DataFrame, folder: str, payload: str = "payload", keep: list[str] | None = None, stores: str | None = None) -> DataFrame:
+    """Write the payloads to shards under ``folder``; rows get digest, shard, offset, length.  Settle the result before you read a shard.
+
+    ``stores``: a column that says which rows store their payload; the others only get its digest.
+    """
+    keep = [c for c in df.columns if c not in (payload, stores)] if keep is None else keep
+    writes = F.lit(True) if stores is None else F.col(stores)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.sha2(F.col(payload), 256).alias("_digest"), F.when(writes, F.col(payload)).alias("_payload"))
     names = common.fresh(source.select(*keep), "digest", "shard", "offset", "length")
     kinds = (T.StringType(), T.StringType(), T.LongType(), T.LongType())
     schema = T.StructType([*source.schema.fields[:-2], *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, places = _Shards(folder), {}
+        shards, places, waiting = _Shards(folder), {}, []  # a place has its shard's name once that is closed
+        open_: list[str] = []
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            name = shards.close()
+            for digest in open_:
+                places[digest] = (name, *places[digest][1:])
+            open_.clear()
+            for kept, digests in waiting:
+                found = [places.get(d, (None, None, None)) for d in digests]
+                columns = [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*schema.names])
+            waiting.clear()
+
         for batch in batches:
-            digests = batch.column(batch.num_columns - 2)
-            for digest, data in zip(digests.to_pylist(), batch.column(batch.num_columns - 1)):
-                if digest not in places:
-                    places[digest] = shards.add(digest, to_image(data.as_py()))
-            found = [places[d] for d in digests.to_pylist()]
-            columns = [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-2], *names])
-        shards.close()
+            digests = batch.column(batch.num_columns - 2).to_pylist()
+            for digest, data in zip(digests, batch.column(batch.num_columns - 1)):
+                if data.is_valid and digest not in places:
+                    places[digest] = (None, *shards.add(digest, to_image(data.as_py())))
+                    open_.append(digest)
+            waiting.append((batch.columns[:-1], digests))
+            if shards.full():
+                yield from placed()
+        yield from placed()
 
     return source.mapInArrow(run, schema)
 
@@ -140,7 +175,7 @@ def store(df: DataFrame, folder: str, payload: str = "payload", keep: list[str]
 def canonical(index: DataFrame) -> DataFrame:
     """One place for every digest, however many tasks have stored its payload."""
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
-    return index.groupBy("digest").agg(place).select("digest", "place.*")
+    return index.where("shard IS NOT NULL").groupBy("digest").agg(place).select("digest", "place.*")
 
 
 def _ranges(places: DataFrame, folder: str, read, schema: str) -> DataFrame:

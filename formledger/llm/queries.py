@@ -40,7 +40,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.payload(F.col("text")).alias("payload")
     )
-    index = common.settled(media.store(docs, folder), "media-index")
+    index = common.settled(media.store(media.owners(docs, "doc_id"), folder, stores="stores"), "media-index")
     places = media.canonical(index)
     stored = media.read_back(places, folder).join(media.headers(places, folder), "digest")
     return index.select("doc_id", "n_bytes", "digest").join(stored, "digest").drop("digest")
