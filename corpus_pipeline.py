@@ -35,16 +35,16 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: the whole times, and once more with the chance of the rest (by a hash of the id)."""
-    mixed = mix.mix(docs)
-    key = [F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "size")]
-    rate = (F.sum("taken") / F.sum("size")).alias("rate")
-    rates = mixed.where("size > 0").groupBy(*key).agg(rate)
-    chance = F.pmod(F.xxhash64("mix_doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = rates.withColumn("copies", (F.floor("rate") + (F.col("rate") - F.floor("rate") > chance).cast("int")).cast("int")).where("copies > 0")
-    copies = common.narrow(common.settled(copies.drop("rate"), "copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (common.words(F.col("text")) == F.col("mix_size"))
-    return docs.join(copies, same).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Documents as often as the mix takes them: each source's words are within about its largest document of its target.
+
+    Documents without words stay as they are; columns may have any names.
+    """
+    copies = common.settled(mix.whole_documents(mix.mix(docs)), "copies")
+    id_, source, size, times = common.fresh(docs, "mix_doc_id", "mix_source", "mix_size", "mix_copies")
+    copies = common.narrow(copies.where("copies > 0").toDF(id_, source, size, times))
+    same = docs["doc_id"].eqNullSafe(copies[id_]) & docs["source"].eqNullSafe(copies[source]) & (common.words(docs["text"]) == copies[size])
+    again = F.explode(F.sequence(F.lit(1), F.col(times)))
+    return docs.join(copies, same).withColumn(times, again).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

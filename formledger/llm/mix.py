@@ -206,3 +206,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), block: int = BL
     with_words = lined.where("size > 0").join(taken, ["rank", "begins"], "left")
     out = with_words.unionByName(lined.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def whole_documents(mixed: DataFrame) -> DataFrame:
+    """doc_id, source, size, copies: how often a mix of whole documents has each, from the rows of ``mix``.
+
+    A document is there as many whole times as the mix takes it; which ones are there once more follows from running sums of
+    the fractions that are left, by size in each source, rounded where they pass a half.  So a source's words differ from
+    its target by about its largest document.  Rows of equal doc_id, source and size are treated alike; documents without words
+    stay once.
+    """
+    unit = 1 << 20
+    source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))  # no null, so it can be joined
+    rows = mixed.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m"), F.sum("taken").alias("taken")).withColumn("own", source)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / (F.col("m") * F.col("size")))).otherwise(1)
+    rows = rows.withColumn("whole", whole.cast("long"))
+    left = F.when(F.col("size") > 0, F.floor((F.col("taken") - F.col("whole") * F.col("m") * F.col("size")) * unit / F.col("size"))).otherwise(0)
+    rows = common.settled(rows.withColumn("left", left.cast("long")), "mix-fractions")
+    chunks = rows.groupBy("own", "size").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
+    rows = common.settled(rows.join(common.narrow(chunks), ["own", "size"]).withColumn("chunk", chunk).drop("chunks"), "mix-chunks")
+    before = Window.partitionBy("own").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("own", "size", "chunk").agg(F.sum("left").alias("sum")).select("own", "size", "chunk", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("own", "size", "chunk").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.col("first") + F.coalesce(F.sum("left").over(inside), F.lit(0)) + unit // 2
+    once_more = F.floor((F.col("begins") + F.col("left")) / unit) - F.floor(F.col("begins") / unit)
+    out = rows.join(sums, ["own", "size", "chunk"]).withColumn("begins", begins)
+    return out.select("doc_id", "source", "size", (F.col("whole") + F.round(once_more / F.col("m"))).cast("int").alias("copies"))
