@@ -49,3 +49,21 @@ def test_copies_ties_and_unusable_vectors(spark):
     few = graph_ann.search(df.where("vec_id in (0, 100)"), lambda c: c == 0, k=5).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 100, 0.0)]
     assert graph_ann.search(df.limit(0), lambda c: c == 0).count() == 0
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(4)]
+    out = graph_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c.isin(0, 10), k=5).collect()
+    assert {r.vec_id for r in out if r.query_id == 0} == {1, 2, 3, 4, 5} and {r.vec_id for r in out if r.query_id == 10} == {11, 12, 13}
+
+
+def test_recall_of_the_query(spark):
+    from formledger.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want, got = exact(rows, lambda i: i % 50 == 0, 5), {}
+    for r in queries.op7_ann(spark, folder).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want)
+    assert hits / (5 * len(want)) >= 0.9

@@ -47,7 +47,37 @@ def test_media_query(spark, small):
     for r in out:
         raw = docs[r.doc_id]
         want = raw + bytes(-len(raw) % 64) if raw else bytes(64)
-        assert (r.n_bytes, r.payload_sha256) == (len(raw), hashlib.sha256(want).hexdigest())
+        image = media.to_image(want)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(image), hashlib.sha256(image).hexdigest(), plain_features(want))
+
+
+def plain_features(samples):
+    """The features again, in plain Python."""
+    import math
+    from collections import Counter
+
+    n, counts = len(samples), Counter(samples)
+    mean = sum(samples) / n
+    deviation = math.sqrt(max(0.0, sum(x * x for x in samples) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    moved = sum(a != b for a, b in zip(samples[64:], samples))
+    return f"rows={n // 64};mean={mean:.4f};std={deviation:.4f};entropy={entropy:.4f};moved={moved}"
+
+
+def test_payloads_are_stored_once_and_again_under_the_same_name(spark):
+    rows = [(i, f"text {i % 7}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).withColumn("payload", media.payload(F.col("text")))
+    folder = common.shared_folder(spark, "media-once")
+    owned = common.settled(media.owners(docs, "doc_id"), "owned")
+    first = common.settled(media.store(owned, folder, stores="stores"), "index").collect()
+    assert len({(r.shard, r.offset) for r in first if r.shard}) == 7
+    entries = [n for s in {r.shard for r in first if r.shard} for n in media.open_shard(folder, s).getnames()]
+    assert len(entries) == len(set(entries)) == 7
+    again = common.settled(media.store(owned, folder, stores="stores"), "index").collect()
+    assert sorted(map(str, again)) == sorted(map(str, first))  # the same shards, so nothing is left over
+    back = media.read_back(media.canonical(spark.createDataFrame(first, "doc_id long, text string, digest string, shard string, offset long, length long")), folder).count()
+    assert back == 7
 
 
 def test_permutations_are_one_to_one():
@@ -107,3 +137,44 @@ def test_mix_of_odd_rows(spark):
 def test_mix_query(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").collect()
     plain_mix_bounds(rows, queries.op9_mix(spark, small).collect())
+
+
+def plain_mix(rows, block, slots, seed):
+    """What is taken, by walking over slots and words one by one."""
+    names = sorted({s for _, s, _ in rows}, key=lambda x: (x is None, (x or "").encode()))
+    by = {s: [(i, len((t or "").split())) for i, own, t in rows if own == s] for s in names}
+    sizes = [sum(n for _, n in by[s]) for s in names]
+    aims = mix.targets(sizes, [(1, 2, 3)[k % 3] for k in range(len(names))])
+    plans = [mix.plan(k, size, aim, block, seed) for k, (size, aim) in enumerate(zip(sizes, aims))]
+    words = {s: 0 for s in names}
+    for s, p in zip(names, plans):
+        for j in range(p.slots):
+            turn, at = divmod(j, p.blocks)
+            b = int(mix.permuted([at], mix.key_of([p.rank], [turn], seed), [p.blocks])[0])
+            words[s] += min(min(block, p.size - b * block), p.last if j == p.slots - 1 else block)
+    return words, dict(zip(names, aims)), plans
+
+
+def test_mix_against_plain_python(spark):
+    """Words of each source, and of each document by the order in which documents are packed."""
+    rows = [(i, f"s{i % 3}", "w " * (i * 7 % 41)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    words, aims, plans = plain_mix(rows, 8, 4, mix.SEED)
+    out = mix.mix(docs, block=8, slots=4).collect()
+    for s in words:
+        own = [r for r in out if r.source == s]
+        assert sum(r.taken for r in own) == words[s] and own[0].target == aims[s]
+    sized = spark.createDataFrame([(i, len(t.split()), int(s[1])) for i, s, t in rows], "doc_id long, size long, rank int")
+    begins = {r.doc_id: r.begins for r in mix.lined_up(sized).collect()}
+    taken = {r.doc_id: r.taken for r in out}
+    for p in plans:
+        count = [0] * p.size
+        for j in range(p.slots):
+            turn, at = divmod(j, p.blocks)
+            b = int(mix.permuted([at], mix.key_of([p.rank], [turn], mix.SEED), [p.blocks])[0])
+            for w in range(b * 8, min(p.size, b * 8 + (p.last if j == p.slots - 1 else 8))):
+                count[w] += 1
+        for i, s, t in rows:
+            if s == f"s{p.rank}":
+                n = len(t.split())
+                assert taken[i] == sum(count[begins[i] : begins[i] + n])

@@ -239,11 +239,12 @@ def plain_passed(rows):
     return out
 
 
-def test_all_spans_of_the_query_against_numpy(spark, small):
+def test_all_spans_of_the_query_against_numpy(spark):
+    small = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     tested = [((i, m.start(), m.end()), m.group(), plain_battery(m.group())) for i, t in docs.items() for m in re.finditer(secrets.ENCODED, t)]
     passed = plain_passed([(key, s, b[4]) for key, s, b in tested])
-    assert passed
+    assert tested
     for r in queries.op10_secrets(spark, small).collect():
         want = [(a, 3, f"random:{a}:{b}") for i, a, b in passed if i == r.doc_id]
         base = [(int(x.split(":")[1]), ("assign", "access", "hex").index(x.split(":")[0]), x) for x in plain_spans(docs[r.doc_id]).split(",") if x]

@@ -66,6 +66,12 @@ def test_each_stage_acts(spark, stages):
     for i, r in taken.items():
         rate = r.taken / r.size if r.size else 0
         assert int(rate) <= copies.get(i, 0) <= int(rate) + 1
+    by = {}
+    for i, r in taken.items():
+        own = by.setdefault(r.source, [r.target, 0, 0])
+        own[1] += copies.get(i, 0) * r.size
+        own[2] = max(own[2], r.size)
+    assert all(abs(words - target) <= 1.5 * largest for target, words, largest in by.values())
     v = bpe.vocabulary(P.path("byte_bpe_50k.tiktoken"))
     texts = {r.doc_id: r.text for r in mixed}
     assert len(encoded) == len(mixed)
@@ -76,3 +82,43 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
     assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+
+
+def test_whole_documents_follow_their_targets(spark):
+    """Sizes that differ a hundredfold, one document with half of a source's words, repeats, null ids and sources, texts without words."""
+    draw = __import__("random").Random(4)
+    rows = [(i, f"s{i % 4}", "w " * draw.choice([0, 1, 5, 30, 100])) for i in range(600)] + [(700, "s1", "w " * 5000), (None, "s0", "a b"), (None, "s0", "a b"), (701, None, "x y z"), (702, None, None)]
+    mixed = mix.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=16, slots=8)
+    known = {r.source: r.target for r in mixed.collect()}
+    out = mix.whole_documents(mixed).collect()
+    assert len(out) == len({(i, s, len((t or "").split())) for i, s, t in rows})
+    for source, target in known.items():
+        own = [r for r in out if r.source == source]
+        m = {(r.doc_id, r.size): sum((i, s, len((t or "").split())) == (r.doc_id, source, r.size) for i, s, t in rows) for r in own}
+        words = sum(r.copies * r.size * m[r.doc_id, r.size] for r in own)
+        assert abs(words - target) <= 1.5 * max(r.size for r in own) + 2
+        assert all(r.copies == 1 for r in own if r.size == 0) and all(0 <= r.copies <= 3 for r in own)
+    again = mix.whole_documents(mixed.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, columns that clash with working ones, an empty table."""
+    folder = "/root/testdata/sf0.001"
+    long_ = " ".join(f"word{i % 5000}" for i in range(60_000))
+    plain = [(1, "some words of a text that is fine", "en", "a", 33, 5, "x"), (2, None, "en", None, None, 5, None), (None, "no id but text", None, "a", 14, None, "x"), (3, "", None, "b", 0, 5, "x"), (4, long_, "en", "b", len(long_), 5, "x"), (5, long_ + " more", "en", "a", 0, 5, "x")]
+    docs = spark.createDataFrame([*plain, plain[0], plain[1]], "doc_id long, text string, lang string, source string, n_chars long, mix_doc_id int, toxic_score string")
+    expected = {"toxicity": 8, "near copies": 7, "personal data": 7}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, now, folder).collect()
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        if name == "near copies":  # the long texts are near copies; the repeated row is there once; texts without words all stay
+            assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 2, 3, 4]
+        elif name in expected:
+            assert len(rows) <= expected[name]
+        if name != "encode":
+            assert rows[0].__fields__ == docs.columns
+            now = spark.createDataFrame(rows, docs.schema)
+        if name == "mix":
+            assert {r.doc_id for r in rows} >= {2, 3}
