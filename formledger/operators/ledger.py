@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The stages of a run, in order.
 STAGES = ("init", "rule_selection", "fact_extraction", "semantic_strategy", "rule_packaging", "format_audit", "repair_planning", "manual_review", "repair_execution", "after_snapshot", "review", "toc_acceptance", "final_acceptance", "reporting", "completed")
@@ -35,12 +40,33 @@ def completeness(artifacts: DataFrame, run: str, required: list[str]) -> DataFra
 def chain_heads(events: DataFrame, run: str, order: str, *fields: str) -> DataFrame:
     """run, chain_head, n_events: each event is hashed with the head before it; any change changes the head.
 
-    An ordered fold over one run's events; runs are bounded (a run has a few events for each stage and attempt).
+    A run's events come to one task in order, which keeps the head only, however many they are.
     """
-    item = F.struct(F.col(order).alias("k"), F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).alias("v"))
-    events_in_order = F.array_sort(F.collect_list(item))
-    head = F.aggregate(events_in_order, F.lit(""), lambda acc, x: F.sha2(F.concat(acc, F.lit("/"), x["v"]), 256))
-    return events.groupBy(run).agg(head.alias("chain_head"), F.count("*").alias("n_events"))
+    value = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    rows = events.select(F.col(run).alias("run"), F.col(order).alias("k"), value.alias("v")).repartition("run").sortWithinPartitions("run", "k", "v").select("run", "v")
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(done: list) -> pa.RecordBatch:
+            columns = [pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["run", "chain_head", "n_events"])
+
+        now, head, n, done = None, "", 0, []
+        for part in parts:
+            kind = part.schema.field(0).type
+            for own, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if n and own != now:
+                    done.append((now, head, n))
+                    head, n = "", 0
+                now, head, n = own, hashlib.sha256(f"{head}/{v}".encode()).hexdigest(), n + 1
+            if len(done) >= 1000:
+                yield batch(done)
+                done = []
+        if n:
+            yield batch([*done, (now, head, n)])
+
+    kind = events.schema[run].dataType
+    schema = T.StructType([T.StructField("run", kind), T.StructField("chain_head", T.StringType()), T.StructField("n_events", T.LongType())])
+    return rows.mapInArrow(fold, schema).withColumnRenamed("run", run)
 
 
 def gate_decision() -> tuple[Column, Column]:
