@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor.
 
-The units of a text are its lines and its paragraphs (between blank lines), of the whole text, that contain a sign of a
-licence.  Each unit is a sparse vector of its terms; a term weighs its count times its inverse document frequency in the
+The units of a text are the whole text, its lines and its paragraphs (between blank lines), those that contain a sign of a
+licence; so headers meet the templates of headers, licence files those of whole licences.  Each unit is a sparse vector of its terms; a term weighs its count times its inverse document frequency in the
 templates (a term of no template weighs as one of none of them, so unrelated words lower the cosine).  A document's licence is
 the template of the highest cosine from ``LEAST`` on, of any of its units.  A document is a licence file if the unit of its licence has
 at least ``FILE_SHARE`` of its words; the licence of a file holds for its folder and all below, unless a nearer one is there.
@@ -53,6 +53,24 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain. CC0 1.0 Universal"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, "
+        "including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. "
+        "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors as is and any express or implied warranties, "
+        "including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) "
+        "however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 )
 
@@ -71,7 +89,7 @@ def weights() -> tuple[list[tuple[str, float]], float, list[tuple[int, str, str,
 
 
 def units(text: Column) -> Column:
-    both = F.concat(F.split(text, r"\n"), F.split(text, r"\n[\x20\x09\x0D]*\n"))
+    both = F.concat(F.split(text, r"\n"), F.split(text, r"\n[\x20\x09\x0D]*\n"), F.array(text))
     return F.array_distinct(F.filter(both, lambda u: F.regexp_like(u, F.lit(SIGNS))))
 
 
@@ -146,7 +164,7 @@ WITH idf(term, idf) AS (VALUES {", ".join(f"({q(t)}, {v!r}::DOUBLE)" for t, v in
 templates(template, license, term, w) AS (VALUES {", ".join(f"({i}, {q(n)}, {q(t)}, {w!r}::DOUBLE)" for i, n, t, w in rows)}),
 docs AS (SELECT doc_id, {path_sql} AS path, text, CASE WHEN regexp_matches(text, {q(SIGNS)}) THEN text END AS key FROM documents),
 texts AS (SELECT DISTINCT key FROM docs WHERE key IS NOT NULL),
-lines AS (SELECT key, unnest(list_distinct(list_concat(string_split(key, chr(10)), regexp_split_to_array(key, '\\n[\\x20\\x09\\x0D]*\\n')))) AS unit FROM texts),
+lines AS (SELECT key, unnest(list_distinct(list_concat(string_split(key, chr(10)), regexp_split_to_array(key, '\\n[\\x20\\x09\\x0D]*\\n'), [key]))) AS unit FROM texts),
 units AS (SELECT key, unit, len(regexp_extract_all(key, {space})) AS words, len(regexp_extract_all(unit, {space})) AS unit_words FROM lines WHERE regexp_matches(unit, {q(SIGNS)})),
 terms AS (SELECT key, unit, words, unit_words, unnest(regexp_extract_all(lower(unit), {q(TERM.replace("++", "+").replace("*+", "*"))})) AS term FROM units),
 counts AS (SELECT key, unit, words, unit_words, term, count(*) AS c FROM terms GROUP BY ALL),

@@ -116,6 +116,9 @@ LICENSES = [
     (8, "a/copyright.txt", "copyright of many unrelated things that are no licence at all in this line of text"),
     (1, "a/LICENSE", "Released under the MIT License."),
     (9, "a/MIT2", "Released under the MIT License."),
+    (10, "q/LICENSE", "ISC License\n\nCopyright (c) 2004 someone\n\n" + next(t for n, t in licenses.TEMPLATES if n == "ISC").replace(". ", ".\n\n")),
+    (11, "q/x/y.c", "int main;"),
+    (12, "m/COPYING", "Copyright (c) 2020 A. Person\n\n" + max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len).replace(", ", ",\n")),
 ]
 
 
@@ -135,6 +138,9 @@ def test_licenses(spark):
         7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", "own", None),
         8: (None, "MIT", "inherited", "a"),
         9: ("MIT", "MIT", "own", None),
+        10: ("ISC", "ISC", "own", None),
+        11: (None, "ISC", "inherited", "q"),
+        12: ("MIT", "MIT", "own", None),
     }
     assert licenses.scan(docs).count() == len(LICENSES)
     assert licenses.scan(docs.limit(0)).count() == 0
