@@ -11,6 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"  #: a word: a run without ASCII white space
 
 #: A side of a join is broadcast up to so many rows and bytes; beyond either Spark shuffles both sides.
 BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
+ROWS_A_FILE = 100_000  #: of a narrow table in the shared folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,17 @@ def small_batches(spark: SparkSession, rows: int = 200) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset (as in tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (as in tests) gets a temporary folder; a cluster has to set it, for a local one would be lost.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         import tempfile
 
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="formledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -38,14 +45,16 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+def settled(df: DataFrame, what: str, free: bool = False, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     ``free``: what it was made from was large and isn't needed any more; a collection lets Spark's cleaner drop its shuffle files
     and broadcasts now instead of when the driver happens to run short of memory, so a job of many steps needs the disk of one.
+    ``rows``: a bound of its rows, where its last stage is light; it is then written in files of ``ROWS_A_FILE``, not one for each partition.
     """
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    out.write.parquet(path)
     if free:
         df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)

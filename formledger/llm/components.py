@@ -30,6 +30,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before, now = state, common.settled(_round(now), "edges")
+        before, now = state, common.settled(_round(now), "edges", rows=2 * state[0])  # a round has no more edges than nodes and edges before it
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -70,9 +70,9 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: i
 def lists(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     """cid, n, members for the classes in ``wanted`` (cid, digest, id, reach): the first ``reach`` hashes, as little-endian bytes.
 
-    Only the texts of those ids are read into Python.
+    Only the texts of those ids are read into Python.  ``wanted`` should be settled.
     """
-    wanted = common.narrow(common.settled(wanted.select(F.col("id").alias("wanted_id"), "cid", "digest", "reach"), "wanted"))
+    wanted = common.narrow(wanted.select(F.col("id").alias("wanted_id"), "cid", "digest", "reach"))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("t", "cid", "digest", "reach")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +105,11 @@ def _listed(sets: DataFrame) -> DataFrame:
     return sets.select("cid", "n", "members").mapInArrow(run, "cid long, n long, tokens array<long>").select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """Few rows of many partitions in as many as ``rows``, their bound, needs."""
+    return df.repartition(max(1, -(-rows // common.ROWS_A_FILE)))
+
+
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     """Sizes that leave the link possible."""
     return F.least(a, b) * den >= F.greatest(a, b) * num
@@ -135,17 +140,17 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 def _families(lists: DataFrame) -> DataFrame:
     """node, component: the sets of ``lists`` (token, cid) that hang together by tokens; a set that meets no other is not there."""
-    low = common.settled(lists.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("token", "low"), "met-lists")
-    return components.components(lists.join(low, "token").select("cid", "low").distinct(), "cid", "low")
+    low = lists.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("token", "low")
+    return components.components(lists.join(low, "token").select("cid", "low"), "cid", "low")
 
 
-def _differences(crowd: DataFrame, num: int, den: int) -> DataFrame:
+def _differences(crowd: DataFrame, num: int, den: int, n: int) -> DataFrame:
     """family, cid, v, diff for sets (family, cid, n, members): what differs from the family's pivot, the tokens of more than half of its sets."""
-    sizes = common.settled(crowd.groupBy("family").agg(F.count("*").alias("size")), "families")
+    sizes = common.settled(crowd.groupBy("family").agg(F.count("*").alias("size")), "families", rows=n)
     counted = _listed(crowd).join(crowd.select("cid", "family"), "cid").groupBy("family", "token").agg(F.count("*").alias("c"))
     pivots = counted.join(common.narrow(sizes), "family").where(2 * F.col("c") > F.col("size")).groupBy("family").agg(F.sort_array(F.collect_list("token")).alias("pivot"))
     copies = F.ceil(F.col("size") / GROUP)
-    spread = sizes.join(common.settled(pivots, "pivots"), "family", "left").select("family", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    spread = sizes.join(common.settled(pivots, "pivots", rows=n), "family", "left").select("family", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
     own = crowd.join(common.narrow(sizes), "family").withColumn("copy", F.pmod(F.xxhash64("cid"), copies))
     both = own.join(spread, ["family", "copy"]).select("family", "cid", "n", "members", "pivot")
 
@@ -161,11 +166,12 @@ def _differences(crowd: DataFrame, num: int, den: int) -> DataFrame:
 
 def _sure(far: DataFrame) -> DataFrame:
     """cid, n: the sets v' >= -v of the same family, which are linked whatever they share; counted over the different values of v."""
-    values = common.settled(far.groupBy("family", "v").agg(F.count("*").alias("c")), "values")
+    n = far.count()
+    values = common.settled(far.groupBy("family", "v").agg(F.count("*").alias("c")), "values", rows=n)
     points = values.select("family", F.col("v").alias("at"), "c", F.lit(None).cast("long").alias("asks")).unionByName(values.select("family", (-F.col("v")).alias("at"), F.lit(0).cast("long").alias("c"), F.col("v").alias("asks")))
     above = Window.partitionBy("family").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     sure = points.withColumn("sure", F.sum("c").over(above)).where("asks IS NOT NULL").select("family", F.col("asks").alias("v"), (F.col("sure") - (F.col("asks") >= 0).cast("long")).alias("sure"))
-    return far.select("family", "cid", "v").join(common.narrow(common.settled(sure, "sure")), ["family", "v"]).select("cid", F.col("sure").alias("n"))
+    return far.select("family", "cid", "v").join(common.narrow(common.settled(sure, "sure", rows=n)), ["family", "v"]).select("cid", F.col("sure").alias("n"))
 
 
 def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -173,12 +179,13 @@ def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool
 
     ``lists``: token, cid of the sets' plain prefixes, so that two linked ones meet; ``known``: cid, n, members.
     """
-    families = common.settled(_families(lists), "crowd").select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets")
-    far = common.settled(_differences(crowd, num, den), "differences", free=True)
+    n = lists.select("cid").distinct().count()
+    families = common.settled(_families(lists), "crowd", rows=n).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets", rows=n)
+    far = common.settled(_differences(crowd, num, den, n), "differences", free=True, rows=n)
     # all that are linked to the family's nearest to the pivot whatever they share are one component
     most = far.groupBy("family").agg(F.max("v").alias("most"), F.max_by("cid", F.struct("v", "cid")).alias("nearest"))
-    most = common.narrow(common.settled(most, "nearest"))
+    most = common.narrow(common.settled(most, "nearest", rows=n))
     core = F.col("v") + F.col("most") >= 0
     connecting = far.join(most, "family").where(core & (F.col("cid") != F.col("nearest"))).select(*_ordered("cid", "nearest"))
     # the others need shared differences: those that only one set has can't be shared
@@ -211,14 +218,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     rows = common.settled(signatures(docs, id_col, text, k, num, den), "signatures", free=True)
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # a number for each class, for it is carried along with each hash; it stays, for the table is written
-    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True)
+    n = rows.count()
+    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True, rows=n)
     plain = classes.select("cid", "n", F.explode("prefix").alias("token"))
     counted = plain.groupBy("token").agg(F.count("*").alias("df"))
-    hot = common.settled(counted.where(F.col("df") > HOT).select("token"), "hot", free=True)
+    n_plain = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    hot = common.settled(_gathered(counted.where(F.col("df") > HOT).select("token"), n_plain // HOT), "hot", free=True)
     touched = plain.join(common.narrow(hot), "token", "left_semi").groupBy("cid").agg(F.count("*").alias("h"))
     plain_size = F.size("prefix")
     reach = F.when(F.col("h") > plain_size / 4, F.col("n")).otherwise(F.least(F.col("n"), plain_size + 2 * F.col("h") + 10))
-    touched = common.settled(classes.join(common.narrow(common.settled(touched, "touched-by")), "cid").select("cid", "digest", "id", reach.alias("reach")), "touched", free=True)
+    touched = common.settled(classes.join(common.narrow(common.settled(touched, "touched-by", rows=n)), "cid").select("cid", "digest", "id", reach.alias("reach")), "touched", free=True, rows=n)
     sets = lists(docs, touched, id_col, text, k)
     calm = plain.join(common.narrow(touched.select("cid")), "cid", "left_anti")
     listed = _listed(sets)
@@ -226,7 +235,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     both = calm.select("token").unionByName(listed.select("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     both = common.settled(both, "met", free=True)
     met_tokens = common.narrow(both.select("token"))  # a hash of one set only meets none
-    hot = common.narrow(common.settled(hot.union(both.where(F.col("df") > HOT).select("token")).distinct(), "hot-all"))
+    n_listed = sets.agg(F.sum(F.length("members") / 8).cast("long")).first()[0] or 0
+    hot = _gathered(hot.union(both.where(F.col("df") > HOT).select("token")).distinct(), (n_plain + n_listed) // HOT)
+    hot = common.narrow(common.settled(hot, "hot-all"))
 
     margin = F.when(F.col("n") >= MARGIN_FROM, MARGIN).otherwise(0)
     base = F.col("n") - F.ceil(F.col("n") * num / den) + 1
@@ -249,7 +260,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
     places = listed.join(hot, "token", "left_semi").groupBy("cid").agg(F.collect_list("pos").alias("places"))
     places = sets.select("cid", "n", (F.length("members") / 8).cast("long").alias("listed")).join(places, "cid", "left")
-    lengths = common.settled(places.select("cid", enough("n", "listed", "places").alias("length")), "lengths")
+    lengths = common.settled(places.select("cid", enough("n", "listed", "places").alias("length")), "lengths", rows=n)
     full = F.col("length") == 0
     costly = hot.withColumn("costly", F.lit(True))
     index = (
@@ -269,7 +280,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     pairs = common.settled(pairs, "pairs", free=True)
     crowded = lengths.where(full).select("cid")
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(crowded.select("cid")).distinct()
-    known = lists(docs, classes.join(ends, "cid", "left_semi").select("cid", "digest", "id", F.col("n").alias("reach")), id_col, text, k)
+    ends = classes.join(ends, "cid", "left_semi").select("cid", "digest", "id", F.col("n").alias("reach"))
+    known = lists(docs, common.settled(ends, "ends", rows=n), id_col, text, k)
     found = verified(pairs, known, num, den)
     found = common.settled(found, "links")
     rows, classes = rows.select("id", "n", "digest"), classes.select("cid", "digest", "id", "n")
@@ -277,7 +289,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     if not crowded.take(1):
         return rows, classes, found, degree
     crowd = listed.join(common.narrow(crowded), "cid").where(F.col("pos") < base).select("token", "cid")
-    connecting, more = _crowded(crowd, known.join(common.narrow(crowded), "cid"), num, den, count)
+    connecting, more = _crowded(common.settled(crowd, "crowd-lists"), known.join(common.narrow(crowded), "cid"), num, den, count)
     return rows, classes, found.union(connecting), degree.union(more) if count else None
 
 
@@ -306,11 +318,12 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5
     """
     rows, classes, found, _ = links(docs, id_col, text, k, num, den, count=False)
     labels = components.components(found, "a", "b")
-    found = common.settled(_placed(rows, classes, labels).select("id", "component_id", "digest"), "groups")
+    n = rows.count()
+    found = common.settled(_placed(rows, classes, labels).select("id", "component_id", "digest"), "groups", rows=n)
     gone = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("gone")).distinct()
-    gone = common.narrow(common.settled(gone, "gone"))
+    gone = common.narrow(common.settled(gone, "gone", rows=n))
     out = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
-    again = common.settled(found.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).groupBy("id", "digest").count().where("count > 1").select(F.col("id").alias("again")).distinct(), "again")
+    again = common.settled(found.where(F.col("id").isNotNull() & F.col("digest").isNotNull()).groupBy("id", "digest").count().where("count > 1").select(F.col("id").alias("again")).distinct(), "again", rows=n)
     if not again.take(1):
         return out
     again = common.narrow(again)
