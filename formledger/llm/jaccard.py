@@ -40,6 +40,7 @@ from . import common, components, shingles
 HOT = 48  #: a hash indexed by more sets is expensive
 MARGIN = 1  #: further matches that pairs of longer sets need
 MARGIN_FROM = 20  #: hashes in a longer set
+WIDE = 8  #: a row with a list of hashes counts as so many narrow ones
 GROUP = 1000  #: sets of a family that meet one copy of its pivot
 
 
@@ -181,8 +182,8 @@ def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool
     """
     n = lists.select("cid").distinct().count()
     families = common.settled(_families(lists), "crowd", rows=n).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets", rows=n)
-    far = common.settled(_differences(crowd, num, den, n), "differences", free=True, rows=n)
+    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets", rows=WIDE * n)
+    far = common.settled(_differences(crowd, num, den, n), "differences", free=True, rows=WIDE * n)
     # all that are linked to the family's nearest to the pivot whatever they share are one component
     most = far.groupBy("family").agg(F.max("v").alias("most"), F.max_by("cid", F.struct("v", "cid")).alias("nearest"))
     most = common.narrow(common.settled(most, "nearest", rows=n))
@@ -219,7 +220,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # a number for each class, for it is carried along with each hash; it stays, for the table is written
     n = rows.count()
-    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True, rows=n)
+    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True, rows=WIDE * n)
     plain = classes.select("cid", "n", F.explode("prefix").alias("token"))
     counted = plain.groupBy("token").agg(F.count("*").alias("df"))
     n_plain = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
