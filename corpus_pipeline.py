@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words stay as they are; columns may have any names.
     """
-    copies = common.settled(mix.whole_documents(mix.mix(docs)), "copies")
+    copies = common.settled(mix.whole_documents(mix.mix(docs)), "copies", rows=docs.count())
     id_, source, size, times = common.fresh(docs, "mix_doc_id", "mix_source", "mix_size", "mix_copies")
     copies = common.narrow(copies.where("copies > 0").toDF(id_, source, size, times))
     same = docs["doc_id"].eqNullSafe(copies[id_]) & docs["source"].eqNullSafe(copies[source]) & (common.words(docs["text"]) == copies[size])

@@ -223,9 +223,10 @@ def whole_documents(mixed: DataFrame) -> DataFrame:
     rows = rows.withColumn("whole", whole.cast("long"))
     left = F.when(F.col("size") > 0, F.floor((F.col("taken") - F.col("whole") * F.col("m") * F.col("size")) * unit / F.col("size"))).otherwise(0)
     rows = common.settled(rows.withColumn("left", left.cast("long")), "mix-fractions")
+    n = rows.count()
     chunks = rows.groupBy("own", "size").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
-    rows = common.settled(rows.join(common.narrow(chunks), ["own", "size"]).withColumn("chunk", chunk).drop("chunks"), "mix-chunks")
+    rows = common.settled(rows.join(common.narrow(chunks), ["own", "size"]).withColumn("chunk", chunk).drop("chunks"), "mix-chunks", rows=n)
     before = Window.partitionBy("own").orderBy("size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("own", "size", "chunk").agg(F.sum("left").alias("sum")).select("own", "size", "chunk", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("own", "size", "chunk").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)

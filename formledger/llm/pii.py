@@ -247,19 +247,21 @@ def entities(text: Column) -> Column:
 def settle_attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, attempt for the entities whose surrogate had to be tried again; ``found`` has arrays from ``described``."""
     known = found.select(F.explode("items").alias("x")).where("x.ok").groupBy("x.kind", "x.norm").agg(F.min("x.e").alias("e"))
-    state = common.settled(known.withColumn("attempt", F.lit(0)), "entities")
+    n = found.agg(F.sum(F.size("items"))).first()[0] or 0
+    state = common.settled(known.withColumn("attempt", F.lit(0)), "entities", rows=n)
+    n = state.count()
     own = state.select(F.col("kind").alias("k"), F.col("norm").alias("taken"))
     for _ in range(LIMIT):
         made = surrogates(F.array(F.struct("e", "kind", "norm", F.lit(True).alias("ok"), "attempt")), key)[0]["s"]
-        tried = common.settled(state.withColumn("s", normal(F.col("kind"), made)), "tried")
+        tried = common.settled(state.withColumn("s", normal(F.col("kind"), made)), "tried", rows=n)
         # a surrogate belongs to the entity that needed the most attempts for it, then to the last by its text
         counts = tried.groupBy("kind", "s").agg(F.count("*").alias("c"), F.max_by("norm", F.struct("attempt", "norm")).alias("owner"))
         clash = tried.join(counts.where("c > 1"), ["kind", "s"]).where(F.col("norm") != F.col("owner")).select("kind", "norm")
         meets = tried.join(own, (F.col("k") == F.col("kind")) & (F.col("taken") == F.col("s")), "left_semi").select("kind", "norm")
-        again = common.settled(clash.union(meets).distinct().withColumn("more", F.lit(1)), "again")
+        again = common.settled(clash.union(meets).distinct().withColumn("more", F.lit(1)), "again", rows=n)
         if not again.take(1):
-            return common.settled(state.where("attempt > 0").select("kind", "norm", "attempt"), "attempts")
-        state = common.settled(state.join(again, ["kind", "norm"], "left").select("kind", "norm", "e", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
+            return common.settled(state.where("attempt > 0").select("kind", "norm", "attempt"), "attempts", rows=n)
+        state = common.settled(state.join(again, ["kind", "norm"], "left").select("kind", "norm", "e", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities", rows=n)
     raise ValueError(f"surrogates still collide after {LIMIT} attempts: a form has more entities than values")
 
 

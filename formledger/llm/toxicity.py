@@ -29,6 +29,7 @@ SAMPLE = 10_000  #: labelled rows that a fit takes at most
 KEPT = 4_000  #: buckets with a weight
 SMOOTHING, PENALTY, ROUNDS = 1.0, 0.3, 300
 BLOCK_ROWS = 500
+PARTS = 4  #: tasks that count the sample's n-grams
 CHUNK = 1 << 19  #: characters that are hashed at once
 
 U32 = np.uint32
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     common.small_batches(spark)
     chosen = sample(labels, id_col, label, rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
-    texts = common.settled(texts.select("y", "t"), "toxic-sample")
+    texts = common.settled(texts.select("y", "t").repartition(PARTS), "toxic-sample")  # a bounded sample in a few files
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, n, distinct = np.zeros((2, 1 << BITS), np.int32), [0, 0], Distinct()
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         yield pd.DataFrame({"n0": [n[0]], "n1": [n[1]], "kept": [kept], "ratio": [ratio]})
 
     # a few arrays of a fixed size meet in one task; the driver gets the buckets that it keeps
-    few = texts.coalesce(4).mapInPandas(count, "label int, rows long, counts binary")
+    few = texts.coalesce(PARTS).mapInPandas(count, "label int, rows long, counts binary")
     chosen = few.repartition(1).mapInPandas(choose, "n0 double, n1 double, kept array<long>, ratio array<double>").first()
     n = (chosen.n0, chosen.n1) if chosen else (0.0, 0.0)
     if not all(n):
