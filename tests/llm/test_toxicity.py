@@ -59,3 +59,52 @@ def test_query_on_held_out_rows(spark):
     got = rows.join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
     assert rows.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def plain_buckets(text):
+    """Distinct buckets of the 3- to 5-grams, one substring after another."""
+    clean, out = " " + " ".join((text or "").lower().split()) + " ", set()
+    for size in (3, 4, 5):
+        for at in range(len(clean) - size + 1 if len(clean) >= 3 else 0):
+            total = sum((ord(c) + 1) * int(p) for c, p in zip(clean[at : at + size], toxicity.PLACES)) % 2**32
+            out.add((total ^ (total >> 15)) * (0x2C1B3C6D + 2 * (size - 1)) % 2**32 >> (32 - toxicity.BITS))
+    return out
+
+
+def test_query_against_dense_python(spark, small):
+    """The query's scores again: counts in dictionaries, the regression on a dense matrix."""
+    import zlib
+
+    import numpy as np
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    labels = {r.doc_id: int(r.toxic) for r in spark.read.parquet(f"{small}/labels.parquet").collect() if r.toxic is not None}
+    known = sorted((y, i) for i, y in labels.items() if i in docs and zlib.crc32(str(i).encode()) % 5)
+    sets = {i: plain_buckets(t) for i, t in docs.items()}
+    y = np.array([y for y, _ in known], float)
+    n = [int((y == c).sum()) for c in (0, 1)]
+    counts = {}
+    for c, i in known:
+        for b in sets[i]:
+            counts.setdefault(b, [0, 0])[c] += 1
+    rows = []
+    for b, c in counts.items():
+        p, q = ((c[k] + 1) / (n[k] + 2) for k in (1, 0))
+        both = (sum(c) + 1) / (sum(n) + 2)
+        rows.append((-abs(p - q) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])) * (sum(c) >= 3), b, np.log(p / q)))
+    kept = {b: r for s, b, r in sorted(rows)[: toxicity.KEPT] if -s > 2.5}
+    order = sorted(kept)
+    x = np.array([[kept[b] * (b in sets[i]) for b in order] for _, i in known])
+    even = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    rate = 4 / ((x * x).sum() / len(y) + 1)
+    w, v, bias, bias_v = np.zeros(len(order)), np.zeros(len(order)), 0.0, 0.0
+    for _ in range(toxicity.ROUNDS):
+        ahead, ahead_bias = w + 0.9 * v, bias + 0.9 * bias_v
+        error = even * (1 / (1 + np.exp(-(x @ ahead + ahead_bias))) - y)
+        v, bias_v = 0.9 * v - rate * (x.T @ error / len(y) + toxicity.PENALTY / len(y) * ahead), 0.9 * bias_v - rate * error.mean()
+        w, bias = w + v, bias + bias_v
+    weight = {b: a * kept[b] for b, a in zip(order, w)}
+    for r in queries.op5_toxicity(spark, small).collect():
+        z = bias + sum(weight[b] for b in sets[r.doc_id] if b in weight)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6
+        assert (r.held_out, r.predicted) == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0, int(r.score >= 0.5))
