@@ -50,10 +50,11 @@ def settled(df: DataFrame, what: str, free: bool = False, rows: int | None = Non
 
     ``free``: what it was made from was large and isn't needed any more; a collection lets Spark's cleaner drop its shuffle files
     and broadcasts now instead of when the driver happens to run short of memory, so a job of many steps needs the disk of one.
-    ``rows``: a bound of its rows, where its last stage is light; it is then written in files of ``ROWS_A_FILE``, not one for each partition.
+    ``rows``: a bound of its rows, if these are narrow; they are then gathered into files of ``ROWS_A_FILE``, not one for each partition.
     """
     path = shared_folder(df.sparkSession, what)
-    out = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    # by a shuffle: a task that runs many partitions of joins and sums one after another would hold the memory of all
+    out = df if rows is None else df.repartition(max(1, -(-rows // ROWS_A_FILE)))
     out.write.parquet(path)
     if free:
         df.sparkSession.sparkContext._jvm.System.gc()

@@ -16,7 +16,8 @@ above, by their whole lists.  Among themselves they form families, which hang to
 a pivot, the hashes of more than half of its sets, and each set is held as its d differences from the pivot.  Two sets of
 sizes n differ in d + d' - 2c hashes, c of them shared differences, so they are linked when ``v + v' + 2 (den + num) c >= 0``
 with ``v = (den - num) n - (den + num) d``.  Pairs with v + v' >= 0 are counted by rank, not listed, and linked through the set
-nearest to the pivot.  All others meet at a shared difference, and only if there are enough differences that another set has too.
+nearest to the pivot.  Of the others those that may connect more meet at a shared difference, and only if there are enough
+differences that another set has too; the rest is counted in blocks of sets, without rows for pairs.
 
 Equal sets are one class from the beginning (its links are those of one of them).  Candidates are verified on whole sets.
 
@@ -40,7 +41,7 @@ from . import common, components, shingles
 HOT = 48  #: a hash indexed by more sets is expensive
 MARGIN = 1  #: further matches that pairs of longer sets need
 MARGIN_FROM = 20  #: hashes in a longer set
-WIDE = 8  #: a row with a list of hashes counts as so many narrow ones
+BLOCK = 2048  #: sets of a family that a task compares with as many others
 GROUP = 1000  #: sets of a family that meet one copy of its pivot
 
 
@@ -106,11 +107,6 @@ def _listed(sets: DataFrame) -> DataFrame:
     return sets.select("cid", "n", "members").mapInArrow(run, "cid long, n long, tokens array<long>").select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
 
 
-def _gathered(df: DataFrame, rows: int) -> DataFrame:
-    """Few rows of many partitions in as many as ``rows``, their bound, needs."""
-    return df.repartition(max(1, -(-rows // common.ROWS_A_FILE)))
-
-
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     """Sizes that leave the link possible."""
     return F.least(a, b) * den >= F.greatest(a, b) * num
@@ -175,6 +171,42 @@ def _sure(far: DataFrame) -> DataFrame:
     return far.select("family", "cid", "v").join(common.narrow(common.settled(sure, "sure", rows=n)), ["family", "v"]).select("cid", F.col("sure").alias("n"))
 
 
+def _unsure(far: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, n: how many of the links that need shared differences each set has.
+
+    A family's sets are dealt to blocks of about ``BLOCK``; each two blocks meet in one task, which counts shared differences by the list
+    of sets that have one, and gives numbers by set, not pairs.
+    """
+    sizes = common.settled(far.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    dealt = far.join(common.narrow(sizes), "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    one = dealt.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"), "cid", "v", "diff")
+    again = {c: F.col(c).alias(c) for c in ("family", "cid", "v", "diff")}  # columns of its own, for both sides are one table
+    two = dealt.select(again["family"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("x"), F.col("block").alias("y"), again["cid"], again["v"], again["diff"])
+    step = 2 * (den + num)
+
+    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        if len(left) and len(right):
+            owner = np.repeat(np.arange(len(right)), [len(d) for d in right["diff"]])
+            tokens = np.concatenate([np.asarray(d, np.int64) for d in right["diff"]])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            v, ids = right["v"].to_numpy(), right["cid"].to_numpy()
+            for i, (cid, own, diff) in enumerate(zip(left["cid"].tolist(), left["v"].tolist(), left["diff"])):
+                begin, end = (np.searchsorted(tokens, np.asarray(diff, np.int64), side=s) for s in ("left", "right"))
+                met = [owner[a:b] for a, b in zip(begin.tolist(), end.tolist()) if b > a]
+                shared = np.bincount(np.concatenate(met), minlength=len(right)) if met else np.zeros(len(right), np.int64)
+                linked = (v + own < 0) & (v + own + step * shared >= 0) & (ids != cid)
+                n_left[i] = linked.sum()
+                if key[1] != key[2]:
+                    n_right += linked
+        out = pd.DataFrame({"cid": left["cid"], "n": n_left})
+        return out if key[1] == key[2] else pd.concat([out, pd.DataFrame({"cid": right["cid"], "n": n_right})])
+
+    keys = ["family", "x", "y"]
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(count, "cid long, n long")
+
+
 def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame | None]:
     """Links among sets whose hashes are nearly all expensive: (a, b) of enough links to connect what is linked; cid, n of all links if ``count``.
 
@@ -182,8 +214,8 @@ def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool
     """
     n = lists.select("cid").distinct().count()
     families = common.settled(_families(lists), "crowd", rows=n).select(F.col("node").alias("cid"), F.col("component").alias("family"))
-    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets", rows=WIDE * n)
-    far = common.settled(_differences(crowd, num, den, n), "differences", free=True, rows=WIDE * n)
+    crowd = common.settled(known.join(common.narrow(families), "cid").select("family", "cid", "n", "members"), "crowd-sets")
+    far = common.settled(_differences(crowd, num, den, n), "differences", free=True)
     # all that are linked to the family's nearest to the pivot whatever they share are one component
     most = far.groupBy("family").agg(F.max("v").alias("most"), F.max_by("cid", F.struct("v", "cid")).alias("nearest"))
     most = common.narrow(common.settled(most, "nearest", rows=n))
@@ -196,12 +228,10 @@ def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool
     points = useful.join(useful.groupBy("cid").agg(F.count("*").alias("u")), "cid")
     one, two = (points.select("family", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "v", "u", "core")]) for x in "ab")
     both, step = F.col("v_a") + F.col("v_b"), 2 * (den + num)
-    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + step * F.least("u_a", "u_b") >= 0)
-    if not count:
-        fits = fits & ~(F.col("core_a") & F.col("core_b"))
+    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + step * F.least("u_a", "u_b") >= 0) & ~(F.col("core_a") & F.col("core_b"))
     met = one.join(two, ["family", "token"]).where(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("v")).agg(F.count("*").alias("c"))
     found = common.settled(met.where(F.col("v") + step * F.col("c") >= 0).select("a", "b"), "crowd-links", free=True)
-    return connecting.union(found), _sure(far).union(_degrees(found)) if count else None
+    return connecting.union(found), _sure(far).union(_unsure(far, num, den)) if count else None
 
 
 def _degrees(links: DataFrame) -> DataFrame:
@@ -220,11 +250,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     # a number for each class, for it is carried along with each hash; it stays, for the table is written
     n = rows.count()
-    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True, rows=WIDE * n)
+    classes = common.settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes", free=True)
     plain = classes.select("cid", "n", F.explode("prefix").alias("token"))
     counted = plain.groupBy("token").agg(F.count("*").alias("df"))
     n_plain = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    hot = common.settled(_gathered(counted.where(F.col("df") > HOT).select("token"), n_plain // HOT), "hot", free=True)
+    hot = common.settled(counted.where(F.col("df") > HOT).select("token"), "hot", free=True, rows=n_plain // HOT)
     touched = plain.join(common.narrow(hot), "token", "left_semi").groupBy("cid").agg(F.count("*").alias("h"))
     plain_size = F.size("prefix")
     reach = F.when(F.col("h") > plain_size / 4, F.col("n")).otherwise(F.least(F.col("n"), plain_size + 2 * F.col("h") + 10))
@@ -237,8 +267,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     both = common.settled(both, "met", free=True)
     met_tokens = common.narrow(both.select("token"))  # a hash of one set only meets none
     n_listed = sets.agg(F.sum(F.length("members") / 8).cast("long")).first()[0] or 0
-    hot = _gathered(hot.union(both.where(F.col("df") > HOT).select("token")).distinct(), (n_plain + n_listed) // HOT)
-    hot = common.narrow(common.settled(hot, "hot-all"))
+    hot = hot.union(both.where(F.col("df") > HOT).select("token")).distinct()
+    hot = common.narrow(common.settled(hot, "hot-all", rows=(n_plain + n_listed) // HOT))
 
     margin = F.when(F.col("n") >= MARGIN_FROM, MARGIN).otherwise(0)
     base = F.col("n") - F.ceil(F.col("n") * num / den) + 1
