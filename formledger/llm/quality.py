@@ -38,8 +38,8 @@ SIGNALS = {
     "word_length": ("word_chars", "n_words", 500, True),
     "symbols": ("n_symbols", "n_words", 20, False),
     "upper": ("n_upper", "word_chars", 40, False),
-    "same_lines": ("n_dup_lines", "n_lines", 100, False),
-    "repeats": ("n_repeat_words", "n_words", 50, False),
+    "same_lines": ("n_dup_lines", "n_lines", 200, False),
+    "repeats": ("n_repeat_words", "n_words", 100, False),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
