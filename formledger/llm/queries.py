@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, graph_ann, html_text, jaccard, licenses, media, mix, pii, quality, runs, secrets, toxicity
+from . import bpe, common, graph_ann, html_text, jaccard, lexical, licenses, media, mix, pii, quality, runs, secrets, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,15 +100,24 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.detect(docs, tails=True).withColumnRenamed("id", "doc_id").drop("n_words")
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every item of the benchmark."""
+    common.small_batches(spark)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lexical.search(docs, common.table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document and whether the rules of its language and source keep it."""
     found = quality.judged(common.table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets, "op11_runs": op11_runs, "op13_quality": op13_quality}
+QUERIES = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_licenses": op3_licenses, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_pii": op6_pii, "op7_ann": op7_ann, "op8_media": op8_media, "op9_mix": op9_mix, "op10_secrets": op10_secrets, "op11_runs": op11_runs, "op12_search": op12_search, "op13_quality": op13_quality}
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": jaccard.oracle(3, 90, 100),
+    "op12_search": lexical.oracle(),
     "op13_quality": quality.oracle(),
     "op3_licenses": licenses.oracle("coalesce(source, '') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id"),
 }
