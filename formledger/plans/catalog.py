@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import audits, live, packs, profiles, relations, reports, runs, values
+from . import audits, evidence, live, packs, profiles, relations, reports, runs, values
 
-QUERIES = {**profiles.QUERIES, **audits.QUERIES, **runs.QUERIES, **reports.QUERIES, **live.QUERIES, **values.QUERIES, **packs.QUERIES, **relations.QUERIES}
-ORACLE_SQL = {**profiles.ORACLE_SQL, **audits.ORACLE_SQL, **runs.ORACLE_SQL, **reports.ORACLE_SQL, **live.ORACLE_SQL, **values.ORACLE_SQL, **packs.ORACLE_SQL, **relations.ORACLE_SQL}
+_PARTS = (profiles, audits, runs, reports, live, values, packs, relations, evidence)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
