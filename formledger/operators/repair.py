@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import numbering
 
 BATCH = 12  #: operations in a batch
 
 
 def review_items(issues: DataFrame, run: str, *order: str) -> DataFrame:
     """Issues get a number in their run and an id from it."""
-    nth = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    return issues.withColumn("nth", nth).withColumn("review_id", F.format_string("R-%04d", F.col("nth")))
+    return numbering.numbered(issues, run, *order).withColumn("review_id", F.format_string("R-%04d", F.col("nth")))
 
 
 def decided(items: DataFrame, decisions: DataFrame, key: str | list[str] = "review_id") -> DataFrame:
@@ -46,16 +46,9 @@ def policy_mismatches(actions: DataFrame, whitelist: DataFrame) -> DataFrame:
 def batches(operations: DataFrame, run: str, order: str, alone: str, size: int = BATCH) -> DataFrame:
     """Add batch and position: at most ``size`` in order; an operation marked ``alone`` stands alone and closes the open batch.
 
-    Gaps and islands in windows over a run; runs are independent.
+    Running values over chunks of a run, so runs may be of any length.
     """
-    w = Window.partitionBy(run).orderBy(order)
-    single = F.coalesce(F.col(alone), F.lit(False))
-    rows = operations.withColumn("_island", F.coalesce(F.sum(single.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_single", single)
-    nth = F.row_number().over(Window.partitionBy(run, "_island", "_single").orderBy(order)) - 1
-    rows = rows.withColumn("_part", F.when(F.col("_single"), 0).otherwise(F.floor(nth / size)))
-    key = F.struct("_island", "_single", "_part")
-    rows = rows.withColumn("batch", F.dense_rank().over(Window.partitionBy(run).orderBy(key)))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(run, "batch").orderBy(order))).drop("_island", "_single", "_part")
+    return numbering.batched(operations, run, order, alone, size)
 
 
 def aligned(operations: DataFrame, results: DataFrame, batch: str) -> DataFrame:
