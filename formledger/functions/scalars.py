@@ -152,7 +152,35 @@ def identifier(prefix: str, size: int, *parts: Column) -> Column:
 
 def content_hash(json: Column) -> Column:
     """Hash of a JSON text with sorted keys; equal content gives equal hashes whatever the order of keys."""
-    return F.sha2(F.to_json(F.parse_json(json)), 256)
+    return F.sha2(canonical_json(json), 256)
+
+
+def canonical_json(json: Column) -> Column:
+    """A JSON text with sorted keys and without white space, in which equal numbers are equal texts; null for what isn't JSON.
+
+    Parsing drops zeros after the point; what it leaves as floating point (``1000.0``, ``1.0E10``, outside of strings) is
+    written out without an exponent.
+    """
+    text = F.to_json(F.try_parse_json(json))
+    value = lambda x: x.cast("double")
+    small = lambda x: F.rtrim(value(x).cast("decimal(38,20)").cast("string"), F.lit("0"))
+    number = lambda x: (
+        F.when((F.abs(value(x)) < 1e18) & (value(x) == F.floor(value(x))), value(x).cast("bigint").cast("string")).when(x.contains("E-") & (F.abs(value(x)) > 1e-12), small(x)).otherwise(x)
+    )
+    pieces = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*+"|-?[0-9]+\.[0-9]+(?:E-?[0-9]+)?|[^"0-9-]+|[0-9-]'), F.lit(0))
+    made = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^-?[0-9]+\.[0-9]"), number(p)).otherwise(p)), "")
+    return F.when(text.rlike(r"[0-9]\.0(?![0-9])|[0-9]E-?[0-9]"), made).otherwise(text)
+
+
+def variant_text(value: Column) -> Column:
+    """A variant as text: booleans with a capital, numbers with a fraction keep one."""
+    kind = F.schema_of_variant(value)
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind.rlike(r"^DECIMAL\(1?[0-9],0\)$"), F.concat(text, F.lit(".0"))).otherwise(text)
+
+
+#: What a raw write may do.
+RAW_ACTIONS = ("append", "prepend", "insertbefore", "insertafter", "replace", "remove", "setattr")
 
 
 def lf_hash(text: Column) -> Column:
