@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audits, evidence, live, packs, profiles, rebuilt, relations, reports, runs, values
+from . import audits, evidence, lists, live, packs, profiles, rebuilt, relations, reports, runs, values
 
-_PARTS = (profiles, audits, runs, reports, live, values, packs, relations, evidence, rebuilt)
+_PARTS = (profiles, audits, runs, reports, live, values, packs, relations, evidence, rebuilt, lists)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
