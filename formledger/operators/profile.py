@@ -5,47 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
+
 SURE = 0.85  #: below it a person has to confirm
+HISTOGRAM = 1000  #: values that a histogram lists
 
 
 def status_of(values, coverage, conflict_at: float):
     return F.when(values == 0, "unresolved").when(values == 1, "resolved").when(coverage <= conflict_at, "conflict").otherwise("resolved_with_conflicts")
 
 
-def slot_summary(facts: DataFrame, conflict_at: float = 0.5, samples: int = 0) -> DataFrame:
-    """One row for each role and slot.
+def slot_summary(facts: DataFrame, conflict_at: float = 0.5, samples: int = 0, histogram: int = HISTOGRAM) -> DataFrame:
+    """One row for each role and slot; counts, mode, ratios and number of values are exact for any number of values.
 
-    Two levels: counts by value first (partial sums before the shuffle, so a hot role is no hot task), then the histogram of the
-    few values of a slot.  ``samples`` fact ids of each value come from a window with a limit, never from whole lists.
+    Counts by value come first (partial sums before the shuffle, and spread by value, so neither a hot role nor a slot of millions
+    of values is one task).  Totals and the mode are partial aggregates of these.  Of the histogram the ``histogram`` most
+    frequent values are listed: each task passes on its own so many of a slot, so no list grows with the data; what isn't listed is in
+    rest_count and rest_values.  ``samples`` fact ids of each listed value are the smallest, limited in the same way.
     """
     keys = ["role_kind", "slot"]
-    by_source = facts.groupBy(*keys, "value_str", "source").agg(F.count("*").alias("c"), F.sum("confidence").alias("sure"))
-    values = by_source.groupBy(*keys, "value_str").agg(F.sum("c").alias("c"), F.sum("sure").alias("sure"), F.min(F.struct((-F.col("c")).alias("n"), F.col("source"))).alias("s"))
-    values = values.withColumn("ids", F.lit(None).cast("array<string>"))
-    if samples:
-        nth = F.row_number().over(Window.partitionBy(*keys, "value_str").orderBy("fact_id"))
-        ids = facts.where(F.col("value_str").isNotNull()).withColumn("nth", nth).where(F.col("nth") <= samples).groupBy(*keys, "value_str").agg(F.array_sort(F.collect_list("fact_id")).alias("ids"))
-        values = values.drop("ids").join(ids, [*keys, "value_str"], "left")
     known = F.col("value_str").isNotNull()
-    one = F.struct((-F.col("c")).alias("n"), F.col("value_str").alias("value"), F.col("sure"), F.col("s.source").alias("source"), F.col("ids"))
-    grouped = values.groupBy(*keys).agg(
+    by_source = facts.groupBy(*keys, "value_str", "source").agg(F.count("*").alias("c"), F.sum("confidence").alias("sure"))
+    values = settled(by_source.groupBy(*keys, "value_str").agg(F.sum("c").alias("c"), F.sum("sure").alias("sure"), F.min(F.struct((-F.col("c")).alias("n"), F.col("source"))).alias("s")), "slot-values")
+    totals = values.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(known, F.col("c"))), F.lit(0)).alias("total_samples"),
         F.sum("c").alias("total_facts"),
-        F.array_sort(F.collect_list(F.when(known, one))).alias("h"),
+        F.count("value_str").alias("n_values"),
+        F.min(F.when(known, F.struct((-F.col("c")).alias("n"), F.col("value_str").alias("value"), "sure", F.col("s.source").alias("source")))).alias("mode"),
     )
-    mode = F.get("h", F.lit(0))
-    coverage = F.round(-mode["n"] / F.col("total_samples"), 6)
-    confidence = F.round(mode["sure"] / -mode["n"], 6)
-    out = grouped.select(
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), "value_str"))
+    listed = values.where(known).withColumn("nth", nth).where(F.col("nth") <= histogram).select(*keys, "value_str", "c")
+    if samples:
+        first = F.row_number().over(Window.partitionBy(*keys, "value_str").orderBy("fact_id"))
+        own = facts.join(listed.select(*keys, "value_str"), [*keys, "value_str"], "left_semi").withColumn("nth", first).where(F.col("nth") <= samples)
+        listed = listed.join(own.groupBy(*keys, "value_str").agg(F.array_sort(F.collect_list("fact_id")).alias("ids")), [*keys, "value_str"], "left")
+    else:
+        listed = listed.withColumn("ids", F.lit(None).cast("array<string>"))
+    bars = listed.groupBy(F.col("role_kind").alias("_role"), F.col("slot").alias("_slot")).agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("n"), F.col("value_str").alias("value"), "ids"))).alias("h"))
+    rows = totals.join(bars, F.col("role_kind").eqNullSafe(F.col("_role")) & F.col("slot").eqNullSafe(F.col("_slot")), "left").withColumn("h", F.coalesce("h", F.array()))
+    mode, total = F.col("mode"), F.col("total_samples")
+    coverage = F.round(-mode["n"] / total, 6)
+    out = rows.select(
         *keys,
-        status_of(F.size("h"), coverage, conflict_at).alias("status"),
+        status_of(F.col("n_values"), coverage, conflict_at).alias("status"),
         mode["value"].alias("mode_value"),
         coverage.alias("mode_coverage"),
-        F.coalesce(confidence, F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.round(mode["sure"] / -mode["n"], 6), F.lit(0.0)).alias("confidence"),
         "total_samples",
         "total_facts",
-        F.size("h").cast("long").alias("n_values"),
-        F.transform("h", lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count"), F.round(-x["n"] / F.col("total_samples"), 6).alias("ratio"), x["ids"].alias("sample_fact_ids"))).alias("value_histogram"),
+        "n_values",
+        F.transform("h", lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count"), F.round(-x["n"] / total, 6).alias("ratio"), x["ids"].alias("sample_fact_ids"))).alias("value_histogram"),
+        (total + F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])).alias("rest_count"),
+        (F.col("n_values") - F.size("h")).alias("rest_values"),
         mode["source"].alias("primary_source"),
     )
     return out.withColumn("requires_confirmation", F.col("status").isin("unresolved", "conflict") | (F.col("confidence") < SURE))
