@@ -16,8 +16,8 @@ above, by their whole lists.  Among themselves they form families, which hang to
 a pivot, the hashes of more than half of its sets, and each set is held as its d differences from the pivot.  Two sets of
 sizes n differ in d + d' - 2c hashes, c of them shared differences, so they are linked when ``v + v' + 2 (den + num) c >= 0``
 with ``v = (den - num) n - (den + num) d``.  Pairs with v + v' >= 0 are counted by rank, not listed, and linked through the set
-nearest to the pivot.  Of the others those that may connect more meet at a shared difference, and only if there are enough
-differences that another set has too; the rest is counted in blocks of sets, without rows for pairs.
+nearest to the pivot.  The others are looked for in blocks of sets: a task counts the links of two blocks and gives the edges
+of a forest that connects the same sets, so there are never rows for pairs.
 
 Equal sets are one class from the beginning (its links are those of one of them).  Candidates are verified on whole sets.
 
@@ -171,40 +171,56 @@ def _sure(far: DataFrame) -> DataFrame:
     return far.select("family", "cid", "v").join(common.narrow(common.settled(sure, "sure", rows=n)), ["family", "v"]).select("cid", F.col("sure").alias("n"))
 
 
-def _unsure(far: DataFrame, num: int, den: int) -> DataFrame:
-    """cid, n: how many of the links that need shared differences each set has.
+def _unsure(far: DataFrame, num: int, den: int, count: bool) -> DataFrame:
+    """The links that need shared differences: rows (cid, n), how many a set has (if ``count``), and (a, b), enough to connect what they link.
 
-    A family's sets are dealt to blocks of about ``BLOCK``; each two blocks meet in one task, which counts shared differences by the list
-    of sets that have one, and gives numbers by set, not pairs.
+    ``far``: family, cid, v, diff, core.  A family's sets are dealt to blocks of about ``BLOCK``; each two blocks meet in one task, which
+    counts shared differences by the list of sets that have one.  It gives a number for each set and the edges of a forest, never
+    pairs.  Without ``count`` only sets outside of the core look for others, for the core is connected.
     """
-    sizes = common.settled(far.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
-    dealt = far.join(common.narrow(sizes), "family").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    one = dealt.select("family", F.col("block").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("y"), "cid", "v", "diff")
+    looking = F.lit(True) if count else ~F.col("core")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK))
+    sizes = far.groupBy("family").agg(blocks(F.count_if(looking)).alias("xs"), blocks(F.count("*")).alias("ys"))
+    dealt = far.join(common.narrow(common.settled(sizes, "blocks")), "family")
+    to = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    last = F.col("ys") - 1
+    zero = F.lit(0).cast("long")
+    # for counts blocks are the same on both sides and meet once
+    one = dealt.where(looking).select("family", to("xs").alias("x"), F.explode(F.sequence(to("xs") if count else zero, last)).alias("y"), "cid", "v", "diff")
     again = {c: F.col(c).alias(c) for c in ("family", "cid", "v", "diff")}  # columns of its own, for both sides are one table
-    two = dealt.select(again["family"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("x"), F.col("block").alias("y"), again["cid"], again["v"], again["diff"])
+    two = dealt.select(again["family"], F.explode(F.sequence(zero, to("ys") if count else F.col("xs") - 1)).alias("x"), to("ys").alias("y"), again["cid"], again["v"], again["diff"])
     step = 2 * (den + num)
 
-    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n_left, n_right, edges = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64), []
         if len(left) and len(right):
             owner = np.repeat(np.arange(len(right)), [len(d) for d in right["diff"]])
             tokens = np.concatenate([np.asarray(d, np.int64) for d in right["diff"]])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            v, ids = right["v"].to_numpy(), right["cid"].to_numpy()
+            v, ids, tree = right["v"].to_numpy(), right["cid"].to_numpy(), np.arange(len(right))
             for i, (cid, own, diff) in enumerate(zip(left["cid"].tolist(), left["v"].tolist(), left["diff"])):
                 begin, end = (np.searchsorted(tokens, np.asarray(diff, np.int64), side=s) for s in ("left", "right"))
                 met = [owner[a:b] for a, b in zip(begin.tolist(), end.tolist()) if b > a]
                 shared = np.bincount(np.concatenate(met), minlength=len(right)) if met else np.zeros(len(right), np.int64)
                 linked = (v + own < 0) & (v + own + step * shared >= 0) & (ids != cid)
                 n_left[i] = linked.sum()
-                if key[1] != key[2]:
-                    n_right += linked
-        out = pd.DataFrame({"cid": left["cid"], "n": n_left})
-        return out if key[1] == key[2] else pd.concat([out, pd.DataFrame({"cid": right["cid"], "n": n_right})])
+                n_right += linked
+                at = np.flatnonzero(linked)
+                if len(at):  # one edge to each tree among these, which then are one
+                    trees, first = np.unique(tree[at], return_index=True)
+                    edges += [(cid, x) for x in ids[at[first]].tolist()]
+                    if len(trees) > 1:
+                        tree[np.isin(tree, trees)] = trees[0]
+        parts = [pd.DataFrame({"a": [a for a, _ in edges], "b": [b for _, b in edges]}, dtype="Int64")]
+        if count:
+            parts.append(pd.DataFrame({"cid": left["cid"], "n": n_left}))
+        if count and key[1] != key[2]:
+            parts.append(pd.DataFrame({"cid": right["cid"], "n": n_right}))
+        return pd.concat([p.reindex(columns=["cid", "n", "a", "b"]).astype("Int64") for p in parts])
 
     keys = ["family", "x", "y"]
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(count, "cid long, n long")
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(meet, "cid long, n long, a long, b long")
 
 
 def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -221,17 +237,10 @@ def _crowded(lists: DataFrame, known: DataFrame, num: int, den: int, count: bool
     most = common.narrow(common.settled(most, "nearest", rows=n))
     core = F.col("v") + F.col("most") >= 0
     connecting = far.join(most, "family").where(core & (F.col("cid") != F.col("nearest"))).select(*_ordered("cid", "nearest"))
-    # the others need shared differences: those that only one set has can't be shared
-    tokens = far.join(most, "family").select("family", F.explode("diff").alias("token"), "cid", "v", core.alias("core"))
-    shared = tokens.groupBy("family", "token").agg(F.count("*").alias("df")).where("df > 1").select("family", "token")
-    useful = common.settled(tokens.join(shared, ["family", "token"]), "shared-differences", free=True)
-    points = useful.join(useful.groupBy("cid").agg(F.count("*").alias("u")), "cid")
-    one, two = (points.select("family", "token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "v", "u", "core")]) for x in "ab")
-    both, step = F.col("v_a") + F.col("v_b"), 2 * (den + num)
-    fits = (F.col("cid_a") < F.col("cid_b")) & (both < 0) & (both + step * F.least("u_a", "u_b") >= 0) & ~(F.col("core_a") & F.col("core_b"))
-    met = one.join(two, ["family", "token"]).where(fits).groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), both.alias("v")).agg(F.count("*").alias("c"))
-    found = common.settled(met.where(F.col("v") + step * F.col("c") >= 0).select("a", "b"), "crowd-links", free=True)
-    return connecting.union(found), _sure(far).union(_unsure(far, num, den)) if count else None
+    # the others need shared differences
+    found = common.settled(_unsure(far.join(most.select("family", "most"), "family").withColumn("core", core), num, den, count), "crowd-links", free=True)
+    edges = found.where("a IS NOT NULL").select(*_ordered("a", "b")).distinct()
+    return connecting.union(edges), _sure(far).union(found.where("cid IS NOT NULL").select("cid", "n")) if count else None
 
 
 def _degrees(links: DataFrame) -> DataFrame:

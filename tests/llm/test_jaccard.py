@@ -117,3 +117,29 @@ def test_links_of_crowded_sets_are_counted(spark, k, num, den, copies, edits):
     got = {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=den).collect()}
     assert got == want
     assert max(n for _, _, n in got.values()) > 40
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_several_originals_in_a_family(spark, monkeypatch, block):
+    """Five originals that share half of their shingles: their copies are one family, most of it far from its pivot."""
+    import duckdb
+    import pandas as pd
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    draw = random.Random(11)
+    half = [f"h{i}" for i in range(60)]
+    originals = [half + [f"o{o}x{i}" for i in range(60)] for o in range(5)]
+    texts = []
+    for i in range(150):
+        t = list(originals[i % 5])
+        for _ in range(draw.randint(0, 3)):
+            t[draw.randrange(len(t))] = f"e{draw.randrange(40)}"
+        texts.append(" ".join(t))
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    known = duckdb.connect()
+    known.register("documents", documents)
+    want = {r[0]: r[1:] for r in known.sql(jaccard.oracle(3, 90, 100)).fetchall()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.join(docs, k=3, num=90, den=100).collect()} == want
+    kept = {r.doc_id for r in jaccard.kept(docs, k=3, num=90, den=100).collect()}
+    assert kept == {component for _, component, _ in want.values()}
