@@ -75,6 +75,18 @@ def q25c_stage_tracker(spark: SparkSession, folder: str) -> DataFrame:
     return stages.last_states(found).select("run_id", "chain_head", "n_events").join(counts, "run_id")
 
 
+def q25d_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of each user: events with less than two hours between them, from a stream that a last event, far ahead, closes."""
+    events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source = scratch(spark, "session-events")
+    events.repartition(3, F.pmod(F.xxhash64("ts"), F.lit(3))).write.parquet(f"{source}/events")
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"))
+    end.write.parquet(f"{source}/~end")
+    stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    found = _drained(spark, tracker.sessions(stream, "user_id", silence="2 hours", late="60 days"), "append", "sessions").where("user_id >= 0")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
 class _Tree(HTMLParser):
     """(path, depth, type) of each element; what is never closed ends with what is around it."""
 
@@ -125,7 +137,7 @@ def q21b_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(copies, "sha256")
 
 
-QUERIES = {"q16_tree_facts": q16_tree_facts, "q21b_inventory": q21b_inventory, "q25_stream_counts": q25_stream_counts, "q25b_stream_tracker": q25b_stream_tracker, "q25c_stage_tracker": q25c_stage_tracker}
+QUERIES = {"q16_tree_facts": q16_tree_facts, "q21b_inventory": q21b_inventory, "q25_stream_counts": q25_stream_counts, "q25b_stream_tracker": q25b_stream_tracker, "q25c_stage_tracker": q25c_stage_tracker, "q25d_sessions": q25d_sessions}
 ORACLE_SQL = {
     "q25_stream_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",
     "q25b_stream_tracker": "SELECT user_id::VARCHAR AS run_id, list_reduce(list_prepend('', list(event_id || '|' || event_type ORDER BY event_id)), lambda acc, x: sha256(concat(acc, '/', x))) AS chain_head, count(*) AS n_events, max_by(event_type, event_id) AS last_stage FROM events GROUP BY user_id",
@@ -143,4 +155,9 @@ ORACLE_SQL = {
     SELECT run_id, chain_head, n_events, n_missing, n_late, (last_stage <> 'purchase')::BIGINT AS n_stuck_stage, (ended_t IS NULL OR ended_t > first_t + 600000)::BIGINT AS n_stuck_total
     FROM chain JOIN runs USING (run_id)
     """,
+    "q25d_sessions": """
+    WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true)::INT AS new FROM events),
+    i AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM i GROUP BY user_id, k
+    """,
 }

@@ -63,6 +63,26 @@ def q20b_sections(spark: SparkSession, folder: str) -> DataFrame:
     return report.missing_sections(lines, "conv_id", ["conclusion", "evidence", "appendix"], "line")
 
 
+def q20c_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Internal names and JSON in turns, some of which got pieces of both: nested, with brackets in strings, broken off."""
+    t = F.col("turn") + F.col("conv_id")
+    plain = F.translate("text", '{}"\\', "()__")
+    piece = (
+        F.when(t % 7 == 0, F.lit(' {"schema_id": "x", "n": [1, {"k": "v"}]} end'))
+        .when(t % 7 == 1, F.lit(' { {"a": "}{", "b": {"schema_id": 1}} {rules_table} {}'))
+        .when(t % 7 == 2, F.lit(' {"schema_id": 1'))
+        .when(t % 7 == 3, F.lit(' see docx-audit {"q": "a \\" } b", "schema_id": null}{"c": 1}'))
+        .when(t % 7 == 4, F.lit(' {"a": 1,} {"b": tru}'))
+        .otherwise("")
+    )
+    return report.leaks(table(spark, folder, "conversations").select("conv_id", "turn", F.concat(plain, piece).alias("line")), ["conv_id", "turn"], "line")
+
+
+def q20d_markers(spark: SparkSession, folder: str) -> DataFrame:
+    """Markers of conversations without one of their words."""
+    return report.marker_problems(table(spark, folder, "conversations"), "conv_id", "text", {"!": ("the ", "der "), "?": ("la ",), ",": ("zzz", "ción"), ".": ("que", "on")})
+
+
 def q22_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of messages, whether they may be tried again, and how many."""
     words = ["protected view", "password", "Read-Only", "revision protect", "write protect", "macro", "link update", "convert", "corrupt", "x"]
@@ -90,6 +110,8 @@ QUERIES = {
     "q19b_markdown": q19b_markdown,
     "q20_lint": q20_lint,
     "q20b_sections": q20b_sections,
+    "q20c_leaks": q20c_leaks,
+    "q20d_markers": q20d_markers,
     "q22_errors": q22_errors,
     "q23_hashes": q23_hashes,
     "q26_token_scan": q26_token_scan,
@@ -112,6 +134,17 @@ CASE WHEN regexp_matches(line, '\{{[a-z][a-z0-9_]*\}}') THEN {{'code': 'template
     "q20b_sections": f"""WITH {_SQL_LINES}, s AS (SELECT conv_id, line_no, line, line LIKE '## %' AS h, last_value(CASE WHEN line LIKE '## %' THEN trim(substr(line, 4)) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line_no) AS section FROM l),
 b AS (SELECT conv_id, section, count(*) FILTER (NOT h AND trim(line) <> '') AS n FROM s WHERE section IS NOT NULL GROUP BY ALL), w AS (SELECT conv_id, unnest(['conclusion', 'evidence', 'appendix']) AS section FROM (SELECT DISTINCT conv_id FROM l))
 SELECT conv_id, section, CASE WHEN n IS NULL THEN 'section_missing' ELSE 'section_empty' END AS code FROM w LEFT JOIN b USING (conv_id, section) WHERE n IS NULL OR n = 0""",
+    "q20c_leaks": r"""
+    WITH c AS (SELECT conv_id, turn, (turn + conv_id) % 7 AS t, length(text) AS n, regexp_matches(text, '\bdocx-[a-z-]+\b') AS named FROM conversations),
+    p(t, code, a, z) AS (VALUES (0, 'internal_json', 1, 41), (1, 'embedded_json', 3, 37), (1, 'embedded_json', 52, 54), (3, 'internal_json', 16, 52), (3, 'embedded_json', 52, 60))
+    SELECT conv_id, turn, code, (n + a)::INT AS start, (n + z)::INT AS "end" FROM c JOIN p USING (t)
+    UNION ALL SELECT conv_id, turn, 'internal_name', NULL, NULL FROM c WHERE named OR t = 3
+    """,
+    "q20d_markers": """
+    WITH f AS (SELECT conv_id, bool_or(contains(text, '!')) AND NOT bool_or(contains(text, 'the ') OR contains(text, 'der ')) AS a, bool_or(contains(text, '?')) AND NOT bool_or(contains(text, 'la ')) AS b,
+      bool_or(contains(text, ',')) AND NOT bool_or(contains(text, 'zzz') OR contains(text, 'ción')) AS c, bool_or(contains(text, '.')) AND NOT bool_or(contains(text, 'que') OR contains(text, 'on')) AS d FROM conversations GROUP BY conv_id)
+    SELECT conv_id, unnest(list_filter([CASE WHEN a THEN '!' END, CASE WHEN b THEN '?' END, CASE WHEN c THEN ',' END, CASE WHEN d THEN '.' END], lambda x: x IS NOT NULL)) AS marker FROM f
+    """,
     "q22_errors": """WITH m AS (SELECT lower(text || ' ' || (['protected view', 'password', 'Read-Only', 'revision protect', 'write protect', 'macro', 'link update', 'convert', 'corrupt', 'x'])[conv_id % 10 + 1]) AS m FROM conversations)
 SELECT CASE WHEN contains(m, 'protected view') THEN 'protected_view' WHEN contains(m, 'password') THEN 'password_required' WHEN contains(m, 'read-only') OR contains(m, 'read only') OR contains(m, 'readonly') THEN 'readonly_recommended' WHEN contains(m, 'revision') AND contains(m, 'protect') THEN 'revision_protected' WHEN contains(m, 'write') AND contains(m, 'protect') THEN 'write_protected' WHEN contains(m, 'macro') THEN 'macro_prompt'
 WHEN contains(m, 'link') AND contains(m, 'update') THEN 'link_update_prompt' WHEN contains(m, 'convert') THEN 'conversion_prompt' WHEN contains(m, 'corrupt') THEN 'document_corrupt' ELSE 'api_incompatible' END AS code, false AS retryable, count(*) AS n FROM m GROUP BY ALL""",

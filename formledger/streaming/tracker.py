@@ -54,3 +54,13 @@ def gate_counts(results: DataFrame, time: str = "ts", size: str = "1 hour", slid
     window = F.window(time, size, slide) if slide else F.window(time, size)
     rows = results if late is None else results.withWatermark(time, late)
     return rows.groupBy(window.alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "kind", "n")
+
+
+def sessions(results: DataFrame, key: str, time: str = "ts", silence: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Each key's sessions: results with less than ``silence`` between them; start, end (of the last result), n.
+
+    A session is given once, when the watermark has passed its end (append mode); late results merge sessions before that.
+    """
+    rows = results.withWatermark(time, late)
+    w = F.session_window(time, silence)
+    return rows.groupBy(key, w.alias("w")).agg(F.count("*").alias("n"), F.max(time).alias("end")).select(key, F.col("w.start").alias("start"), "end", "n")
