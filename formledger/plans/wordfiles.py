@@ -109,10 +109,10 @@ def q49c_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q50_products(spark: SparkSession, folder: str) -> DataFrame:
-    """From a standard's files to verdicts: rules, deviations of the others, operations in batches, and what their files say after a repair.
+    """From a standard's files to verdicts: rules, what a contract lacks, deviations of other files, and how their repair went.
 
-    A third of the documents is the standard; of the others' operations some fail and some never ran; after the repair every
-    alignment is as the body's rule has it.
+    A third of the documents is the standard.  Of the others' operations some fail, some never ran, unsure ones need an approval; after
+    the repair every alignment that a line states is ``both``.
     """
     docs = table(spark, folder, "documents")
     standard, targets, after = (scratch(spark, n) for n in ("standard", "targets", "after"))
@@ -121,25 +121,28 @@ def q50_products(spark: SparkSession, folder: str) -> DataFrame:
     written(docs.where("doc_id % 3 = 1"), after, fixed=True)
     role = F.when(F.col("in_cell"), "cell").when(F.col("paragraph_index") == 1, "title").otherwise("body")
     contract = spark.createDataFrame([("title", "alignment", "required"), ("body", "italic", "required")], "role_kind string, slot string, requirement string")
-    known, _ = products.format_facts(spark, standard, role)
-    summary, missing = products.rule_summary(known, contract)
+    summary, missing = products.rule_summary(products.format_facts(spark, standard, role)[0], contract)
     summary = settled(summary, "rules")
     issues = settled(products.audit_items(products.format_facts(spark, targets, role)[0], summary), "issues")
-    pick = F.pmod(F.crc32("issue_id"), F.lit(10))
-    ops = settled(products.repair_operations(issues, issues.where(pick == 0).select("issue_id", F.lit("approved").alias("decision_status"))), "operations")
-    results = issues.where(pick != 3).select("issue_id", (pick != 4).alias("success"))
-    # the files of the repaired documents are others; places and names stay
+    place = F.regexp_extract("element_id", "([0-9]+)$", 1).cast("int") % 10
+    ops = settled(products.repair_operations(issues, issues.where(place == 0).select("issue_id", F.lit("approved").alias("decision_status"))), "operations")
+    results = issues.where(place != 3).select("issue_id", (place != 4).alias("success"))
+    # a repaired file has another hash; its name stays
     files = lambda f: spark.read.format("binaryFile").load(f"{f}/*.docx").select(_number(F.col("path")).alias("number"), F.sha2("content", 256).alias("doc_id"))
     renamed = files(targets).withColumnRenamed("doc_id", "_old").join(files(after), "number").select("_old", "doc_id")
     now = products.format_facts(spark, after, role)[0].join(renamed, "doc_id").drop("doc_id").withColumnRenamed("_old", "doc_id")
-    verdicts = products.review(ops, results, now).join(issues.select("issue_id", "role_kind", "slot", "actual", "expected"), "issue_id")
-    counted = verdicts.groupBy("role_kind", "slot", "actual", "expected", "verdict", "verdict_code").agg(F.count("*").alias("n"))
-    rule = summary.select("role_kind", "slot", F.lit("rule").alias("actual"), F.col("mode_value").alias("expected"), F.col("status").alias("verdict"), F.lit(None).cast("string").alias("verdict_code"), F.col("total_samples").alias("n"))
-    lacks = missing.select("role_kind", "slot", F.lit("contract").alias("actual"), F.lit(None).cast("string").alias("expected"), F.col("code").alias("verdict"), F.lit(None).cast("string").alias("verdict_code"), F.lit(0).cast("long").alias("n"))
-    without_results = counted.where("slot <> 'alignment'").groupBy("role_kind", "slot", "actual", "expected").agg(F.sum("n").alias("n"))
-    out = without_results.select("role_kind", "slot", "actual", "expected", F.lit("any").alias("verdict"), F.lit(None).cast("string").alias("verdict_code"), "n")
-    share = counted.where("slot = 'alignment'").groupBy("role_kind", "slot", "actual", "expected").agg(F.sum("n").alias("n"), F.bool_or((F.col("verdict") == "passed")).alias("some"))
-    return rule.unionByName(lacks).unionByName(out).unionByName(share.select("role_kind", "slot", "actual", "expected", F.when(F.col("some"), "some_passed").otherwise("none_passed").alias("verdict"), F.lit(None).cast("string").alias("verdict_code"), "n"))
+    verdicts = products.review(ops, results, now).join(issues.select("issue_id", "role_kind", "slot", "actual", "expected", "auto_fix_policy"), "issue_id")
+    none = F.lit(None).cast("string")
+    rows = [
+        verdicts.groupBy("role_kind", "slot", "actual", "expected", F.col("verdict").alias("status"), F.col("verdict_code").alias("code")).agg(F.count("*").alias("n")),
+        issues.groupBy("role_kind", "slot", "actual", "expected", F.lit("issue").alias("status"), F.col("auto_fix_policy").alias("code")).agg(F.count("*").alias("n")),
+        summary.select("role_kind", "slot", none.alias("actual"), F.col("mode_value").alias("expected"), F.lit("rule").alias("status"), F.col("status").alias("code"), F.col("total_samples").alias("n")),
+        missing.select("role_kind", "slot", none.alias("actual"), none.alias("expected"), F.lit("contract").alias("status"), "code", F.lit(1).cast("long").alias("n")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 _LINES = r"""
@@ -174,4 +177,19 @@ ORACLE_SQL = {
       UNION ALL SELECT p.*, 'bold', 'true', CASE WHEN in_cell OR stop THEN 'direct' ELSE 'style_inherit' END FROM p WHERE (in_cell AND k < 3) OR stop OR style_id IS NOT NULL
       UNION ALL SELECT p.*, 'italic', 'true', 'style_inherit' FROM p WHERE n % 7 = 0)
     SELECT doc_id, {_ID} AS element_id, 1 AS run_index, slot, value_str, source FROM r""",
+    "q50_products": f"""WITH {_LINES}, {_FORMATS},
+    g AS (SELECT *, CASE WHEN in_cell THEN 'cell' WHEN i = 1 THEN 'title' ELSE 'body' END AS role_kind, CASE source WHEN 'direct' THEN 0.98 WHEN 'style_inherit' THEN 0.9 ELSE 0.85 END AS sure FROM f),
+    v AS (SELECT role_kind, slot, value_str, count(*) AS c, sum(sure) / count(*) AS sure FROM g WHERE doc_id % 3 = 0 GROUP BY ALL),
+    m AS (SELECT *, sum(c) OVER k AS total, count(*) OVER k AS n_values, row_number() OVER (PARTITION BY role_kind, slot ORDER BY c DESC, value_str) AS nth FROM v WINDOW k AS (PARTITION BY role_kind, slot)),
+    r AS (SELECT role_kind, slot, value_str AS expected, round(sure, 6) AS sure, total::BIGINT AS total, CASE WHEN n_values = 1 THEN 'resolved' WHEN round(c / total, 6) <= 0.5 THEN 'conflict' ELSE 'resolved_with_conflicts' END AS status FROM m WHERE nth = 1),
+    x AS (SELECT g.role_kind, slot, value_str AS actual, expected, i, CASE WHEN r.sure >= 0.85 THEN 'auto-fix' ELSE 'manual-review' END AS policy,
+      CASE WHEN slot <> 'alignment' THEN value_str WHEN n % 3 < 2 THEN 'both' WHEN style_id IS NOT NULL THEN 'center' ELSE 'left' END AS after
+      FROM g JOIN r USING (role_kind, slot) WHERE doc_id % 3 = 1 AND value_str IS DISTINCT FROM expected),
+    o AS (SELECT *, CASE WHEN i % 10 = 3 THEN 'not_executed' WHEN i % 10 = 4 OR after IS DISTINCT FROM expected THEN 'failed' ELSE 'passed' END AS status,
+      CASE WHEN i % 10 = 3 THEN 'missing_result' WHEN i % 10 = 4 THEN 'action_failed' WHEN after IS DISTINCT FROM expected THEN 'after_property_mismatch' END AS code FROM x WHERE policy = 'auto-fix' OR i % 10 = 0)
+    SELECT role_kind, slot, actual, expected, status, code, count(*) AS n FROM o GROUP BY ALL
+    UNION ALL SELECT role_kind, slot, actual, expected, 'issue', policy, count(*) FROM x GROUP BY ALL
+    UNION ALL SELECT role_kind, slot, NULL, expected, 'rule', status, total FROM r
+    UNION ALL SELECT 'body', 'italic', NULL, NULL, 'contract', 'required_slot_missing', 1
+    UNION ALL SELECT role_kind, slot, NULL, NULL, 'contract', 'required_slot_conflict', 1 FROM r WHERE role_kind = 'title' AND slot = 'alignment' AND status = 'conflict'""",
 }
