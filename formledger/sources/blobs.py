@@ -20,6 +20,7 @@ RANGE = 64 << 20  #: bytes of a range
 BLOCK = 1 << 20  #: bytes read at once
 LARGEST = 1 << 40  #: bytes of a file; larger ones are told, not read
 FAN = 1024  #: digests that are joined into one
+TOGETHER = 256  #: small files that a task reads
 
 
 def opened(path: str):
@@ -30,7 +31,7 @@ def opened(path: str):
 
 
 @dataclasses.dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     part: int
@@ -40,12 +41,29 @@ class Range(InputPartition):
     problem: str | None = None
 
 
+@dataclasses.dataclass
+class Ranges(InputPartition):
+    """What one task reads: a range, or ranges of small files up to the bytes of one."""
+
+    items: list[Range]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.pattern = options["path"].rstrip("/"), options.get("pattern", "*")
         self.range, self.largest = int(options.get("range", RANGE)), int(options.get("largest", LARGEST))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
+        out, held = [], 0
+        for r in self._listed():
+            if not out or held + r.length > self.range or len(out[-1].items) >= TOGETHER:
+                out.append(Ranges([]))
+                held = 0
+            out[-1].items.append(r)
+            held += r.length
+        return out
+
+    def _listed(self) -> list[Range]:
         from pyarrow import fs
 
         system, base = opened(self.root)
@@ -61,8 +79,12 @@ class _Reader(DataSourceReader):
             out += [Range(path, info.size, i, n, i * self.range, min(self.range, info.size - i * self.range)) for i in range(n)]
         return out or [Range(self.root, 0, 0, 0, 0, 0, "no_files")]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        p, digest, problem = partition, None, partition.problem
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for r in partition.items:
+            yield self._read(r)
+
+    def _read(self, p: Range) -> tuple:
+        digest, problem = None, p.problem
         if problem is None:
             system, path = opened(p.path)
             try:
@@ -75,7 +97,7 @@ class _Reader(DataSourceReader):
                 digest, problem = (own.hexdigest(), None) if not left else (None, "shorter_than_listed")
             except OSError as e:
                 problem = f"unreadable: {type(e).__name__}"
-        yield p.path, p.size, p.part, p.n_parts, p.begin, p.length, digest, problem
+        return p.path, p.size, p.part, p.n_parts, p.begin, p.length, digest, problem
 
 
 class FileRanges(DataSource):

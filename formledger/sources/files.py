@@ -26,7 +26,7 @@ def rendered_pages(spark: SparkSession, folder: str, least: int = 50_000) -> Dat
 
 def token_scan(spark: SparkSession, folder: str, rules: list[tuple[str, str, bool]], glob: str = "*.md") -> DataFrame:
     """path, token, code: forbidden tokens that a file has, required ones that it lacks; rules are (code, token, forbidden)."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     checks = [F.when(F.col("value").contains(token) == forbidden, F.struct(F.lit(code).alias("code"), F.lit(token).alias("token"))) for code, token, forbidden in rules]
     return texts.select("path", F.explode(F.array_compact(F.array(*checks))).alias("v")).select("path", "v.token", "v.code")
 
