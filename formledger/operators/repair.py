@@ -169,3 +169,23 @@ def heavy_write_problems(operations: DataFrame, decisions: DataFrame, parts: Dat
 def flattened(batches: DataFrame, operations: str, *keep: str) -> DataFrame:
     """One row for each operation of a batch's array: the kept columns, index (from 0) and the operation's fields."""
     return batches.select(*keep, F.posexplode(operations).alias("index", "_op")).select(*keep, "index", "_op.*")
+
+
+def raw_writes(actions: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """action_id, code (null: verified), after_sha256: raw writes (run_id, part, xpath, xml, xml_sha256, expected_match_count, precondition_sha256) against the parts before and after.
+
+    Parts (run_id, part_name, sha256) meet by name, with or without a leading slash.
+    """
+    name = lambda c: F.regexp_replace(c, "^/+", "")
+    of = lambda df, n: df.select(F.col("run_id").alias(f"_run_{n}"), name("part_name").alias(f"_part_{n}"), F.col("sha256").alias(f"_{n}"))
+    meets = lambda n: (F.col("run_id") == F.col(f"_run_{n}")) & (name("part") == F.col(f"_part_{n}"))
+    rows = actions.join(of(before, "before"), meets("before"), "left").join(of(after, "after"), meets("after"), "left")
+    code = (
+        F.when(~F.coalesce(F.col("expected_match_count") == 1, F.lit(False)), "match_count")
+        .when(~F.coalesce(F.col("xpath").rlike(scalars.SINGLE_NODE_XPATH), F.lit(False)), "xpath")
+        .when(~F.sha2(F.coalesce("xml", F.lit("")), 256).eqNullSafe(F.col("xml_sha256")), "payload_hash")
+        .when(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("precondition_sha256")), "precondition")
+        .when(F.col("_after").isNull(), "part_missing")
+        .when(F.col("_before") == F.col("_after"), "part_unchanged")
+    )
+    return rows.select("action_id", code.alias("code"), F.col("_after").alias("after_sha256"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import repair
 from ..sources import blobs, documents
 from ..sources.tables import scratch, settled, table
 from . import products
@@ -38,9 +39,11 @@ def _file(doc_id: int, text: str, fixed: bool) -> bytes:
         runs = _run(line, 24 if n % 5 == 0 else 0, line.endswith("."), "Strong" if n % 7 == 0 else "")
         body.append(f"<w:p>{f'<w:pPr>{own}</w:pPr>' if own else ''}{runs}</w:p>")
     if doc_id % 4 == 0:
-        cells = [f"<w:tc><w:p>{_run(w, 18 + doc_id % 3, k < 2)}</w:p></w:tc>" for k, w in enumerate(x.decode() for x in text.encode().split()[:6])]
+        middle = '<w:tcPr><w:vAlign w:val="center"/></w:tcPr>'
+        cells = [f"<w:tc>{middle if k < 2 else ''}<w:p>{_run(w, 18 + doc_id % 3, k < 2)}</w:p></w:tc>" for k, w in enumerate(x.decode() for x in text.encode().split()[:6])]
         rows = "".join(f"<w:tr>{''.join(cells[k : k + 2])}</w:tr>" for k in range(0, len(cells), 2))
         body.append(f"<w:tbl>{rows}</w:tbl>" if rows else "")
+    body += ['<w:fldSimple w:instr="TOC \\o"/>'] * (doc_id % 5 == 0) + ["<w:sdt><w:sdtPr/></w:sdt>"] * (doc_id % 6 == 0) + ['<w:ins w:id="1"/>'] * (doc_id % 9 == 0)
     style = lambda name, based, inner, kind="paragraph": f'<w:style w:type="{kind}" w:styleId="{name}"><w:name w:val="{name} {doc_id}"/>{f"<w:basedOn w:val={chr(34)}{based}{chr(34)}/>" if based else ""}{inner}</w:style>'
     styles = (
         '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="21"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:jc w:val="left"/></w:pPr></w:pPrDefault></w:docDefaults>'
@@ -49,8 +52,11 @@ def _file(doc_id: int, text: str, fixed: bool) -> bytes:
         + style("Strong", "", "<w:rPr><w:i/></w:rPr>", "character")
     )
     out = io.BytesIO()
+    made = [("word/document.xml", f"<w:document {_W}><w:body>{''.join(body)}</w:body></w:document>"), ("word/styles.xml", f"<w:styles {_W}>{styles}</w:styles>")]
+    if doc_id % 8 == 0:
+        made.append(("word/settings.xml", f'<w:settings {_W}><w:documentProtection w:enforcement="{int(doc_id % 16 == 0)}"/></w:settings>'))
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
-        for name, part in (("word/document.xml", f"<w:document {_W}><w:body>{''.join(body)}</w:body></w:document>"), ("word/styles.xml", f"<w:styles {_W}>{styles}</w:styles>")):
+        for name, part in made:
             box.writestr(zipfile.ZipInfo(name), part.encode("utf-8"))
     return out.getvalue() if doc_id % 50 != 7 else out.getvalue()[:-30]
 
@@ -99,7 +105,8 @@ def q49b_cells(spark: SparkSession, folder: str) -> DataFrame:
     cells = documents.cells(nodes)
     formats = documents.cell_formats(nodes).withColumns({n: F.regexp_extract("cell", r"tr\[([0-9]+)\]/tc\[([0-9]+)\]$", i).cast("int") for i, n in ((1, "row_index"), (2, "column_index"))})
     met = cells.join(documents.table_shapes(cells), ["doc_id", "table_index"]).join(formats.drop("cell"), ["doc_id", "row_index", "column_index"], "left").join(numbers, "doc_id")
-    return met.select(F.col("number").alias("doc_id"), "cell_id", "cell_role", "n_rows", "n_columns", "n_cells", "has_bold", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+    met = met.join(documents.cell_paragraphs(nodes).select("doc_id", "cell_id", "vertical_alignment", "fact_id", "element_id"), ["doc_id", "cell_id"])
+    return met.select(F.col("number").alias("doc_id"), "vertical_alignment", "fact_id", "element_id", "cell_id", "cell_role", "n_rows", "n_columns", "n_cells", "has_bold", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
 
 
 def q49c_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -108,6 +115,31 @@ def q49c_runs(spark: SparkSession, folder: str) -> DataFrame:
     return documents.run_formats(nodes).join(numbers, "doc_id").select(F.col("number").alias("doc_id"), "element_id", "run_index", "slot", "value_str", "source")
 
 
+def q49d_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each file and whether it has a table of contents, forms, revisions, protection."""
+    nodes, _, numbers = _scanned(spark, folder)
+    found = documents.document_summary(nodes).join(numbers, "doc_id")
+    return found.select(F.col("number").alias("doc_id"), "n_parts", "n_paragraphs", "n_tables", "n_sections", "has_toc", "has_forms", "has_revisions", "has_protection")
+
+
+def q49e_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of files before and after a repair: which changed, and whether raw writes to them are verified."""
+    docs = table(spark, folder, "documents")
+    before, after = scratch(spark, "before"), scratch(spark, "after")
+    written(docs, before)
+    written(docs, after, fixed=True)
+    of = lambda f: settled(documents.parts(spark, f).select(_number(F.col("file")).alias("run_id"), "part_name", "sha256"), "parts")
+    a, b = of(before), of(after)
+    k = F.col("run_id")
+    xml = F.concat(F.lit("<w:p>"), k.cast("string"), F.lit("</w:p>"))
+    actions = a.select(
+        F.concat_ws("|", "run_id", "part_name").alias("action_id"), "run_id", F.concat(F.lit("/"), F.col("part_name")).alias("part"), F.when(k % 11 == 0, "//w:p").otherwise("/w:document[1]/w:body[1]").alias("xpath"), xml.alias("xml"),
+        F.when(k % 13 == 0, "0").otherwise(F.sha2(xml, 256)).alias("xml_sha256"), F.when(k % 17 == 0, 2).otherwise(1).alias("expected_match_count"), F.when(k % 19 == 0, "0").otherwise(F.col("sha256")).alias("precondition_sha256"),
+    )
+    found = repair.raw_writes(actions, a, b)
+    return found.select(F.split("action_id", r"\|")[0].cast("long").alias("doc_id"), F.split("action_id", r"\|")[1].alias("part_name"), F.coalesce("code", F.lit("verified")).alias("code"))
+
+
 def q50_products(spark: SparkSession, folder: str) -> DataFrame:
     """From a standard's files to verdicts: rules, what a contract lacks, deviations of other files, and how their repair went.
 
@@ -162,14 +194,14 @@ f AS (
   UNION ALL SELECT p.*, 'bold', 'true', 'style_inherit' FROM p WHERE style_id IS NOT NULL)"""
 _ID = "printf('p-%05d', i)"
 
-QUERIES = {"q49_paragraphs": q49_paragraphs, "q49b_cells": q49b_cells, "q49c_runs": q49c_runs, "q50_products": q50_products}
+QUERIES = {"q49_paragraphs": q49_paragraphs, "q49b_cells": q49b_cells, "q49c_runs": q49c_runs, "q49d_summary": q49d_summary, "q49e_parts": q49e_parts, "q50_products": q50_products}
 ORACLE_SQL = {
     "q49_paragraphs": f"""WITH {_LINES}, {_FORMATS}
     SELECT doc_id, {_ID} AS element_id, i::INT AS paragraph_index, style_id, in_cell, slot, value_str, source FROM f
     UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'problem', 'not_a_container', NULL FROM documents WHERE doc_id % 50 = 7""",
     "q49b_cells": f"""WITH {_LINES}
-    SELECT doc_id, printf('table-0001-r%03d-c%03d', (k + 1) // 2, 2 - k % 2) AS cell_id, CASE WHEN k < 3 THEN 'header' WHEN k % 2 = 1 THEN 'field_name' ELSE 'field_value' END AS cell_role,
-      ((n + 1) // 2)::INT AS n_rows, least(n, 2)::INT AS n_columns, n AS n_cells, k < 3 AS has_bold, CASE doc_id % 3 WHEN 0 THEN '9.0' WHEN 1 THEN '9.5' ELSE '10.0' END AS sizes FROM c""",
+    SELECT doc_id, CASE WHEN k < 3 THEN 'center' END AS vertical_alignment, printf('table-0001-r%03d-c%03d-p001', (k + 1) // 2, 2 - k % 2) AS fact_id, printf('p-%05d', coalesce(len(ls), 0) + k) AS element_id, printf('table-0001-r%03d-c%03d', (k + 1) // 2, 2 - k % 2) AS cell_id, CASE WHEN k < 3 THEN 'header' WHEN k % 2 = 1 THEN 'field_name' ELSE 'field_value' END AS cell_role,
+      ((n + 1) // 2)::INT AS n_rows, least(n, 2)::INT AS n_columns, n AS n_cells, k < 3 AS has_bold, CASE doc_id % 3 WHEN 0 THEN '9.0' WHEN 1 THEN '9.5' ELSE '10.0' END AS sizes FROM c JOIN s USING (doc_id)""",
     "q49c_runs": f"""WITH {_LINES},
     r AS (
       SELECT p.*, 'font_size_pt' AS slot, CASE WHEN in_cell THEN CASE doc_id % 3 WHEN 0 THEN '9.0' WHEN 1 THEN '9.5' ELSE '10.0' END WHEN n % 5 = 0 THEN '12.0' WHEN style_id IS NOT NULL THEN '16.0' ELSE '10.5' END AS value_str,
@@ -177,6 +209,14 @@ ORACLE_SQL = {
       UNION ALL SELECT p.*, 'bold', 'true', CASE WHEN in_cell OR stop THEN 'direct' ELSE 'style_inherit' END FROM p WHERE (in_cell AND k < 3) OR stop OR style_id IS NOT NULL
       UNION ALL SELECT p.*, 'italic', 'true', 'style_inherit' FROM p WHERE n % 7 = 0)
     SELECT doc_id, {_ID} AS element_id, 1 AS run_index, slot, value_str, source FROM r""",
+    "q49d_summary": f"""WITH {_LINES}
+    SELECT doc_id, 2::BIGINT + (doc_id % 8 = 0)::INT AS n_parts, len(ls) + coalesce(n, 0) AS n_paragraphs, (n IS NOT NULL)::BIGINT AS n_tables, 0::BIGINT AS n_sections, doc_id % 5 = 0 AS has_toc, doc_id % 6 = 0 AS has_forms, doc_id % 9 = 0 AS has_revisions, doc_id % 16 = 0 AS has_protection
+    FROM s LEFT JOIN (SELECT doc_id, max(n) AS n FROM c GROUP BY doc_id) USING (doc_id)""",
+    "q49e_parts": f"""WITH {_LINES},
+    h AS (SELECT doc_id, bool_or(length(line) % 3 = 1) AS changed FROM l GROUP BY doc_id),
+    q AS (SELECT doc_id, unnest(['word/document.xml', 'word/styles.xml', CASE WHEN doc_id % 8 = 0 THEN 'word/settings.xml' END]) AS part_name FROM d)
+    SELECT doc_id, part_name, CASE WHEN doc_id % 17 = 0 THEN 'match_count' WHEN doc_id % 11 = 0 THEN 'xpath' WHEN doc_id % 13 = 0 THEN 'payload_hash' WHEN doc_id % 19 = 0 THEN 'precondition' WHEN part_name = 'word/document.xml' AND changed THEN 'verified' ELSE 'part_unchanged' END AS code
+    FROM q LEFT JOIN h USING (doc_id) WHERE part_name IS NOT NULL""",
     "q50_products": f"""WITH {_LINES}, {_FORMATS},
     g AS (SELECT *, CASE WHEN in_cell THEN 'cell' WHEN i = 1 THEN 'title' ELSE 'body' END AS role_kind, CASE source WHEN 'direct' THEN 0.98 WHEN 'style_inherit' THEN 0.9 ELSE 0.85 END AS sure FROM f),
     v AS (SELECT role_kind, slot, value_str, count(*) AS c, sum(sure) / count(*) AS sure FROM g WHERE doc_id % 3 = 0 GROUP BY ALL),

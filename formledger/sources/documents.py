@@ -7,6 +7,7 @@ windows and aggregations over nodes.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from ..functions import scalars
 from ..operators import facts
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-PARTS = ("word/document.xml", "word/styles.xml", "word/numbering.xml")
+PARTS = ("word/document.xml", "word/styles.xml", "word/numbering.xml", "word/settings.xml")
 MAX_NODES = 200_000  #: of one document; larger ones become a problem row
 MAX_BYTES = 256 << 20
 NODES = "doc_id string, file string, part_name string, pos long, path string, parent_path string, node_type string, text string, attributes map<string,string>, problem string, size_bytes long"
@@ -111,6 +112,60 @@ def cells(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", scalars.cell_id(F.col("table_index"), F.col("row_index"), F.col("column_index")).alias("cell_id"), "table_index", "row_index", "column_index", scalars.cell_role(F.col("row_index"), F.col("column_index")).alias("cell_role"))
 
 
+def cell_paragraphs(nodes: DataFrame) -> DataFrame:
+    """doc_id, cell_id, vertical_alignment, fact_id, element_id, style_id, text_preview: the paragraphs below each cell, those of tables inside it too.
+
+    A paragraph belongs to each cell around it and is numbered there in document order.
+    """
+    body = nodes.where(F.col("part_name") == PARTS[0])
+    vertical = body.where((F.col("node_type") == "vAlign") & F.col("parent_path").endswith("/tcPr[1]")).select("doc_id", F.regexp_replace("parent_path", r"/tcPr\[1\]$", "").alias("cell_path"), F.col("attributes")["val"].alias("vertical_alignment"))
+    around = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/")), lambda x: x.rlike(r"/tc\[[0-9]+\]$"))
+    inner = paragraphs(nodes).where("in_cell").withColumn("cell_path", F.explode(around))
+    places = body.where("node_type = 'tc'").select("doc_id", F.col("path").alias("cell_path"), F.regexp_extract("path", r"^(.*/tbl\[[0-9]+\])/tr\[[0-9]+\]/tc\[[0-9]+\]$", 1).alias("table"), *[F.regexp_extract("path", r"/tr\[([0-9]+)\]/tc\[([0-9]+)\]$", i).cast("int").alias(n) for i, n in ((1, "r"), (2, "c"))])
+    tables = body.where("node_type = 'tbl'").select("doc_id", F.col("path").alias("table"), F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("t"))
+    named = places.join(tables, ["doc_id", "table"]).select("doc_id", "cell_path", scalars.cell_id(F.col("t"), F.col("r"), F.col("c")).alias("cell_id"))
+    rows = named.join(vertical, ["doc_id", "cell_path"], "left").join(inner, ["doc_id", "cell_path"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "cell_id").orderBy("paragraph_index"))
+    return rows.select("doc_id", "cell_id", "vertical_alignment", F.format_string("%s-p%03d", F.col("cell_id"), nth).alias("fact_id"), "element_id", "style_id", "text_preview")
+
+
+def document_summary(nodes: DataFrame) -> DataFrame:
+    """doc_id, counts of nodes, parts, paragraphs, tables and sections, and whether a document has a table of contents, forms, revisions, protection."""
+    kind, a = F.col("node_type"), F.col("attributes")
+    is_toc = (kind == "instrText") & F.upper(F.trim("text")).startswith("TOC") | (kind == "fldSimple") & F.upper(F.trim(a["instr"])).startswith("TOC") | (kind == "docPartGallery") & (a["val"] == "Table of Contents")
+    has = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    here = F.col("part_name") == PARTS[0]
+    count = lambda k: F.count_if((kind == k) & here)
+    return nodes.groupBy("doc_id").agg(
+        F.count("*").alias("n_nodes"),
+        F.countDistinct("part_name").alias("n_parts"),
+        count("p").alias("n_paragraphs"),
+        count("tbl").alias("n_tables"),
+        count("sectPr").alias("n_sections"),
+        has(is_toc).alias("has_toc"),
+        has(kind.isin("sdt", "ffData")).alias("has_forms"),
+        has(kind.isin("ins", "del", "moveFrom", "moveTo", "rPrChange", "pPrChange")).alias("has_revisions"),
+        has((kind == "documentProtection") & ~F.coalesce(a["enforcement"], F.lit("1")).isin("0", "false")).alias("has_protection"),
+    )
+
+
+def parts(spark: SparkSession, folder: str, glob: str = "*.docx") -> DataFrame:
+    """file, part_name, sha256, size_bytes of every part of every container; other files have none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                try:
+                    with zipfile.ZipFile(io.BytesIO(row.content)) as box:
+                        found = [(row.path, n, hashlib.sha256(c := box.read(n)).hexdigest(), len(c)) for n in box.namelist()]
+                except zipfile.BadZipFile:
+                    found = []
+                yield pd.DataFrame(found, columns=["file", "part_name", "sha256", "size_bytes"])
+
+    return files.mapInPandas(run, "file string, part_name string, sha256 string, size_bytes long")
+
+
 def table_shapes(cell_rows: DataFrame) -> DataFrame:
     return cell_rows.groupBy("doc_id", "table_index").agg(F.max("row_index").alias("n_rows"), F.max("column_index").alias("n_columns"), F.count("*").alias("n_cells"))
 
