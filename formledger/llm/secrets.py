@@ -2,7 +2,7 @@
 
 Base spans: matches of three patterns, leftmost and without overlap for each kind.  Further spans come from strings of an
 encoding's letters (those of base64 or of base64url, at least ``LEAST`` of them, so a name and ``=`` before a value aren't part
-of it; a run of more than ``LONGEST`` letters is tested in parts of so many).  For each of these the narrowest alphabet that holds it is its
+of it; runs of any length are one string, whose neighbours are compared in pieces of ``PIECE`` letters).  For each of these the narrowest alphabet that holds it is its
 encoding (digits, hex, base32, letters and digits, base64).  Three statistics are taken in that alphabet: chi-squared
 uniformity of the letters, the number of runs above and below the alphabet's middle, and the serial correlation of
 neighbours.  A secret looks random, so the hypothesis to be refuted is structure: each statistic is compared with what words
@@ -29,9 +29,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))  #: kind, pattern, least length of what counts
 LEAST = 20
-LONGEST = 4096
+PIECE = 4096
 #: A candidate has the letters of base64 or those of its form for addresses; first those that take a whole run of letters.
-ENCODED = r"(?:[A-Za-z0-9+/]{20,4096}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9_-]{20,4096}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/]{20,4096}+|[A-Za-z0-9_-]{20,4096}+)={0,2}"
+ENCODED = r"(?:[A-Za-z0-9+/]{20,}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/]{20,}+|[A-Za-z0-9_-]{20,}+)={0,2}"
 CHUNK = 256  #: matches of a text whose places are summed at once
 LEVEL = 0.01  #: share of false findings in each stratum
 BINS = 400  #: of p-values, on a log scale
@@ -110,9 +110,7 @@ def battery(strings: DataFrame, string: str = "match") -> DataFrame:
         letters = F.when(s.rlike(pattern), alphabet).otherwise(letters)
     out = strings.withColumn("encoding", name).withColumn("letters", letters).where(F.col("encoding").isNotNull())
     out = out.withColumn("body", F.rtrim(s, F.lit("="))).withColumn("m", F.length("letters").cast("double"))
-    # values of the letters, scaled to mean 0 and variance 1 for random strings
-    values = F.transform(F.split("body", ""), lambda c: F.instr(F.col("letters"), c).cast("double") - 1)
-    out = out.withColumn("values", F.filter(values, lambda v: v >= 0)).withColumn("n", F.size("values").cast("double"))
+    out = out.withColumn("n", F.length("body").cast("double"))
     without = lambda i: F.replace(F.col("body"), F.substring(F.col("letters"), i, F.lit(1)), F.lit(""))
     counts = F.transform(F.sequence(F.lit(1), F.col("m").cast("int")), lambda i: (F.length("body") - F.length(without(i))).cast("double"))
     expected = F.col("n") / F.col("m")
@@ -120,13 +118,20 @@ def battery(strings: DataFrame, string: str = "match") -> DataFrame:
     out = out.withColumn("chi", chi).withColumn("df", F.col("m") - 1)
     # the variance of the statistic for few letters a cell: 2 (m - 1) (1 - 1 / n)
     out = out.withColumn("z_uniform", (F.col("chi") - F.col("df")) / F.sqrt(2 * F.col("df") * (1 - 1 / F.col("n"))))
-    high = F.transform("values", lambda v: (v >= F.col("m") / 2).cast("double"))
-    out = out.withColumn("high", high).withColumn("next", F.slice("high", F.lit(2), F.size("high")))
-    changes = _sum(F.zip_with(F.slice("high", F.lit(1), F.size("high") - 1), F.col("next"), lambda a, b: F.abs(a - b)))
+    # neighbours: letters are ASCII, so pieces are cut by bytes; each has the next one's first letter too
+    piece = lambda i: F.substring(F.col("body").cast("binary"), i * PIECE + 1, F.lit(PIECE + 1)).cast("string")
+    values = lambda i: F.transform(F.split(piece(i), ""), lambda c: F.instr(F.col("letters"), c).cast("double") - 1)
+    ahead = lambda v: F.slice(v, F.lit(2), F.size(v))
+    behind = lambda v: F.slice(v, F.lit(1), F.size(v) - 1)
+    scaled = lambda v: F.transform(v, lambda x: (x - (F.col("m") - 1) / 2) / F.sqrt((F.col("m") * F.col("m") - 1) / 12))  # noqa: E731  mean 0 and variance 1 for random strings
+    high = lambda v: F.transform(v, lambda x: (x >= F.col("m") / 2).cast("double"))
+    pairs = lambda v, f: _sum(F.zip_with(behind(v), ahead(v), f))
+    moves = lambda v: F.struct(pairs(high(v), lambda a, b: F.abs(a - b)).alias("changes"), pairs(scaled(v), lambda a, b: a * b).alias("serial"))
+    letters = lambda v: F.filter(v, lambda x: x >= 0)  # noqa: E731  splitting leaves an empty end
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / PIECE).cast("int")), lambda i: _let(letters(values(i)), moves))
+    out = out.withColumn("pieces", pieces)
+    changes, serial = _sum(F.col("pieces.changes")), _sum(F.col("pieces.serial"))
     out = out.withColumn("z_runs", (changes - (F.col("n") - 1) / 2) / F.sqrt((F.col("n") - 1) / 4))
-    scaled = F.transform("values", lambda v: (v - (F.col("m") - 1) / 2) / F.sqrt((F.col("m") * F.col("m") - 1) / 12))
-    out = out.withColumn("scaled", scaled)
-    serial = _sum(F.zip_with(F.slice("scaled", F.lit(1), F.size("scaled") - 1), F.slice("scaled", F.lit(2), F.size("scaled")), lambda a, b: a * b))
     out = out.withColumn("z_serial", serial / F.sqrt(F.col("n") - 1))
     # what structure gives: a share of repeats that exceeds the uniform one, fewer changes, neighbours alike
     excess = F.greatest(F.lit(0.7), F.col("m") * CONCENTRATION - 1) * (F.col("n") - 1)
@@ -134,7 +139,7 @@ def battery(strings: DataFrame, string: str = "match") -> DataFrame:
     runs = ((F.col("n") - 1) * CHANGES - changes) / (0.4 * F.sqrt(F.col("n") - 1))
     alike = F.col("z_serial") - SERIAL * F.sqrt(F.col("n"))
     score = sum((w * z for w, z in zip(WEIGHTS, (uniform, runs, alike))), F.lit(0.0)) / sum(w * w for w in WEIGHTS) ** 0.5
-    return out.withColumn("p", _below(score)).drop("letters", "body", "m", "values", "n", "chi", "df", "high", "next", "scaled")
+    return out.withColumn("p", _below(score)).drop("letters", "body", "m", "n", "chi", "df", "pieces")
 
 
 def _below(z: Column) -> Column:
