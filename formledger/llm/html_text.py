@@ -18,6 +18,7 @@ any length are read whole; rows may repeat; other columns stay, and added ones g
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -70,7 +71,7 @@ def _closed(html: str) -> list[bool]:
     """For each start tag of an element in SILENT, in order, whether an end tag of its own follows; comments and scripts hold no tags."""
     found: list[bool] = []
     open_: dict[str, list[int]] = {}
-    at = 0
+    at, low, ends = 0, html.lower(), {}  # ends: of a tag the place of its next end tag, as far as it was looked for
     while m := _TAGS.search(html, at):
         at, tag = m.end(), (m.group(2) or "").lower()
         if not tag:
@@ -84,21 +85,27 @@ def _closed(html: str) -> list[bool]:
                 open_[tag] = []
             open_.setdefault(tag, []).append(len(found))
             found.append(False)
-            if tag in ("script", "style") and (end := html.lower().find("</" + tag, at) if "</" in html[at:] else -1) >= 0:
-                at = end
+            if tag in ("script", "style"):
+                if 0 <= ends.get(tag, 0) < at:
+                    ends[tag] = low.find("</" + tag, at)
+                elif tag not in ends:
+                    ends[tag] = low.find("</" + tag, at)
+                at = ends[tag] if ends[tag] >= 0 else at
     return found
 
 
 class _Blocks(HTMLParser):
-    """rows: text, linked characters, heading, marked containers, inside an article, path of open containers.
+    """rows: text, linked characters, heading, innermost marked container, inside an article, innermost container (0: none).
 
-    marked: by container, whether its tag or its words say so; holds: containers that hold an article.
+    above, depth: of each container the one around it and how deep it lies; marked: by container, whether its tag or its words say so;
+    mark_above: of a marked container the next marked one around it; holds: containers that hold an article.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.rows, self.open, self.silent, self.links, self.count = [], [], [], 0, 0
         self.marked, self.holds, self.articles = {}, set(), 0
+        self.above, self.depth, self.mark_above, self.marks, self.tags = [0], [0], {}, [0], Counter()
         self.closed = iter(_closed(html))
         self._begin()
 
@@ -108,8 +115,7 @@ class _Blocks(HTMLParser):
     def _end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            marks = tuple(i for _, i in self.open if i in self.marked)
-            self.rows.append((text, self.linked, self.heading, marks, self.articles > 0, tuple(i for _, i in self.open)))
+            self.rows.append((text, self.linked, self.heading, self.marks[-1], self.articles > 0, self.open[-1][1] if self.open else 0))
         self._begin()
 
     def handle_starttag(self, tag, attrs):
@@ -146,7 +152,13 @@ class _Blocks(HTMLParser):
                         break
                     self.holds.add(i)
             self.count += 1
+            self.above.append(self.open[-1][1] if self.open else 0)
+            self.depth.append(len(self.open) + 1)
+            if self.count in self.marked:
+                self.mark_above[self.count] = self.marks[-1]
+            self.marks.append(self.count if self.count in self.marked else self.marks[-1])
             self.open.append((tag, self.count))
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -168,12 +180,13 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self._end_block()
             self.links = 0
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None:
+        if self.tags[tag]:
+            at = next(i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag)
             if tag not in BLOCKS:
                 self._end_block()
             self.articles -= sum(t in ("article", "main") for t, _ in self.open[at:])
-            del self.open[at:]
+            self.tags.subtract(t for t, _ in self.open[at:])
+            del self.open[at:], self.marks[at + 1 :]
 
     def handle_data(self, data):
         if self.silent:
@@ -206,60 +219,81 @@ def first_label(text: str, linked: int, density: float, known: bool = True) -> i
     return OPEN
 
 
-def _distance(a: tuple, b: tuple) -> int:
-    """Containers that two blocks don't share."""
-    shared = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
+def _shared(page: _Blocks) -> list[int]:
+    """Of each block how many containers it shares with the next one; over a whole page each container is left and entered once."""
+    out = []
+    for a, b in zip(page.rows, page.rows[1:]):
+        x, y = a[5], b[5]
+        while x != y:
+            if page.depth[x] >= page.depth[y]:
+                x = page.above[x]
+            else:
+                y = page.above[y]
+        out.append(page.depth[x])
+    return out
 
 
-def prior(rows: list[tuple], content: list[int | None], marked: dict[int, str], holds: set[int]) -> list[bool]:
+def prior(page: _Blocks, content: list[int | None]) -> list[bool]:
     """Whether what a block is part of makes it bad, whatever its text is."""
-    free = {i for i, kind in marked.items() if kind == "words" and i in holds}
-    bad = [any(i not in free for i in r[3]) for r in rows]
+    rows, marked = page.rows, page.marked
+    free = {i for i, kind in marked.items() if kind == "words" and i in page.holds}
+
+    def judged() -> list[bool]:
+        bad = {0: False}
+        for i, above in page.mark_above.items():  # those around come first
+            bad[i] = i not in free or bad[above]
+        return [bad[r[3]] for r in rows]
+
+    bad = judged()
     if any(x is GOOD and not b for x, b in zip(content, bad)):
         return bad
     # nothing is left: of the elements with such words the one with most good text, unless that is no more than a notice
+    inner, words = {0: 0}, {0: True}
+    for i, above in page.mark_above.items():
+        inner[i] = inner[above] if i in free else i
+        words[i] = words[above] and (i in free or marked[i] != "tag")
     held: dict[int, list[int]] = {}
     for r, x in zip(rows, content):
-        own = [i for i in r[3] if i not in free]
-        if x is GOOD and own and all(marked[i] != "tag" for i in own):
-            held.setdefault(own[-1], []).append(_size(r[0]))
+        if x is GOOD and inner[r[3]] and words[r[3]]:
+            held.setdefault(inner[r[3]], []).append(_size(r[0]))
     most = max(held, key=lambda i: (sum(held[i]), -i), default=None)
     if most is not None and (marked[most] == "article" or len(held[most]) > 1 or sum(held[most]) >= 2 * LONG):
-        above = next(r[3] for r in rows if most in r[3])
-        free |= set(above[: above.index(most) + 1])
-    return [any(i not in free for i in r[3]) for r in rows]
+        while most:
+            free.add(most)
+            most = page.mark_above[most]
+    return judged()
 
 
-def labels(rows: list[tuple], marked: dict[int, str], holds: set[int]) -> list[int]:
+def labels(page: _Blocks) -> list[int]:
     """Both passes."""
+    rows = page.rows
     counts = [_stop_words(r[0]) for r in rows]
     known = sum(stop for stop, _ in counts) >= SPARSE / 2 * sum(n for _, n in counts)
     content = [first_label(r[0], r[1], stop / max(n, 1), known) for r, (stop, n) in zip(rows, counts)]
-    first = [BAD if bad else x for x, bad in zip(content, prior(rows, content, marked, holds))]
+    first = [BAD if bad else x for x, bad in zip(content, prior(page, content))]
     if sum(len(r[0]) for r, x in zip(rows, first) if r[4] and x != BAD) >= SHORT:
         first = [x if r[4] else BAD for r, x in zip(rows, first)]
-    n = len(rows)
-    before, after, last = [None] * n, [None] * n, None
-    for i in range(n):
-        before[i] = last
-        last = i if first[i] is not OPEN else last
-    last = None
-    for i in reversed(range(n)):
-        after[i] = last
-        last = i if first[i] is not OPEN else last
+    n, shared = len(rows), _shared(page)
+    # the nearest decided blocks, and how many containers all blocks up to there share
+    before, after = [None] * n, [None] * n
+    for out, order, step in ((before, range(n), -1), (after, reversed(range(n)), 0)):
+        last, low = None, 0
+        for i in order:
+            if last is not None:
+                low = min(low, shared[i + step])
+                out[i] = (last, low)
+            if first[i] is not OPEN:
+                last, low = i, page.depth[rows[i][5]]
     out = list(first)
-    for i, (_, _, heading, _, inside, path) in enumerate(rows):
+    undecided = all(x is OPEN for x in first)  # a page of short blocks alone: these are its text
+    for i, (_, _, heading, _, inside, own) in enumerate(rows):
         if first[i] is not OPEN:
             continue
         # inside an article what lies outside it says nothing
-        sides = [(2 * _distance(path, rows[j][5]) + abs(i - j) - (heading and j > i), first[j]) for j in (before[i], after[i]) if j is not None and (rows[j][4] or not inside)]
+        near_by = [s for s in (before[i], after[i]) if s is not None and (rows[s[0]][4] or not inside)]
+        sides = [(2 * (page.depth[own] + page.depth[rows[j][5]] - 2 * low) + abs(i - j) - (heading and j > i), first[j]) for j, low in near_by]
         if not sides:
-            out[i] = GOOD if inside else BAD
+            out[i] = GOOD if inside or undecided else BAD
             continue
         near = min(d for d, _ in sides)
         found = {x for d, x in sides if d == near}
@@ -275,7 +309,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser._end_block()
-    return "\n\n".join(r[0] for r, x in zip(parser.rows, labels(parser.rows, parser.marked, parser.holds)) if x == GOOD)
+    return "\n\n".join(r[0] for r, x in zip(parser.rows, labels(parser)) if x == GOOD)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -89,17 +89,22 @@ def test_the_passes_decide_where_nothing_is_marked():
     parser._end_block()
     assert not parser.marked and not parser.holds
     first = [html_text.first_label(r[0], r[1], 0.3) for r in parser.rows]
-    final = html_text.labels(parser.rows, parser.marked, parser.holds)
+    final = html_text.labels(parser)
     assert first.count(html_text.BAD) == 16 and first.count(html_text.GOOD) == 2 and first.count(html_text.OPEN) == 4
     assert sum(a is html_text.OPEN and b == html_text.GOOD for a, b in zip(first, final)) == 2
     assert sum(a is html_text.OPEN and b == html_text.BAD for a, b in zip(first, final)) == 2
     assert html_text.main_text(page) == f"Short heading\n\n{LONG}\n\nYes.\n\n{LONG}"
 
 
+def test_a_page_of_short_blocks():
+    assert html_text.main_text("<html><body><h1>Note</h1><p>Closed today.</p></body></html>") == "Note\n\nClosed today."
+    assert html_text.main_text("<body><nav><a href='x'>Home</a></nav></body>") == ""
+
+
 def test_very_long_pages_take_time_by_their_length():
     import time
 
-    for page in ("<button>" * 200_000, "<div>" * 20_000, "<p>" + LONG * 50_000, "<" * 200_000, f"<p>{LONG}" * 20_000):
+    for page in ("<button>" * 200_000, "<div>" * 20_000, "<p>" + LONG * 50_000, "<" * 200_000, f"<p>{LONG}" * 20_000, "<script>a()</script>" * 20_000 + "<script>" * 20_000, "<div class='sidebar'>text " * 20_000 + f"<p>{LONG}", "<div>text " * 20_000 + "</section>" * 20_000):
         began = time.time()
         html_text.main_text(page)
         assert time.time() - began < 20
