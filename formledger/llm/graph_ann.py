@@ -2,10 +2,11 @@
 
 Vectors are scaled to length 1, so Euclidean order is cosine order.  Equal vectors are one node; its smallest ids go along.
 Nodes of equal length (number of components) are dealt to shards of about ``SHARD`` by a hash; vectors of different lengths have no cosine.  In a shard the nodes join the graph in batches: a greedy search
-from the entry proposes neighbours, and of these the closest is kept and all that are ``ALPHA`` times closer to it than to
+from the nearest of its seeds (a sample of the nodes, so groups without links between them are all entered) proposes neighbours, and of these the closest is kept and all that are ``ALPHA`` times closer to it than to
 the node are dropped, again and again; the edges get their way back under the same rule.  A second pass over all nodes
 follows with the whole graph in place.  The graphs are settled as a table.  Queries visit each shard in blocks of ``BLOCK``, so
-a task holds one shard and one block; each shard gives a query's best by beam search; scores are computed anew in double precision on the original vectors, and the best of all shards are kept.
+a task holds one shard and one block; each shard gives a query's best by beam search, with beams twice as wide until a query's best stay
+the same; distances are doubles, for of tight groups floats can't tell the members apart; scores are computed anew in double precision on the original vectors, and the best of all shards are kept.
 
 Defined results: vectors that are null, empty, zero or with null or non-finite components take no part; a vector is only compared with
 those of its length; ties go to the smaller id; a query never finds its own id, also if its id is there twice; fewer candidates
@@ -24,6 +25,9 @@ from . import common
 SHARD = 20_000  #: nodes in a shard, which one task builds
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 BATCH = 256
+WIDEST = 2048  #: beam at which a query's best are taken as they are
+SEEDS = 8  #: one in so many nodes is a seed, 64 at least
+HELD = 48 << 20  #: bytes of vectors that a step gathers
 BLOCK = 32_768  #: queries that visit a shard at once
 
 
@@ -37,58 +41,90 @@ def _top(distance: np.ndarray, k: int) -> np.ndarray:
 
 
 class Graph:
-    """Nodes are rows of ``x`` (length 1); ``edges`` holds up to DEGREE neighbours of each, -1 where there is none."""
+    """Nodes are rows of ``x`` (length 1); ``edges`` holds up to DEGREE neighbours of each, -1 where there is none; ``seeds`` are where searches begin."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None, entry: int = 0):
-        self.x = np.ascontiguousarray(x, np.float32)
+    def __init__(self, x: np.ndarray, edges: np.ndarray | None = None):
+        self.x = np.ascontiguousarray(x, np.float64)
+        self.order = np.random.Generator(np.random.Philox(7)).permutation(len(self.x))
+        self.seeds = self.order[: max(64, len(self.x) // SEEDS)]
         if edges is not None:
-            self.edges, self.entry = edges, entry
+            self.edges = edges
             return
         self.edges = np.full((len(x), DEGREE), -1, np.int32)
-        self.entry = int(np.argmax(self.x @ self.x.mean(0)))
         self._build()
 
-    def search(self, queries: np.ndarray, beam: int, visited: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, visited: bool = False, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of many queries in lockstep: nodes and distances, nearest first; with ``visited`` all expanded nodes too."""
         n, m = len(self.x), len(queries)
+        seeds = self.seeds if seeds is None else seeds
+        wide = max(1, min(beam // 16, HELD // (m * DEGREE * self.x.shape[1] * 8)))  # nodes expanded in a step
         seen = np.zeros((m, n), bool)
         nodes = np.full((m, beam), -1, np.int64)
-        dist = np.full((m, beam), np.inf, np.float32)
-        nodes[:, 0] = self.entry
-        dist[:, 0] = 1 - queries @ self.x[self.entry]
-        seen[:, self.entry] = True
+        dist = np.full((m, beam), np.inf)
+        far = 1 - queries @ self.x[seeds].T
+        first = _top(far, min(beam // 2, len(seeds)))
+        nodes[:, : first.shape[1]], dist[:, : first.shape[1]] = seeds[first], np.take_along_axis(far, first, 1)
+        seen[np.arange(m)[:, None], seeds[first]] = True
         done = np.zeros((m, beam), bool)
         trail = []
         live = np.arange(m)
         while len(live):
             open_ = np.where(done[live] | (nodes[live] < 0), np.inf, dist[live])
-            at = open_.argmin(1)
-            more = np.isfinite(open_[np.arange(len(live)), at])
-            live, at = live[more], at[more]
+            more = np.isfinite(open_).any(1)
+            live, open_ = live[more], open_[more]
             if not len(live):
                 break
-            done[live, at] = True
-            current = nodes[live, at]
+            at = _top(open_, wide)
+            fine = np.isfinite(np.take_along_axis(open_, at, 1))
+            current = np.where(fine, nodes[live[:, None], at], -1)
+            done[live[:, None], at] = True
             if visited:
-                step = np.full(m, -1, np.int64)
-                step[live] = current
+                step = np.full((m, wide), -1, np.int64)
+                step[live, : current.shape[1]] = current
                 trail.append(step)
-            near = self.edges[current].astype(np.int64)
+            near = np.where(current[:, :, None] >= 0, self.edges[current], -1).reshape(len(live), -1).astype(np.int64)
             fresh = (near >= 0) & ~seen[live[:, None], near]
-            seen[live[:, None], np.where(near >= 0, near, current[:, None])] = True
-            d = np.where(fresh, 1 - np.einsum("md,mkd->mk", queries[live], self.x[near]), np.inf).astype(np.float32)
+            row, column = np.nonzero(fresh)
+            if current.shape[1] > 1:  # a node that two of them lead to counts once
+                _, once = np.unique(row * n + near[row, column], return_index=True)
+                fresh[:] = False
+                row, column = row[once], column[once]
+                fresh[row, column] = True
+            found = near[row, column]
+            seen[live[row], found] = True
+            d = np.full(near.shape, np.inf)
+            d[row, column] = 1 - np.einsum("md,md->m", queries[live[row]], self.x[found])
             all_nodes = np.concatenate([nodes[live], np.where(fresh, near, -1)], 1)
             all_dist = np.concatenate([dist[live], d], 1)
             all_done = np.concatenate([done[live], np.zeros(near.shape, bool)], 1)
             best = _top(all_dist, beam)
             nodes[live], dist[live], done[live] = (np.take_along_axis(a, best, 1) for a in (all_nodes, all_dist, all_done))
         if visited:
-            trail = np.stack(trail, 1)
-            return np.concatenate([nodes, trail], 1), dist
+            return np.concatenate([nodes, *trail], 1), dist
+        return nodes, dist
+
+    def best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's nodes and distances, the first k of them settled: wider beams didn't change them."""
+        parts = [self._best(queries[i : i + BATCH], k) for i in range(0, len(queries), BATCH)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _best(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        beam = max(BEAM, k)
+        nodes, dist = self.search(queries, beam)
+        live, width = np.arange(len(queries)), beam
+        while len(live) and beam < min(WIDEST, len(self.x)):
+            beam *= 2
+            new, far = self.search(queries[live], beam)
+            other = (new[:, :k] != nodes[live, :k]).any(1)
+            nodes[live], dist[live] = new[:, :width], far[:, :width]
+            live = live[other]
         return nodes, dist
 
     def _prune(self, owner: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         """Relaxed pruning for many nodes in lockstep: take the closest, drop those that are ALPHA times closer to it than to the node."""
+        size = max(1, HELD // (candidates.shape[1] * self.x.shape[1] * 8))
+        if len(owner) > size:
+            return np.concatenate([self._prune(owner[i : i + size], candidates[i : i + size]) for i in range(0, len(owner), size)])
         own = self.x[owner]
         near = np.where(candidates < 0, owner[:, None], candidates)
         d = 1 - np.einsum("md,mkd->mk", own, self.x[near])
@@ -114,8 +150,8 @@ class Graph:
             d[rows[ok], at[ok]] = np.inf
         return out
 
-    def _join(self, batch: np.ndarray) -> None:
-        found, _ = self.search(self.x[batch], BEAM, visited=True)
+    def _join(self, batch: np.ndarray, seeds: np.ndarray) -> None:
+        found, _ = self.search(self.x[batch], BEAM, visited=True, seeds=seeds)
         found = np.concatenate([found, self.edges[batch].astype(np.int64)], 1)
         self.edges[batch] = self._prune(batch, found)
         # the way back: those with room append, the full ones prune again
@@ -142,18 +178,13 @@ class Graph:
                 self.edges[targets[part]] = self._prune(targets[part], both[part])
 
     def _build(self) -> None:
-        order = np.random.Generator(np.random.Philox(7)).permutation(len(self.x))
-        size, at = 1, 0
+        order, at = self.order, 1
         while at < len(order):  # batches grow with the graph
-            self._join(order[at : at + size])
+            size = min(BATCH, at)
+            self._join(order[at : at + size], self.seeds[:at])
             at += size
-            size = min(BATCH, max(1, at))
         for at in range(0, len(order), BATCH):
-            self._join(order[at : at + BATCH])
-
-    def nearest(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.search(queries[i : i + BATCH], beam) for i in range(0, len(queries), BATCH)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            self._join(order[at : at + BATCH], self.seeds)
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -171,7 +202,7 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
     shards = nodes.groupBy(F.size("v").alias("size")).agg(F.greatest(F.lit(1), F.round(F.count("*") / shard)).cast("long").alias("shards"))
     shards = common.narrow(common.settled(shards, "ann-shards"))
     dealt = nodes.withColumn("size", F.size("v")).join(shards, "size").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards"))).select("size", "shard", "v", "ids")
-    graphs = common.settled(dealt.groupBy("size", "shard").applyInPandas(_built, "size int, shard long, x binary, ids binary, counts binary, edges binary, entry int"), "ann-graphs")
+    graphs = common.settled(dealt.groupBy("size", "shard").applyInPandas(_built, "size int, shard long, x binary, ids binary, counts binary, edges binary"), "ann-graphs")
     queries = common.settled(rows.where(is_query(F.col("id"))).distinct(), "ann-queries")
     blocks = max(1, -(-queries.count() // BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -184,8 +215,8 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
         counts, ids = np.frombuffer(g["counts"], np.int64), np.frombuffer(g["ids"], np.int64)
         x, q = np.frombuffer(g["x"]).reshape(len(counts), -1), np.stack(block["v"].tolist())
         long_x, long_q = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-        index = Graph(x / long_x[:, None], np.frombuffer(g["edges"], np.int32).reshape(len(x), DEGREE), int(g["entry"]))
-        found, _ = index.nearest((q / long_q[:, None]).astype(np.float32), BEAM)
+        index = Graph(x / long_x[:, None], np.frombuffer(g["edges"], np.int32).reshape(len(x), DEGREE))
+        found, _ = index.best(q / long_q[:, None], 2 * k + 2)
         a, b = np.nonzero(found >= 0)
         node = found[a, b]
         score = np.einsum("md,md->m", q[a], x[node]) / (long_q[a] * long_x[node])
@@ -214,7 +245,7 @@ def _built(index: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(x / np.sqrt((x * x).sum(1))[:, None])
     ids = [np.asarray(i, np.int64) for i in index["ids"]]
     counts = np.array([len(i) for i in ids], np.int64)
-    return pd.DataFrame({"size": [index["size"].iloc[0]], "shard": [index["shard"].iloc[0]], "x": [x.tobytes()], "ids": [np.concatenate(ids).tobytes()], "counts": [counts.tobytes()], "edges": [graph.edges.tobytes()], "entry": [graph.entry]})
+    return pd.DataFrame({"size": [index["size"].iloc[0]], "shard": [index["shard"].iloc[0]], "x": [x.tobytes()], "ids": [np.concatenate(ids).tobytes()], "counts": [counts.tobytes()], "edges": [graph.edges.tobytes()]})
 
 
 def _smallest(rows: DataFrame, k: int) -> DataFrame:

@@ -67,3 +67,16 @@ def test_recall_of_the_query(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     hits = sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want)
     assert hits / (5 * len(want)) >= 0.9
+
+
+def test_groups_without_links_and_tight_groups(spark):
+    draw = np.random.default_rng(5)
+    apart = draw.normal(size=(8, 32))[draw.integers(8, size=1600)] + 0.05 * draw.normal(size=(1600, 32))
+    tight = 1 + 1e-4 * draw.normal(size=(800, 32))
+    for x in (apart, tight):
+        rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+        got, want = {}, exact(rows, lambda i: i % 20 == 0, 5)
+        for r in graph_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 20 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(got.get(q, set()) & {v for v, _ in want[q]}) for q in want)
+        assert hits / (5 * len(want)) >= 0.9
