@@ -54,3 +54,22 @@ def test_acceptance(spark):
     assert {(r.status, r.n, tuple(r.ids)) for r in ledger.coverage_summary(tests).collect()} == {("ok", 2, ("t1", "t2")), ("open", 1, ("t3",))}
     rows = spark.createDataFrame([(1, '{"a": [1, {"b": null}], "c": "x"}'), (2, "broken")], "id long, j string")
     assert {(r.json_path, r.value) for r in files.json_paths(rows, "id", "j").collect()} == {("$", '{"a":[1,{"b":null}],"c":"x"}'), ("$.a", '[1,{"b":null}]'), ("$.a[0]", "1"), ("$.a[1]", '{"b":null}'), ("$.a[1].b", "null"), ("$.c", '"x"')}
+
+
+def test_word_files_lie_together_and_are_read_like_single_ones(spark, tmp_path):
+    from formledger.plans import wordfiles
+    from formledger.sources import documents
+
+    docs = spark.createDataFrame([(i, f"Title {i}\n\nbody text {i}.") for i in range(60)], "doc_id long, text string").coalesce(1)
+    files = wordfiles.written(docs, f"file://{tmp_path}/packed")
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) < 5
+    single = tmp_path / "single"
+    single.mkdir()
+    for r in files.collect():
+        (single / r.file.rsplit("/", 1)[1]).write_bytes(r.content)
+    columns = ["doc_id", "part_name", "pos", "path", "parent_path", "node_type", "text", "attributes", "size_bytes"]
+    rows = lambda pair: (sorted(map(str, pair[0].select(columns).collect())), sorted(pair[1].select("doc_id", "problem", "size_bytes").collect()))
+    packed = rows(documents.told_apart(documents.flattened(files)))
+    assert packed == rows(documents.scan(spark, f"file://{single}")) and len(packed[1]) == 2
+    got = lambda df: sorted(df.select("part_name", "sha256", "size_bytes").collect())
+    assert got(documents.parts_of(files)) == got(documents.parts(spark, f"file://{single}"))
