@@ -1,7 +1,8 @@
 """Final acceptances by a decision table: what each kind of ending must and may not hold, its files, gates and log.
 
 An acceptance is a JSON text.  The table says, by branch, what a field needs; an acceptance meets the rows of its own branch, of the
-branch ``*`` and, unless it is a delivery, of ``not_final``.  The table is fixed and small, so the join is a broadcast of some dozens of rows.
+branch ``*`` and, unless it is a delivery, of ``not_final``.  The table is fixed and small: each of its rows is a condition on the columns that
+an acceptance is parsed into, once.
 References of all kinds become one table of (field, path, hash, size) that meets the run's files by path.
 """
 
@@ -62,35 +63,52 @@ def _row(df: DataFrame) -> DataFrame:
     return df.where(F.col("code").isNotNull()).select("run_id", "field", "code")
 
 
+def _wide(acceptances: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Acceptances with a column for each field, and these columns by field: a text is parsed once for all of them."""
+    top = sorted({f.split(".")[0] for f in fields})
+    names = [f"_f{i}" for i in range(len(top))]
+    rows = acceptances.select("*", F.json_object_keys("acceptance").alias("_keys"), F.json_tuple("acceptance", *top).alias(*names))
+    columns = dict(zip(top, map(F.col, names)))
+    for field in fields:
+        head, _, rest = field.partition(".")
+        columns[field] = F.get_json_object(columns[head], f"$.{rest}") if rest else columns[head]
+    return rows, columns
+
+
 def decided(acceptances: DataFrame) -> DataFrame:
     """run_id, field, code for every row of the decision table that an acceptance doesn't meet."""
-    table = F.broadcast(acceptances.sparkSession.createDataFrame(DECISIONS, "branch string, field string, need string, argument string"))
-    kind = _at("acceptance_type")
-    branches = F.concat(F.array(F.lit("*")), F.when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>")), F.when(F.coalesce(kind.isin(*TYPES[1:]), F.lit(False)), F.array(F.lit("not_final"))).otherwise(F.array().cast("array<string>")))
-    rows = acceptances.select("run_id", "acceptance", F.explode(branches).alias("branch")).join(table, "branch")
-    value = F.expr("get_json_object(acceptance, concat('$.', field))")
-    here = F.coalesce(F.array_contains(F.json_object_keys("acceptance"), F.col("field")), F.lit(False))
-    blank = value.isNull() | value.isin("[]", "{}", "")
-    code = (
-        F.when((F.col("need") == "present") & ~here, "required")
-        .when((F.col("need") == "array") & here & (F.coalesce(F.left(value, F.lit(1)), F.lit("")) != "["), "array")
-        .when((F.col("need") == "absent") & here, "not_allowed")
-        .when((F.col("need") == "empty") & ~blank, "not_allowed")
-        .when((F.col("need") == "filled") & blank, "empty")
-        .when((F.col("need") == "equal") & ~value.eqNullSafe(F.col("argument")), "value")
-        .when((F.col("need") == "like") & value.isNotNull() & ~F.expr("coalesce(get_json_object(acceptance, concat('$.', field)), '') RLIKE argument"), "pattern")
-    )
-    return _row(rows.withColumn("code", code))
+    rows, columns = _wide(acceptances, [*(f for _, f, _, _ in DECISIONS), "acceptance_type"])
+    kind = columns["acceptance_type"]
+    of = {"*": F.lit(True), "not_final": F.coalesce(kind.isin(*TYPES[1:]), F.lit(False))}
+    found = []
+    for branch, field, need, argument in DECISIONS:
+        value = columns[field]
+        here = F.coalesce(F.array_contains("_keys", field), F.lit(False))
+        blank = value.isNull() | value.isin("[]", "{}", "")
+        broken, code = {
+            "present": lambda: (~here, "required"),
+            "array": lambda: (here & (F.coalesce(F.left(value, F.lit(1)), F.lit("")) != "["), "array"),
+            "absent": lambda: (here, "not_allowed"),
+            "empty": lambda: (~blank, "not_allowed"),
+            "filled": lambda: (blank, "empty"),
+            "equal": lambda: (~value.eqNullSafe(F.lit(argument)), "value"),
+            "like": lambda: (value.isNotNull() & ~F.coalesce(value, F.lit("")).rlike(argument), "pattern"),
+        }[need]()
+        own = of.get(branch, F.coalesce(kind == branch, F.lit(False)))
+        found.append(F.when(own & broken, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))))
+    return rows.select("run_id", F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("f")).select("run_id", "f.*")
 
 
 def consistent(acceptances: DataFrame) -> DataFrame:
     """run_id, field, code: statuses against blockers, categories and reviews, and the proof of the untouched original."""
-    status, kind = _at("status"), _at("acceptance_type")
-    filled = lambda f: ~(_at(f).isNull() | _at(f).isin("[]", "{}", ""))
-    listed = lambda f: F.coalesce(F.from_json(_at(f), "array<string>"), F.array().cast("array<string>"))
+    proofs = [f"original_docx_proof.{f}" for f in ("initial_sha256", "current_sha256", "initial_size_bytes", "current_size_bytes")]
+    rows, at = _wide(acceptances, ["status", "acceptance_type", "blockers", "blocking_categories", "allowed_warning_categories", "review_result_refs", *proofs])
+    status, kind = at["status"], at["acceptance_type"]
+    filled = lambda f: ~(at[f].isNull() | at[f].isin("[]", "{}", ""))
+    listed = lambda f: F.coalesce(F.from_json(at[f], "array<string>"), F.array().cast("array<string>"))
     unknown = lambda f, known: F.size(F.array_except(listed(f), F.array(*[F.lit(k) for k in known]))) > 0
-    proof = lambda f: _at(f"original_docx_proof.{f}")
-    failed = F.exists(F.coalesce(F.from_json(_at("review_result_refs"), "array<struct<status:string>>"), F.array().cast("array<struct<status:string>>")), lambda x: x["status"] == "failed")
+    proof = lambda f: at[f"original_docx_proof.{f}"]
+    failed = F.exists(F.coalesce(F.from_json(at["review_result_refs"], "array<struct<status:string>>"), F.array().cast("array<struct<status:string>>")), lambda x: x["status"] == "failed")
     delivery = kind == "final_delivery"
     checks = [
         ("acceptance_type", "value", ~F.coalesce(kind.isin(*TYPES), F.lit(False))),
@@ -104,7 +122,7 @@ def consistent(acceptances: DataFrame) -> DataFrame:
         ("review_result_refs", "failed_not_blocked", delivery & failed & ~status.eqNullSafe("blocked")),
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(c).alias("code"))) for f, c, broken in checks]))
-    return acceptances.select("run_id", F.explode(found).alias("f")).select("run_id", "f.*")
+    return rows.select("run_id", F.explode(found).alias("f")).select("run_id", "f.*")
 
 
 _REF = "field string, path string, sha256 string, size_bytes string"
@@ -112,20 +130,23 @@ _REF = "field string, path string, sha256 string, size_bytes string"
 
 def references(acceptances: DataFrame) -> DataFrame:
     """run_id, field, path, sha256, size_bytes (null: not stated), by the branch's fields: triples, objects, lists of objects."""
-    kind = _at("acceptance_type")
+    triples = [f"{p}_{x}" for names in FILES.values() for p in names for x in ("path", "sha256", "size_bytes")]
+    objects = [f"{o}.{x}" for names in OBJECTS.values() for o in names for x in ("path", "sha256", "size_bytes")]
+    rows, at = _wide(acceptances, ["acceptance_type", *triples, *objects, *LISTS.values()])
+    kind = at["acceptance_type"]
     ref = lambda name, path, sha, size: F.struct(name.alias("field"), path.alias("path"), sha.alias("sha256"), size.alias("size_bytes"))
     none = F.array().cast("array<struct<field:string,path:string,sha256:string,size_bytes:string>>")
     parts = []
     for branch in TYPES:
-        own = [ref(F.lit(p), _at(f"{p}_path"), _at(f"{p}_sha256"), _at(f"{p}_size_bytes")) for p in FILES.get(branch, ())]
-        own += [ref(F.lit(o), _at(f"{o}.path"), _at(f"{o}.sha256"), _at(f"{o}.size_bytes")) for o in OBJECTS.get(branch, ())]
+        own = [ref(F.lit(p), at[f"{p}_path"], at[f"{p}_sha256"], at[f"{p}_size_bytes"]) for p in FILES.get(branch, ())]
+        own += [ref(F.lit(o), at[f"{o}.path"], at[f"{o}.sha256"], at[f"{o}.size_bytes"]) for o in OBJECTS.get(branch, ())]
         all_ = F.array(*own) if own else none
         if branch in LISTS:
             name = LISTS[branch]
-            listed = F.coalesce(F.from_json(_at(name), "array<struct<path:string,sha256:string,size_bytes:string>>"), F.array().cast("array<struct<path:string,sha256:string,size_bytes:string>>"))
+            listed = F.coalesce(F.from_json(at[name], "array<struct<path:string,sha256:string,size_bytes:string>>"), F.array().cast("array<struct<path:string,sha256:string,size_bytes:string>>"))
             all_ = F.concat(all_, F.transform(listed, lambda x, i: ref(F.format_string(f"{name}[%d]", i), x["path"], x["sha256"], x["size_bytes"])))
         parts.append(F.when(kind == branch, all_).otherwise(none))
-    return acceptances.select("run_id", F.explode(F.concat(*parts)).alias("r")).select("run_id", "r.*")
+    return rows.select("run_id", F.explode(F.concat(*parts)).alias("r")).select("run_id", "r.*")
 
 
 def file_problems(refs: DataFrame, files: DataFrame) -> DataFrame:

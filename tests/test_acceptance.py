@@ -115,3 +115,15 @@ def test_next_actions(spark):
         "inputs": {("required_inputs:A2", "unresolved"), ("required_inputs:A3", "unresolved"), ("required_inputs:../x", "path")},
         "copied": {("planned_idempotency_key", "not_copied"), ("override_reason", "required"), ("source_result_id", "value")},
     }
+
+
+def test_texts_are_parsed_once_for_all_fields(spark):
+    from formledger.operators import acceptance, nextaction
+
+    of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = spark.createDataFrame([(1, "{}")], "run_id long, acceptance string")
+    nested = sum("." in f for _, f, _, _ in acceptance.DECISIONS)
+    assert "Join" not in of(acceptance.decided(df)) and of(acceptance.decided(df)).count("get_json_object(acceptance") == 0
+    assert of(acceptance.decided(df)).count("get_json_object") <= 2 * nested
+    for plan in (acceptance.consistent(df), acceptance.references(df), nextaction.state_problems(df.withColumnRenamed("acceptance", "state"))):
+        assert "get_json_object(state" not in of(plan) and "get_json_object(acceptance" not in of(plan)
