@@ -33,17 +33,21 @@ def _explode(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
 
 def state_problems(states: DataFrame) -> DataFrame:
     """run_id, field, code: what contradicts the stage or status, and what the next action's kind asks for."""
-    rank, status, kind = ledger.stage_rank(_at("stage")), _at("status"), _at("next_action.kind")
+    # a text is parsed once for all its fields, and so is its next action
+    top = ("stage", "status", "final_acceptance_path", "reporting_result_path", "applied_result_id", "next_action")
+    parsed = states.select("run_id", F.json_tuple("state", *top).alias(*[f"_{f}" for f in top]))
+    rows = parsed.select("*", F.json_object_keys("_next_action").alias("_keys"), F.json_tuple("_next_action", *FIELDS).alias(*[f"_n_{f}" for f in FIELDS]))
+    at, action = lambda f: F.col(f"_{f}"), lambda f: F.col(f"_n_{f}")
+    rank, status, kind = ledger.stage_rank(at("stage")), at("status"), action("kind")
     final, reporting = ledger.STAGES.index("final_acceptance"), ledger.STAGES.index("reporting")
-    here = F.coalesce(F.json_object_keys(F.get_json_object("state", "$.next_action")), F.array().cast("array<string>"))
-    action = lambda f: _at(f"next_action.{f}")
+    here = F.coalesce("_keys", F.array().cast("array<string>"))
     again = kind.isin("retry", "manual_recover")
     run = kind == "run_skill"
     checks = [
         ("stage", "unknown", F.coalesce(rank == ledger.UNKNOWN_STAGE, F.lit(True))),
-        ("final_acceptance_path", "too_early", (rank < final) & _at("final_acceptance_path").isNotNull()),
-        ("final_acceptance_path", "required", status.isin("accepted", "accepted_with_warnings") & _at("final_acceptance_path").isNull()),
-        ("reporting_result_path", "too_early", (rank < reporting) & _at("reporting_result_path").isNotNull()),
+        ("final_acceptance_path", "too_early", (rank < final) & at("final_acceptance_path").isNotNull()),
+        ("final_acceptance_path", "required", status.isin("accepted", "accepted_with_warnings") & at("final_acceptance_path").isNull()),
+        ("reporting_result_path", "too_early", (rank < reporting) & at("reporting_result_path").isNotNull()),
         ("next_action.kind", "unknown", ~F.coalesce(kind.isin(*KINDS), F.lit(False))),
         *[(f"next_action.{f}", "required", ~F.array_contains(here, f)) for f in FIELDS],
         *[(f"next_action.{f}", "empty", run & _blank(action(f))) for f in ("stage", "skill_name")],
@@ -51,9 +55,9 @@ def state_problems(states: DataFrame) -> DataFrame:
         ("next_action.target_result_id", "empty", again & _blank(action("target_result_id")) & _blank(action("target_error_code"))),
         ("next_action.resume_from_stage", "empty", again & _blank(action("resume_from_stage"))),
         ("next_action.resume_from_stage", "too_late", again & ~_blank(action("resume_from_stage")) & (ledger.stage_rank(action("resume_from_stage")) > rank)),
-        ("next_action.source_result_id", "value", _at("applied_result_id").isNotNull() & ~action("source_result_id").eqNullSafe(_at("applied_result_id"))),
+        ("next_action.source_result_id", "value", at("applied_result_id").isNotNull() & ~action("source_result_id").eqNullSafe(at("applied_result_id"))),
     ]
-    return _explode(states, checks)
+    return _explode(rows, checks)
 
 
 def error_codes(results: DataFrame) -> DataFrame:
