@@ -9,7 +9,6 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +45,28 @@ def heaviest_increasing(values: list[int], weights: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _stay(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("_e")
-    kept = heaviest_increasing(part["_a"].tolist(), part["_w"].tolist())
-    return part.iloc[kept][["_g", "_stretch"]]
+def _stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_g, _stretch of what stays of each piece; rows (_g, _piece, _stretch, _a, _w) come by piece, in the expected order.
+
+    Pieces are many and mostly small, so a batch holds those of many; one that is longer than a batch goes on in the next.
+    """
+    now, values, weights, of = None, [], [], []
+    for batch in batches:
+        groups, stretches = [], []
+        for g, piece, stretch, a, w in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (g, piece):
+                kept = heaviest_increasing(values, weights)
+                groups += [now[0] for _ in kept]
+                stretches += [of[i] for i in kept]
+                now, values, weights, of = (g, piece), [], [], []
+            values.append(a)
+            weights.append(w)
+            of.append(stretch)
+        kind = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(groups, kind), pa.array(stretches, pa.int64())], names=["_g", "_stretch"])
+    if now is not None:
+        kept = heaviest_increasing(values, weights)
+        yield pa.RecordBatch.from_arrays([pa.array([now[0] for _ in kept], kind), pa.array([of[i] for i in kept], pa.int64())], names=["_g", "_stretch"])
 
 
 def moved(common: DataFrame, group: str, element: str, expected: str, actual: str, rows: int = numbering.ROWS) -> DataFrame:
@@ -75,7 +92,8 @@ def moved(common: DataFrame, group: str, element: str, expected: str, actual: st
     tangled = settled.join(single, ["_g", "_piece"], "left_semi")
     kind = common.schema[group].dataType
     schema = T.StructType([T.StructField("_g", kind), T.StructField("_stretch", T.LongType())])
-    stays = tangled.groupBy("_g", "_piece").applyInPandas(_stay, schema)
+    laid_by_piece = tangled.repartition("_g", "_piece").sortWithinPartitions("_g", "_piece", "_e")
+    stays = laid_by_piece.select("_g", "_piece", "_stretch", "_a", "_w").mapInArrow(_stay, schema)
     goes = tangled.select("_g", "_stretch").join(stays, ["_g", "_stretch"], "left_anti")
     return placed.join(goes, ["_g", "_stretch"], "left_semi").select(F.col("_g").alias(group), F.col("_x").alias(element))
 

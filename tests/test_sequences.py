@@ -71,6 +71,23 @@ def test_one_of_many_moved(spark):
     assert sorted((r.x, r.change) for r in got) == [(5, "moved"), (2900, "moved")]
 
 
+def test_pieces_share_batches(spark):
+    """Many small pieces, and one longer than a batch: no call for each piece."""
+    rows = [(g, x, x) for g in range(60) for x in range(4)] + [(99, x, x) for x in range(40)]
+    at = {0: 1, 1: 0, 2: 2, 3: 3}
+    turned = [(g, x, at[x] if g < 60 else (x + 1) % 40) for g, x, _ in rows]
+    make = lambda data: spark.createDataFrame(data, "g long, x long, at long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = sequences.order_changes(make(rows), make(turned), "g", "x", "at", rows=50)
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {c for _, _, c in got} == {"moved"} and sorted(g for g, _, _ in got) == [*range(60), 99]
+    assert (99, 39, "moved") in got
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
 def test_field_changes(spark):
     a = spark.createDataFrame([("get", "allow", None), ("set", "allow", "x"), ("old", "deny", "y")], "name string, policy string, reason string")
     b = spark.createDataFrame([("get", "allow", None), ("set", "deny", None)], "name string, policy string, reason string")
