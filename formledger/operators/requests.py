@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..sources import files
 from ..sources.tables import settled
 from . import repair
 
@@ -88,9 +87,10 @@ def native() -> Column:
 def batches(ops: DataFrame, plans: DataFrame) -> DataFrame:
     """run_id, sequence, batch (canonical JSON) rebuilt from operations and plans (run_id, plan_sha256, before_sha256).
 
-    A batch holds at most ``repair.BATCH`` operations, which bounds what is gathered into one row.
+    A batch holds at most ``repair.BATCH`` operations, which bounds what is gathered into one row.  Operations are written first: laying
+    them out reads them three times, and each time would parse all actions.
     """
-    placed = ops.withColumn("_alone", F.col("risk_class") == "L3_WRITE").withColumnRenamed("position", "_order")
+    placed = settled(ops, "operations").withColumn("_alone", F.col("risk_class") == "L3_WRITE").withColumnRenamed("position", "_order")
     numbered = repair.batches(placed, "run_id", "_order", "_alone")
     rows = numbered.join(plans.select("run_id", "plan_sha256", "before_sha256"), "run_id")
     number = F.format_string("%03d-%03d", F.col("batch"), F.col("position"))
@@ -138,12 +138,43 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     b = actual.select("run_id", "sequence", scalars.canonical_json(without_run_fields(F.col("batch"))).alias("_b"))
     off = settled(a.join(b, ["run_id", "sequence"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))), "differing-batches")
     one_sided = off.where("_a IS NULL OR _b IS NULL").select("run_id", "sequence", F.lit("$").alias("json_path"), F.col("_a").alias("expected"), F.col("_b").alias("actual"))
-    both = off.where("_a IS NOT NULL AND _b IS NOT NULL").withColumn("batch_key", F.to_json(F.struct("run_id", "sequence")))
-    leaf = (F.left("value", F.lit(1)).isin("{", "[") == F.lit(False)) | F.col("value").isin("{}", "[]")
-    side = lambda c: files.json_paths(both, "batch_key", c).where(leaf).withColumnRenamed("value", c)
-    met = side("_a").join(side("_b"), ["batch_key", "json_path"], "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
-    named = met.join(both.select("batch_key", "run_id", "sequence"), "batch_key")
-    return one_sided.unionByName(named.select("run_id", "sequence", "json_path", F.col("_a").alias("expected"), F.col("_b").alias("actual")))
+    both = off.where("_a IS NOT NULL AND _b IS NOT NULL")
+    return one_sided.unionByName(_inside(both))
+
+
+def _leaf(text: Column) -> Column:
+    return ~F.left(text, F.lit(1)).isin("{", "[") | text.isin("{}", "[]")
+
+
+def _below(text: Column) -> Column:
+    """What is one step below a JSON value: step (``.key`` or ``[place]``) -> JSON text; empty for what has nothing below."""
+    v = F.try_parse_json(text)
+    fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    named = F.transform(fields, lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("k"), F.to_json(e["value"]).alias("t")))
+    listed = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("k"), F.to_json(x).alias("t")))
+    none = F.array().cast("array<struct<k:string,t:string>>")
+    return F.map_from_entries(F.when(F.left(text, F.lit(1)) == "{", named).when(F.left(text, F.lit(1)) == "[", listed).otherwise(none))
+
+
+def _inside(both: DataFrame) -> DataFrame:
+    """Values that differ in pairs of texts (run_id, sequence, _a, _b): level by level, only below values that differ, and without a join."""
+    whole = lambda c: F.to_json(F.try_parse_json(c)).alias(c)
+    level = both.select("run_id", "sequence", F.lit("$").alias("json_path"), whole("_a"), whole("_b"))
+    found = []
+    while True:
+        now = settled(level.where(~F.col("_a").eqNullSafe(F.col("_b"))), "differing-values")
+        if not now.take(1):
+            break
+        found.append(now)
+        deep = now.where(~_leaf(F.col("_a")) | ~_leaf(F.col("_b"))).select("run_id", "sequence", "json_path", _below(F.coalesce("_a", F.lit(""))).alias("_ma"), _below(F.coalesce("_b", F.lit(""))).alias("_mb"))
+        steps = deep.select("*", F.explode(F.array_union(F.map_keys("_ma"), F.map_keys("_mb"))).alias("_k"))
+        at = lambda m: F.try_element_at(m, F.col("_k"))
+        level = steps.select("run_id", "sequence", F.concat("json_path", "_k").alias("json_path"), at("_ma").alias("_a"), at("_mb").alias("_b"))
+    out = now.limit(0)
+    for part in found:
+        out = out.unionByName(part)
+    own = lambda c, name: F.when(_leaf(F.col(c)), F.col(c)).alias(name)
+    return out.select("run_id", "sequence", "json_path", own("_a", "expected"), own("_b", "actual")).where("expected IS NOT NULL OR actual IS NOT NULL")
 
 
 def first_differences(found: DataFrame) -> DataFrame:

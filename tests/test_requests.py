@@ -87,3 +87,23 @@ def test_native(spark):
     assert got[1] == {"command": "move", "path": "/t2", "to": "/y"}
     assert got[2] == {"command": "raw-set", "path": "/t3", "action": "replace", "xml": "<a/>"}
     assert [(r.position, r.code) for r in requests.raw_problems(ops).collect()] == [(3, "raw_action")]
+
+
+def test_only_what_differs_is_taken_apart(spark, monkeypatch):
+    """Of a batch with many values, those on the way to a difference; one side a value, the other a list or an object."""
+    a = {"ops": [{"k": i, "raw": None} for i in range(300)], "x": {"y": [1, {"z": 2}]}, "only": {}}
+    b = {"ops": [{"k": i, "raw": {} if i == 7 else None} for i in range(301)], "x": {"y": 5}}
+    written, settled = {}, requests.settled
+
+    def counted(df, what):
+        out = settled(df, what)
+        written[what] = written.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(requests, "settled", counted)
+    make = lambda v: spark.createDataFrame([(1, 1, json.dumps(v, sort_keys=True, separators=(",", ":")))], "run_id long, sequence long, batch string")
+    got = sorted(tuple(r)[2:] for r in requests.differences(make(a), make(b)).collect())
+    assert got == sorted(
+        [("$.ops[7].raw", "null", "{}"), ("$.ops[300].k", None, "300"), ("$.ops[300].raw", None, "null"), ("$.x.y", None, "5"), ("$.x.y[0]", "1", None), ("$.x.y[1].z", "2", None), ("$.only", "{}", None)]
+    )
+    assert written["differing-values"] < 20
