@@ -311,3 +311,26 @@ def test_no_depth_is_too_deep(spark):
     assert tree.orphans(nodes, ["/n0"]).count() == 0
     deep = spark.createDataFrame([(1, '{"a":' * 12 + "1" + "}" * 12)], "id long, j string")
     assert files.json_paths(deep, "id", "j").where("value = '1'").first().json_path == "$" + ".a" * 12
+
+
+def test_decided_heavy_writes_arent_joined(spark, monkeypatch):
+    """What an operation says of itself decides before the joins: only open ones are written between them."""
+    import hashlib
+
+    from formledger.operators import repair
+
+    sha = hashlib.sha256(b"x").hexdigest()
+    rows = [(f"o{i}", 1, "L3_WRITE", "set" if i else "raw-set", "/w:body[1]", 1, "x", sha, "R", "document", "p", 1) for i in range(50)]
+    ops = spark.createDataFrame(rows, "operation_id string, run_id long, risk_class string, command string, xpath string, expected_match_count int, xml string, xml_sha256 string, review_id string, part string, precondition_sha256 string, n_in_batch int")
+    decisions = spark.createDataFrame([("R", "approved", sha)], "review_id string, decision_status string, payload_sha256 string")
+    parts = spark.createDataFrame([(1, "document", "q")], "run_id long, part_name string, sha256 string")
+    written, settled = [], repair.settled
+
+    def counted(df, what):
+        out = settled(df, what)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(repair, "settled", counted)
+    got = sorted(tuple(r) for r in repair.heavy_write_problems(ops, decisions, parts).collect())
+    assert got == sorted([(f"o{i}", "heavy_not_raw") for i in range(1, 50)] + [("o0", "heavy_part_changed")]) and written == [1]
