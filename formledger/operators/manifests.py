@@ -15,6 +15,9 @@ Every check is a join by manifest and id or a count of keys, so a manifest with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,7 @@ REPEATED = ("path", "path_kind", "sha256", "size_bytes", "schema_id", "schema_ve
 WHEN_REQUIRED = ("path", "path_kind", "sha256", "size_bytes", "producer_result_id")
 
 M = "manifest_id"
+LOCAL = 100_000  #: edges of a group whose circles are found in one call; larger groups go round by round
 
 
 def _rows(df: DataFrame, entity: str | Column, code: str | Column) -> DataFrame:
@@ -110,15 +114,18 @@ def relation_ends(relations: DataFrame, manifests: DataFrame, artifacts: DataFra
     rows = relations.join(manifests.select(M, "version"), M)
     new = F.col("version") == 2
     known = F.col("relation_type").isin(*RELATIONS) | (~new & F.col("relation_type").isin(*OLD_RELATIONS))
-    types = _codes(rows, "relation_id", [(~F.coalesce(known, F.lit(False)), "relation_type")])
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.when(new, "artifact").otherwise(F.col(f"{s}_type")).alias("object_type"), F.col(f"{s}_id").alias("object_id")) for s in ("source", "target")]))
-    ends = rows.select(M, "relation_id", sides.alias("e")).select(M, "relation_id", "e.*")
-    supported = F.coalesce(F.col("object_type").isin(*OBJECTS), F.lit(False))
+    ends = [F.struct(F.lit(s).alias("side"), F.when(new, "artifact").otherwise(F.col(f"{s}_type")).alias("object_type"), F.col(f"{s}_id").alias("object_id")) for s in ("source", "target")]
+    supported = lambda e: F.coalesce(e["object_type"].isin(*OBJECTS), F.lit(False))
+    named = lambda e: F.concat_ws(".", "relation_id", e["side"])
+    # one pass for what needs no other table, one for what is looked up
+    codes = [F.when(~F.coalesce(known, F.lit(False)), F.struct(F.col("relation_id").cast("string").alias("entity_id"), F.lit("relation_type").alias("code")))]
+    codes += [F.when(~supported(e), F.struct(named(e).alias("entity_id"), F.lit("object_type").alias("code"))) for e in ends]
+    plain = rows.select(M, F.explode(F.array_compact(F.array(*codes))).alias("c")).select(M, "c.*")
+    asked = rows.select(M, "relation_id", F.explode(F.filter(F.array(*ends), supported)).alias("e")).select(M, "relation_id", "e.*")
     ids = artifacts.select(M, F.lit("artifact").alias("object_type"), F.col("artifact_id").alias("object_id"))
     ids = ids.unionByName(evidence.select(M, F.lit("evidence").alias("object_type"), F.col("evidence_id").alias("object_id"))).unionByName(objects.where(~F.col("object_type").isin("artifact", "evidence")).select(M, "object_type", "object_id"))
-    lost = _unresolved(ends.where(supported), ids, "object_type", "object_id")
-    named = F.concat_ws(".", "relation_id", "side")
-    return types.unionByName(_rows(ends.where(~supported), named, "object_type")).unionByName(_rows(lost, named, F.concat(F.col("object_type"), F.lit("_unresolved"))))
+    lost = _unresolved(asked, ids, "object_type", "object_id")
+    return plain.unionByName(_rows(lost, F.concat_ws(".", "relation_id", "side"), F.concat(F.col("object_type"), F.lit("_unresolved"))))
 
 
 def reaching_circles(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -138,13 +145,65 @@ def reaching_circles(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
         now = settled(left, "edges")
 
 
+def _core(edges: list[tuple[str, str]]) -> set[str]:
+    """Nodes that are left when those without a predecessor or without a successor go, until none is left to go."""
+    down, up = {}, {}
+    for a, b in edges:
+        down.setdefault(a, []).append(b)
+        up.setdefault(b, []).append(a)
+
+    def reach(ahead: dict, back: dict) -> set[str]:
+        left, ends = {n: len(to) for n, to in ahead.items()}, [n for n in back if n not in ahead]
+        while ends:
+            for n in back.get(ends.pop(), ()):
+                left[n] -= 1
+                if not left[n]:
+                    ends.append(n)
+        return {n for n, k in left.items() if k}
+
+    return reach(down, up) & reach(up, down)
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, a, b) in the order of their groups to rows (group, node); one group is held at a time."""
+    held, edges = None, []
+    for batch in batches:
+        groups, nodes = [], []
+        for g, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != held:
+                found = _core(edges)
+                groups += [held] * len(found)
+                nodes += found
+                held, edges = g, []
+            edges.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(groups, batch.schema.field(0).type), pa.array(nodes, batch.schema.field(1).type)], names=["group", "node"])
+        schema = batch.schema
+    if edges:
+        found = _core(edges)
+        yield pa.RecordBatch.from_arrays([pa.array([held] * len(found), schema.field(0).type), pa.array(list(found), schema.field(1).type)], names=["group", "node"])
+
+
 def circles(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """group, node of all nodes in circles or on the way from one to another: what iterated removal from both ends leaves."""
-    return reaching_circles(edges, group, a, b).intersect(reaching_circles(edges, group, b, a))
+    """group, node of all nodes in circles or on the way from one to another: what iterated removal from both ends leaves.
+
+    Groups of up to ``LOCAL`` edges are dealt to tasks and done one by one; only larger ones take rounds over all their edges.
+    """
+    known = settled(edges.select(group, F.col(a).alias("_a"), F.col(b).alias("_b")).dropna(), "edges")
+    large = known.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select(group)
+    some = not large.isEmpty()
+    if some:
+        large = settled(large, "large-groups")
+    small = known.join(large, group, "left_anti") if some else known
+    types = {f.name: f.dataType.simpleString() for f in known.schema}
+    found = small.repartition(group).sortWithinPartitions(group).mapInArrow(_cores, f"group {types[group]}, node {types['_a']}").withColumnRenamed("group", group)
+    if some:
+        rest = known.join(large, group, "left_semi")
+        found = found.unionByName(reaching_circles(rest, group, "_a", "_b").intersect(reaching_circles(rest, group, "_b", "_a")))
+    return found
 
 
 def violations(manifests: DataFrame, artifacts: DataFrame, evidence: DataFrame, depends: DataFrame, relations: DataFrame, results: DataFrame, objects: DataFrame, missing: DataFrame) -> DataFrame:
-    """manifest_id, entity_id, code: everything wrong with each manifest."""
+    """manifest_id, entity_id, code: everything wrong with each manifest; written once, for both rows and statuses read it."""
     own = [
         (F.col("version").isNull() | ~F.col("version").isin(1, 2), "version"),
         (~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status"),
@@ -171,7 +230,7 @@ def violations(manifests: DataFrame, artifacts: DataFrame, evidence: DataFrame,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return settled(out.distinct(), "violations")
 
 
 def statuses(manifests: DataFrame, found: DataFrame) -> DataFrame:

@@ -94,3 +94,24 @@ def test_closed_fields(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"x": 1}, "z": 2}',), ('{"a": null}',), ("[1]",)], "j string")
     need, more = manifests.closed_fields(F.col("j"), ["a", "b"], ["c"])
     assert [(r.n, r.m) for r in df.select(need.alias("n"), more.alias("m")).collect()] == [([], ["z"]), (["b"], []), (["a", "b"], [])]
+
+
+def test_circles_of_small_groups_take_no_rounds(spark, monkeypatch):
+    edges = [(g, str(i), str(i + 1)) for g in range(300) for i in range(40)] + [(g, "40", str(g % 37)) for g in range(0, 300, 3)] + [(1, "x", None), (None, "x", "x")]
+    df = spark.createDataFrame(edges, "g int, a string, b string")
+    want = {(g, str(i)) for g in range(0, 300, 3) for i in range(g % 37, 41)}
+    spark.sparkContext.setJobGroup("circles", "circles")
+    rows = [(r.g, r.node) for r in manifests.circles(df, "g", "a", "b").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("circles")) < 15
+    spark.sparkContext.setJobGroup("others", "others")
+    monkeypatch.setattr(manifests, "LOCAL", 40)  # groups with a circle have 41 edges
+    rows = [(r.g, r.node) for r in manifests.circles(df, "g", "a", "b").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_violations_are_computed_once(spark):
+    made = {t: spark.createDataFrame([], schema) for t, schema in TABLES.items()}
+    wrong = manifests.violations(**made)
+    plan = manifests.statuses(made["manifests"], wrong)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan  # the checks' rows are read, not made again
