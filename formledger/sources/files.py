@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rules
-from . import tables
+from . import blobs, tables
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """path, sha256, size_bytes, modified of all files below a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    return blobs.whole(blobs.ranges(spark, folder, glob, hidden=False, of_large=False), folder)
 
 
 def rendered_pages(spark: SparkSession, folder: str, least: int = 50_000) -> DataFrame:
@@ -26,8 +27,22 @@ def rendered_pages(spark: SparkSession, folder: str, least: int = 50_000) -> Dat
 
 def token_scan(spark: SparkSession, folder: str, rules: list[tuple[str, str, bool]], glob: str = "*.md") -> DataFrame:
     """path, token, code: forbidden tokens that a file has, required ones that it lacks; rules are (code, token, forbidden)."""
-    texts = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    checks = [F.when(F.col("value").contains(token) == forbidden, F.struct(F.lit(code).alias("code"), F.lit(token).alias("token"))) for code, token, forbidden in rules]
+    tokens = [token.encode() for _, token, _ in rules]
+    beyond = max([1, *map(len, tokens)]) - 1  # a token may begin in a range and end in the next
+
+    def held(blocks: Iterator[bytes]) -> list[bool]:
+        found, tail = [False] * len(tokens), b""
+        for block in blocks:
+            text = tail + block
+            found = [f or t in text for f, t in zip(found, tokens)]
+            tail = text[-beyond:] if beyond else b""
+        return [f or not t for f, t in zip(found, tokens)]  # an empty token is in every text
+
+    parts = blobs.ranges_of(spark, folder, glob, hidden=False)
+    read = blobs.read_ranges(parts, folder, held, "has", "array<boolean>", beyond)
+    bad = F.when(F.max("problem").isNotNull(), F.raise_error(F.concat_ws(" ", "path", F.max("problem"))))
+    texts = read.groupBy("path").agg(F.coalesce(bad, F.array(*[F.bool_or(F.col("has")[i]) for i in range(len(rules))])).alias("has"))
+    checks = [F.when(F.col("has")[i] == forbidden, F.struct(F.lit(code).alias("code"), F.lit(token).alias("token"))) for i, (code, token, forbidden) in enumerate(rules)]
     return texts.select("path", F.explode(F.array_compact(F.array(*checks))).alias("v")).select("path", "v.token", "v.code")
 
 

@@ -79,3 +79,46 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     assert sorted(r.id for r in once.read(spark, path).collect()) == [0, 1, 2, 3, 4]
     once.write(spark.range(0), f"file://{tmp_path}/none")
     assert once.read(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_a_file_is_hashed_by_tasks_that_read_a_part_each(spark, tmp_path):
+    (tmp_path / "sub dir").mkdir()
+    data = {"a.bin": os.urandom(10_001), "sub dir/b 100%.bin": os.urandom(7_777), "c.bin": b"", "d.bin": b"z" * 1000, ".e.bin": b"hidden", "_f.bin": b"hidden"}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    root = f"file://{tmp_path}"
+    for step in (500, 64, 1 << 20):
+        if step == 64:
+            data["a.bin"] = data["a.bin"][:900]
+            (tmp_path / "a.bin").write_bytes(data["a.bin"])
+            (tmp_path / "sub dir/b 100%.bin").write_bytes(b"")
+            data["sub dir/b 100%.bin"] = b""
+        got = {r.path.removeprefix(root + "/"): (r.sha256, r.size_bytes) for r in blobs.whole(blobs.ranges(spark, root, "*.bin", size=500, hidden=False), root, step).collect()}
+        assert got == {n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in data.items() if d != b"hidden"}
+
+
+def test_inventory_beyond_what_a_row_holds(spark, tmp_path):
+    from formledger.sources import files
+
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate((2 << 30) + 5)  # a hole, read as zeros; binaryFile ends at 2 GB
+    zeros = hashlib.sha256()
+    for _ in range(2048):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(5))
+    (row,) = files.inventory(spark, f"file://{tmp_path}").collect()
+    assert (row.sha256, row.size_bytes) == (zeros.hexdigest(), (2 << 30) + 5) and row.modified is not None
+
+
+def test_tokens_across_ranges_and_few_tasks(spark, tmp_path, monkeypatch):
+    from formledger.sources import files
+
+    for i in range(100):
+        (tmp_path / f"{i}.md").write_text("x" * 9 + ("###" if i % 2 else "#.##") + "é" * 5)
+    monkeypatch.setattr(blobs.ranges_of, "__defaults__", ("*", 10, blobs.LARGEST, True))
+    parts = blobs.ranges_of(spark, f"file://{tmp_path}", "*.md")
+    assert parts.select("n_parts").distinct().collect()[0][0] == 3
+    got = {(r.path.rsplit("/")[-1], r.code) for r in files.token_scan(spark, f"file://{tmp_path}", [("marker", "###", True), ("need", "éé", False), ("none", "é", True)]).collect()}
+    assert got == {(f"{i}.md", "marker") for i in range(1, 100, 2)} | {(f"{i}.md", "none") for i in range(100)}
+    monkeypatch.undo()
+    assert blobs.ranges_of(spark, f"file://{tmp_path}", "*.md").rdd.getNumPartitions() == 1
