@@ -20,9 +20,13 @@ def _texts(spark: SparkSession, folder: str) -> str:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = blobs.opened(path)
+        made = set()
         for batch in batches:
-            for doc_id, sub, text in zip(*(c.to_pylist() for c in batch.columns)):
-                system.create_dir(f"{base}/{sub}", recursive=True)
+            for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                sub = f"{lang}/{doc_id // 5000}"  # folders are listed by tasks, so none holds too many files
+                if sub not in made:
+                    system.create_dir(f"{base}/{sub}", recursive=True)
+                    made.add(sub)
                 with system.open_output_stream(f"{base}/{sub}/{doc_id}.md") as f:
                     f.write(text or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
