@@ -49,8 +49,9 @@ def q51_text_files(spark: SparkSession, folder: str) -> DataFrame:
 def q51b_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Files with size and digest, and the digest of their ranges' tree."""
     path = _texts(spark, folder)
-    own = files.inventory(spark, path, "*.md").select(_doc(), "sha256", "size_bytes")
-    trees = blobs.digests(blobs.ranges(spark, path, "*.md")).select(_doc(), "n_parts", "tree_sha256")
+    parts = blobs.ranges(spark, path, "*.md")  # one reading for both
+    own = blobs.whole(parts, path).select(_doc(), "sha256", "size_bytes")
+    trees = blobs.digests(parts).select(_doc(), "n_parts", "tree_sha256")
     return own.join(trees, "doc_id")
 
 
