@@ -147,6 +147,18 @@ class _Sha256:
         if state is None:
             self.lib.SHA256_Init(self.own)
 
+    @staticmethod
+    def there() -> bool:
+        """Whether this Python shows the functions."""
+        import ctypes
+
+        try:
+            import _hashlib
+
+            return hasattr(ctypes.CDLL(_hashlib.__file__), "SHA256_Init")
+        except (ImportError, OSError, AttributeError):
+            return False
+
     def update(self, block: bytes) -> None:
         self.lib.SHA256_Update(self.own, block, len(block))
 
@@ -160,8 +172,11 @@ class _Sha256:
 
 
 def chained(files: DataFrame, root: str, step: int = STEP) -> DataFrame:
-    """path, sha256 of whole files (path, size_bytes): a chain over the bytes, of which each round's tasks read at most ``step`` and hand on the state."""
-    root = root.rstrip("/")
+    """path, sha256 of whole files (path, size_bytes): a chain over the bytes, of which each round's tasks read at most ``step`` and hand on the state.
+
+    Where no state can be handed on, a task reads its files to their ends, block by block.
+    """
+    root, carried = root.rstrip("/"), _Sha256.there()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(root)
@@ -169,10 +184,10 @@ def chained(files: DataFrame, root: str, step: int = STEP) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                left = min(budget, r["size_bytes"] - r["at"])
+                left = min(budget, r["size_bytes"] - r["at"]) if carried else r["size_bytes"]
                 if not left and r["size_bytes"]:
                     continue  # a later round's
-                own = _Sha256(r["state"])
+                own = _Sha256(r["state"]) if carried else hashlib.sha256()
                 with system.open_input_file(base + r["path"][len(root) :]) as f:
                     f.seek(r["at"])
                     while left:
@@ -181,7 +196,8 @@ def chained(files: DataFrame, root: str, step: int = STEP) -> DataFrame:
                             raise OSError(f"{r['path']} is shorter than listed")
                         own.update(block)
                         left, budget, r["at"] = left - len(block), budget - len(block), r["at"] + len(block)
-                r["state"] = own.state()
+                if carried:
+                    r["state"] = own.state()
                 if r["at"] == r["size_bytes"]:
                     r["sha256"] = own.hexdigest()
             yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)

@@ -122,3 +122,11 @@ def test_tokens_across_ranges_and_few_tasks(spark, tmp_path, monkeypatch):
     assert got == {(f"{i}.md", "marker") for i in range(1, 100, 2)} | {(f"{i}.md", "none") for i in range(100)}
     monkeypatch.undo()
     assert blobs.ranges_of(spark, f"file://{tmp_path}", "*.md").rdd.getNumPartitions() == 1
+
+
+def test_a_python_without_states_hashes_to_the_end(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(data := os.urandom(10_001))
+    monkeypatch.setattr(blobs._Sha256, "there", staticmethod(lambda: False))
+    root = f"file://{tmp_path}"
+    (row,) = blobs.whole(blobs.ranges(spark, root, size=500), root, 700).collect()
+    assert row.sha256 == hashlib.sha256(data).hexdigest()
