@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.tables import settled
 from . import ledger
 
 # Fields that a next action has, kinds, fields that are copied from the applied result.
@@ -26,21 +27,42 @@ def _blank(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
-def _explode(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(c).alias("code"))) for f, c, broken in checks]))
-    return df.select("run_id", F.explode(found).alias("f")).select("run_id", "f.*")
+def _found(checks: list[tuple[str, str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(c).alias("code"))) for f, c, broken in checks]))
 
 
-def state_problems(states: DataFrame) -> DataFrame:
-    """run_id, field, code: what contradicts the stage or status, and what the next action's kind asks for."""
+def _copied(action: Column) -> Column:
+    """The copied fields of a next action, as JSON; what isn't there is null."""
+    return F.struct(*[F.coalesce(F.to_json(F.try_variant_get(action, f"$.{f}", "variant")), F.lit("null")).alias(f) for f in COPIED])
+
+
+def _action(text: str) -> Column:
+    """A text's next action, to be named as a column of its own: then a text is parsed once for all fields."""
+    return F.try_variant_get(F.try_parse_json(text), "$.next_action", "variant")
+
+
+def _differs(a: Column, b: Column) -> Column:
+    """Whether two values, written by ``_copied``, are different: equal texts are equal, and only numbers have several notations."""
+    same = lambda x: F.when(x.rlike("[0-9][.eE]"), F.coalesce(scalars.canonical_json(x), F.lit("null"))).otherwise(x)
+    return F.when(a == b, False).otherwise(same(a) != same(b))
+
+
+def _told(states: DataFrame) -> DataFrame:
+    """A row for each state with all that the checks take of it, so its text is read once.
+
+    found: what contradicts the stage, the status or the action's kind; target: what a retry refers to; applied: the applied result
+    and the copied fields as they stand; inputs: artifacts and paths that the next action asks for.
+    """
     # a text is parsed once for all its fields, and so is its next action
     top = ("stage", "status", "final_acceptance_path", "reporting_result_path", "applied_result_id", "next_action")
-    parsed = states.select("run_id", F.json_tuple("state", *top).alias(*[f"_{f}" for f in top]))
+    parsed = states.select("run_id", "state", F.json_tuple("state", *top).alias(*[f"_{f}" for f in top]))
     rows = parsed.select("*", F.json_object_keys("_next_action").alias("_keys"), F.json_tuple("_next_action", *FIELDS).alias(*[f"_n_{f}" for f in FIELDS]))
     at, action = lambda f: F.col(f"_{f}"), lambda f: F.col(f"_n_{f}")
-    rank, status, kind = ledger.stage_rank(at("stage")), at("status"), action("kind")
+    # under names of their own: a name for a rank is a column, which is computed once for all checks
+    used = _at("applied_result_id")
+    ranks = rows.withColumns({"_kind": _at("next_action.kind"), "_used": used, "_action": F.when(used.isNotNull(), _action("state")), "_rank": ledger.stage_rank(at("stage")), "_resume": ledger.stage_rank(action("resume_from_stage")), "_lack": F.array_except(F.array(*[F.lit(f) for f in FIELDS]), F.coalesce("_keys", F.array().cast("array<string>")))})
+    rank, status, kind = F.col("_rank"), at("status"), action("kind")
     final, reporting = ledger.STAGES.index("final_acceptance"), ledger.STAGES.index("reporting")
-    here = F.coalesce("_keys", F.array().cast("array<string>"))
     again = kind.isin("retry", "manual_recover")
     run = kind == "run_skill"
     checks = [
@@ -49,44 +71,92 @@ def state_problems(states: DataFrame) -> DataFrame:
         ("final_acceptance_path", "required", status.isin("accepted", "accepted_with_warnings") & at("final_acceptance_path").isNull()),
         ("reporting_result_path", "too_early", (rank < reporting) & at("reporting_result_path").isNotNull()),
         ("next_action.kind", "unknown", ~F.coalesce(kind.isin(*KINDS), F.lit(False))),
-        *[(f"next_action.{f}", "required", ~F.array_contains(here, f)) for f in FIELDS],
         *[(f"next_action.{f}", "empty", run & _blank(action(f))) for f in ("stage", "skill_name")],
         *[(f"next_action.{f}", "empty", (run | again) & _blank(action(f))) for f in ("idempotency_key", "planned_idempotency_key")],
         ("next_action.target_result_id", "empty", again & _blank(action("target_result_id")) & _blank(action("target_error_code"))),
         ("next_action.resume_from_stage", "empty", again & _blank(action("resume_from_stage"))),
-        ("next_action.resume_from_stage", "too_late", again & ~_blank(action("resume_from_stage")) & (ledger.stage_rank(action("resume_from_stage")) > rank)),
+        ("next_action.resume_from_stage", "too_late", again & ~_blank(action("resume_from_stage")) & (F.col("_resume") > rank)),
         ("next_action.source_result_id", "value", at("applied_result_id").isNotNull() & ~action("source_result_id").eqNullSafe(at("applied_result_id"))),
     ]
-    return _explode(rows, checks)
+    lacking = F.transform("_lack", lambda f: F.struct(F.concat(F.lit("next_action."), f).alias("field"), F.lit("required").alias("code")))
+    target = F.when(F.col("_kind").isin("retry", "manual_recover"), F.struct(_at("next_action.target_result_id").alias("result_id"), _at("next_action.target_error_code").alias("error_code")))
+    own = F.struct(F.col("_kind").alias("kind"), _at("next_action.override_reason").alias("reason"), _copied(F.col("_action")).alias("fields"))
+    each = F.try_variant_get(F.try_parse_json(_at("next_action.required_inputs")), "$", "array<variant>")
+    text = lambda v: F.schema_of_variant(v) == "STRING"
+    asked = lambda v: F.struct(F.when(text(v), F.try_variant_get(v, "$", "string")).otherwise(F.try_variant_get(v, "$.artifact_id", "string")).alias("artifact_id"), F.when(~text(v), F.try_variant_get(v, "$.path", "string")).alias("path"))
+    return ranks.select("run_id", F.concat(_found(checks), lacking).alias("found"), target.alias("target"), F.when(F.col("_used").isNotNull(), F.struct(F.col("_used").alias("result_id"), own.alias("own"))).alias("applied"), F.transform(each, asked).alias("inputs"))
+
+
+def state_problems(states: DataFrame) -> DataFrame:
+    """run_id, field, code: what contradicts the stage or status, and what the next action's kind asks for."""
+    return _state_problems(_told(states))
+
+
+def _state_problems(told: DataFrame) -> DataFrame:
+    return told.select("run_id", F.explode("found").alias("f")).select("run_id", "f.*")
+
+
+def _codes() -> Column:
+    many = lambda path: F.transform(F.coalesce(F.from_json(_at(path, "result"), "array<struct<code:string>>"), F.array().cast("array<struct<code:string>>")), lambda x: x["code"])
+    return F.array_distinct(F.array_compact(F.concat(F.array(_at("error.code", "result")), many("blockers"), many("gate_check.blockers"))))
 
 
 def error_codes(results: DataFrame) -> DataFrame:
     """run_id, result_id, error_code: of a result's error, its blockers and its gate's blockers."""
-    many = lambda path: F.transform(F.coalesce(F.from_json(_at(path, "result"), "array<struct<code:string>>"), F.array().cast("array<struct<code:string>>")), lambda x: x["code"])
-    codes = F.concat(F.array(_at("error.code", "result")), many("blockers"), many("gate_check.blockers"))
-    return results.select("run_id", "result_id", F.explode(F.array_distinct(F.array_compact(codes))).alias("error_code"))
+    return results.select("run_id", "result_id", F.explode(_codes()).alias("error_code"))
 
 
-def reference_problems(states: DataFrame, results: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """run_id, field, code: targets, error codes and inputs (artifacts: run_id, artifact_id) that aren't there, paths that aren't safe."""
-    again = _at("next_action.kind").isin("retry", "manual_recover")
-    targets = states.where(again).select("run_id", _at("next_action.target_result_id").alias("result_id"), _at("next_action.target_error_code").alias("error_code"))
-    ids = results.select("run_id", "result_id").distinct()
-    named = targets.where(~_blank(F.col("result_id")))
-    lost = named.join(ids, ["run_id", "result_id"], "left_anti").select("run_id", F.lit("next_action.target_result_id").alias("field"), F.lit("unresolved").alias("code"))
-    codes = error_codes(results)
-    asked = targets.where(~_blank(F.col("error_code")))
-    # the target's own codes where there is such a result, those of any result of the run otherwise
-    by_target = asked.join(ids, ["run_id", "result_id"], "left_semi").join(codes, ["run_id", "result_id", "error_code"], "left_anti")
-    by_run = asked.join(ids.withColumnRenamed("run_id", "_run"), (F.col("run_id") == F.col("_run")) & asked["result_id"].eqNullSafe(ids["result_id"]), "left_anti").join(codes.select("run_id", "error_code").distinct(), ["run_id", "error_code"], "left_anti")
-    unknown = by_target.select("run_id").unionByName(by_run.select("run_id")).select("run_id", F.lit("next_action.target_error_code").alias("field"), F.lit("unresolved").alias("code"))
-    inputs = states.select("run_id", F.explode(F.try_variant_get(F.try_parse_json(_at("next_action.required_inputs")), "$", "array<variant>")).alias("v"))
-    text = F.schema_of_variant("v") == "STRING"
-    each = inputs.select("run_id", F.when(text, F.try_variant_get("v", "$", "string")).otherwise(F.try_variant_get("v", "$.artifact_id", "string")).alias("artifact_id"), F.when(~text, F.try_variant_get("v", "$.path", "string")).alias("path"))
+def _met(told: DataFrame, results: DataFrame) -> DataFrame:
+    """run_id, result_id, error_code, is_target and what is known of each result that states refer to.
+
+    here: whether there is such a result; known: whether it has the error code; key_differs, differs: whether the action of a state
+    that applied it isn't its own.  Only results that states refer to are parsed.
+    """
+    schema = told.schema["applied"].dataType["own"].dataType.simpleString()
+    targets = told.where("target IS NOT NULL").select("run_id", "target.result_id", "target.error_code", F.lit(None).cast(schema).alias("own"))
+    applied = told.where("applied IS NOT NULL").select("run_id", "applied.result_id", F.lit(None).cast("string").alias("error_code"), "applied.own")
+    rows = targets.unionByName(applied).join(results.select("run_id", "result_id", "result", F.lit(True).alias("_here")), ["run_id", "result_id"], "left")
+    is_target, here = F.col("own").isNull(), F.coalesce("_here", F.lit(False))
+    rows = rows.select("run_id", "result_id", "error_code", "own", is_target.alias("is_target"), here.alias("here"), F.when(is_target & here & ~_blank(F.col("error_code")), F.array_contains(_codes(), F.col("error_code"))).alias("known"), F.when(~is_target & here, _action("result")).alias("_action"))
+    rows = rows.withColumn("b", F.when(~F.col("is_target") & F.col("here"), _copied(F.col("_action")))).drop("_action")
+    pair = lambda f: _differs(F.col(f"own.fields.{f}"), F.col(f"b.{f}"))
+    key = (F.col("own.kind") == "run_skill") & pair("planned_idempotency_key")
+    other = pair(COPIED[0])
+    for f in COPIED[1:]:
+        other = other | pair(f)
+    rows = rows.select("run_id", "result_id", "error_code", "is_target", "here", "known", F.when(F.col("b").isNotNull(), key).alias("key_differs"), F.when(F.col("b").isNotNull(), _blank(F.col("own.reason")) & other).alias("differs"))
+    # those of one run and result lie together after the join; a flag that holds for one row holds for them all
+    return rows.groupBy("run_id", "result_id", "error_code", "is_target").agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("here", "known", "key_differs", "differs")])
+
+
+def _target_problems(met: DataFrame, results: DataFrame) -> DataFrame:
+    targets = met.where("is_target")
+    asked = ~_blank(F.col("error_code"))
+    own = targets.select("run_id", F.explode(_found([("next_action.target_result_id", "unresolved", ~_blank(F.col("result_id")) & ~F.col("here")), ("next_action.target_error_code", "unresolved", asked & F.col("here") & ~F.col("known"))])).alias("f")).select("run_id", "f.*")
+    # a target that isn't there: the codes of any result of the run
+    lost = targets.where(asked & ~F.col("here")).select("run_id", "error_code").distinct()
+    codes = error_codes(results.join(lost.select("run_id"), "run_id", "left_semi")).select("run_id", "error_code").distinct()
+    unknown = lost.join(codes, ["run_id", "error_code"], "left_anti")
+    return own.unionByName(unknown.select("run_id", F.lit("next_action.target_error_code").alias("field"), F.lit("unresolved").alias("code")))
+
+
+def _input_problems(told: DataFrame, artifacts: DataFrame) -> DataFrame:
+    each = told.select("run_id", F.explode("inputs").alias("i")).select("run_id", "i.*")
     absent = each.where(~_blank(F.col("artifact_id"))).join(artifacts.select("run_id", "artifact_id").distinct(), ["run_id", "artifact_id"], "left_anti")
     absent = absent.select("run_id", F.concat(F.lit("required_inputs:"), F.col("artifact_id")).alias("field"), F.lit("unresolved").alias("code"))
     unsafe = each.where(F.col("path").isNotNull() & scalars.path_problem(F.col("path")).isNotNull()).select("run_id", F.concat(F.lit("required_inputs:"), F.col("path")).alias("field"), F.lit("path").alias("code"))
-    return lost.unionByName(unknown).unionByName(absent).unionByName(unsafe).distinct()
+    return absent.unionByName(unsafe)
+
+
+def _copy_problems(met: DataFrame) -> DataFrame:
+    checks = [("next_action.planned_idempotency_key", "not_copied", F.col("key_differs")), ("next_action.override_reason", "required", F.col("differs"))]
+    return met.where("NOT is_target").select("run_id", F.explode(_found(checks)).alias("f")).select("run_id", "f.*")
+
+
+def reference_problems(states: DataFrame, results: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """run_id, field, code: targets, error codes and inputs (artifacts: run_id, artifact_id) that aren't there, paths that aren't safe."""
+    told = _told(states)
+    return _target_problems(_met(told, results), results).unionByName(_input_problems(told, artifacts)).distinct()
 
 
 def copy_problems(states: DataFrame, results: DataFrame) -> DataFrame:
@@ -94,15 +164,10 @@ def copy_problems(states: DataFrame, results: DataFrame) -> DataFrame:
 
     Fields are compared as canonical JSON, so the notation of numbers and the order of keys don't matter.
     """
-    of = lambda column, path: F.struct(*[F.coalesce(scalars.canonical_json(F.to_json(F.try_variant_get(F.try_parse_json(column), f"{path}.{f}", "variant"))), F.lit("null")).alias(f) for f in COPIED])
-    own = states.where(_at("applied_result_id").isNotNull()).select("run_id", _at("applied_result_id").alias("result_id"), _at("next_action.kind").alias("kind"), _at("next_action.override_reason").alias("reason"), of("state", "$.next_action").alias("a"))
-    rows = own.join(results.select("run_id", "result_id", of("result", "$.next_action").alias("b")), ["run_id", "result_id"])
-    checks = [
-        ("next_action.planned_idempotency_key", "not_copied", (F.col("kind") == "run_skill") & (F.col("a.planned_idempotency_key") != F.col("b.planned_idempotency_key"))),
-        ("next_action.override_reason", "required", (F.col("a") != F.col("b")) & _blank(F.col("reason"))),
-    ]
-    return _explode(rows, checks)
+    return _copy_problems(_met(_told(states), results))
 
 
 def problems(states: DataFrame, results: DataFrame, artifacts: DataFrame) -> DataFrame:
-    return state_problems(states).unionByName(reference_problems(states, results, artifacts)).unionByName(copy_problems(states, results)).distinct()
+    told = settled(_told(states), "told")
+    met = settled(_met(told, results), "met")
+    return _state_problems(told).unionByName(_target_problems(met, results)).unionByName(_input_problems(told, artifacts)).unionByName(_copy_problems(met)).distinct()

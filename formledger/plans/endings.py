@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import acceptance, ledger, nextaction
-from ..sources.tables import table
+from ..sources.tables import settled, table
 
 DEALT = 50_000  #: orders that a task turns into states or acceptances
 # SQL that Spark and DuckDB both run; {{ and }} are braces of JSON.
@@ -34,7 +34,8 @@ def _made(spark: SparkSession, folder: str, sql: str) -> DataFrame:
 
 def q47_next_actions(spark: SparkSession, folder: str) -> DataFrame:
     """What contradicts stages, statuses, results and artifacts in the runs' states."""
-    return nextaction.problems(*(_made(spark, folder, sql) for sql in (STATES, RESULTS, ARTIFACTS)))
+    results = settled(_made(spark, folder, RESULTS), "results")  # two steps read them
+    return nextaction.problems(_made(spark, folder, STATES), results, _made(spark, folder, ARTIFACTS))
 
 
 #: An acceptance's fields by branch come from the order, its files are its lines.

@@ -127,3 +127,22 @@ def test_texts_are_parsed_once_for_all_fields(spark):
     assert of(acceptance.decided(df)).count("get_json_object") <= 2 * nested
     for plan in (acceptance.consistent(df), acceptance.references(df), nextaction.state_problems(df.withColumnRenamed("acceptance", "state"))):
         assert "get_json_object(state" not in of(plan) and "get_json_object(acceptance" not in of(plan)
+
+
+def test_results_are_parsed_only_where_a_state_refers_to_them(spark):
+    states = spark.createDataFrame([("r", "{}")], "run_id string, state string")
+    results = spark.createDataFrame([("r", "R1", "{}")], "run_id string, result_id string, result string")
+    plan = nextaction.copy_problems(states, results)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert plan.count("parseJson(result") == 1 and "parseJson(result" not in below and below.count("parseJson(state") == 1
+
+
+def test_copied_fields_in_other_notations(spark):
+    values = ["1000", "1e3", "1000.0", '"1000"', "0.5", "5e-1", '{"a":1.0,"b":[]}', '{"b":[],"a":1}', '"1.0"', '"x"', "null", None, "true"]
+    same = [{0, 1, 2}, {3}, {4, 5}, {6, 7}, {8}, {9}, {10, 11}, {12}]
+    text = lambda v: '{"applied_result_id":"R1","next_action":{"kind":"wait_user"%s}}' % ("" if v is None else f',"stage":{v}')
+    pairs = [(i, j) for i in range(len(values)) for j in range(len(values))]
+    states = spark.createDataFrame([(f"{i}-{j}", text(values[i])) for i, j in pairs], "run_id string, state string")
+    results = spark.createDataFrame([(f"{i}-{j}", "R1", text(values[j])) for i, j in pairs], "run_id string, result_id string, result string")
+    got = {r.run_id for r in nextaction.copy_problems(states, results).collect()}
+    assert got == {f"{i}-{j}" for i, j in pairs if not any(i in s and j in s for s in same)}
