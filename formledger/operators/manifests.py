@@ -16,6 +16,7 @@ Every check is a join by manifest and id or a count of keys, so a manifest with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,7 @@ REPEATED = ("path", "path_kind", "sha256", "size_bytes", "schema_id", "schema_ve
 WHEN_REQUIRED = ("path", "path_kind", "sha256", "size_bytes", "producer_result_id")
 
 M = "manifest_id"
+SLICE = 25_000_000  #: rows of evidence or relations that are matched at once
 LOCAL = 100_000  #: edges of a group whose circles are found in one call; larger groups go round by round
 
 
@@ -63,6 +65,13 @@ def _unresolved(refs: DataFrame, ids: DataFrame, *on: str) -> DataFrame:
     return refs.join(ids.select(M, *on).distinct(), [M, *on], "left_anti")
 
 
+def _sliced(n_rows: int, *tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """The tables in slices of whole manifests, each with about ``SLICE`` of the rows."""
+    n = max(1, -(-n_rows // SLICE))
+    for i in range(n):
+        yield tables if n == 1 else tuple(t.where(F.pmod(F.xxhash64(M), F.lit(n)) == i) for t in tables)
+
+
 def _twice(df: DataFrame, key: str, code: str) -> DataFrame:
     return _rows(df.groupBy(M, key).agg(F.count("*").alias("n")).where("n > 1"), key, code)
 
@@ -93,11 +102,10 @@ def artifact_fields(artifacts: DataFrame) -> DataFrame:
 
 
 def repeated_fields(evidence: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Evidence whose artifact isn't there, or whose copy of a field differs from the artifact's (the last of several of one id)."""
+    """Evidence whose copy of a field differs from the artifact's (the last of several of one id)."""
     last = artifacts.groupBy(M, "artifact_id").agg(F.max(F.struct("position", *REPEATED)).alias("_own"))
-    rows = evidence.join(last, [M, "artifact_id"], "left")
-    differs = [(F.col("_own").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"_own.{f}")), f"{f}_differs") for f in REPEATED]
-    return _codes(rows, "evidence_id", [*differs, (F.col("_own").isNull(), "artifact_unresolved")])
+    rows = evidence.join(last, [M, "artifact_id"])
+    return _codes(rows, "evidence_id", [(~F.col(f).eqNullSafe(F.col(f"_own.{f}")), f"{f}_differs") for f in REPEATED])
 
 
 def dependencies(depends: DataFrame, artifacts: DataFrame, evidence: DataFrame, results: DataFrame) -> DataFrame:
@@ -106,26 +114,28 @@ def dependencies(depends: DataFrame, artifacts: DataFrame, evidence: DataFrame,
     return _rows(_unresolved(depends, ids[0].unionByName(ids[1]).unionByName(ids[2]), "depends_on"), F.concat_ws(">", "evidence_id", "depends_on"), "dependency_unresolved")
 
 
-def relation_ends(relations: DataFrame, manifests: DataFrame, artifacts: DataFrame, evidence: DataFrame, objects: DataFrame) -> DataFrame:
-    """Relations of unknown types, and their ends that aren't there: each end is looked up among the ids of its type.
+def lookups(relations: DataFrame, manifests: DataFrame, artifacts: DataFrame, evidence: DataFrame, objects: DataFrame) -> DataFrame:
+    """Relations of unknown types, and their ends and the artifacts of evidence that aren't there: each is looked up among the ids of its type.
 
-    In version 2 both ends are artifacts, whatever their types say.
+    In version 2 both ends are artifacts, whatever their types say.  What is wrong in itself has no type, so no id meets it.
     """
     rows = relations.join(manifests.select(M, "version"), M)
     new = F.col("version") == 2
     known = F.col("relation_type").isin(*RELATIONS) | (~new & F.col("relation_type").isin(*OLD_RELATIONS))
-    ends = [F.struct(F.lit(s).alias("side"), F.when(new, "artifact").otherwise(F.col(f"{s}_type")).alias("object_type"), F.col(f"{s}_id").alias("object_id")) for s in ("source", "target")]
-    supported = lambda e: F.coalesce(e["object_type"].isin(*OBJECTS), F.lit(False))
-    named = lambda e: F.concat_ws(".", "relation_id", e["side"])
-    # one pass for what needs no other table, one for what is looked up
-    codes = [F.when(~F.coalesce(known, F.lit(False)), F.struct(F.col("relation_id").cast("string").alias("entity_id"), F.lit("relation_type").alias("code")))]
-    codes += [F.when(~supported(e), F.struct(named(e).alias("entity_id"), F.lit("object_type").alias("code"))) for e in ends]
-    plain = rows.select(M, F.explode(F.array_compact(F.array(*codes))).alias("c")).select(M, "c.*")
-    asked = rows.select(M, "relation_id", F.explode(F.filter(F.array(*ends), supported)).alias("e")).select(M, "relation_id", "e.*")
+    row = lambda side, code, kind, name: F.struct(F.lit(side).cast("string").alias("side"), F.lit(code).cast("string").alias("code"), kind.alias("object_type"), name.alias("object_id"))
+    none, own = F.lit(None).cast("string"), F.col("relation_id").cast("string")
+    asked = [F.when(~F.coalesce(known, F.lit(False)), row(None, "relation_type", none, own))]
+    for side in ("source", "target"):
+        kind = F.when(new, "artifact").otherwise(F.col(f"{side}_type"))
+        supported = F.coalesce(kind.isin(*OBJECTS), F.lit(False))
+        asked.append(F.when(supported, row(side, None, kind, F.col(f"{side}_id"))).otherwise(row(side, "object_type", none, own)))
+    ends = rows.select(M, own.alias("id"), F.explode(F.array_compact(F.array(*asked))).alias("e")).select(M, "id", "e.*")
+    copies = evidence.select(M, F.col("evidence_id").cast("string").alias("id"), none.alias("side"), none.alias("code"), F.lit("artifact").alias("object_type"), F.col("artifact_id").alias("object_id"))
     ids = artifacts.select(M, F.lit("artifact").alias("object_type"), F.col("artifact_id").alias("object_id"))
     ids = ids.unionByName(evidence.select(M, F.lit("evidence").alias("object_type"), F.col("evidence_id").alias("object_id"))).unionByName(objects.where(~F.col("object_type").isin("artifact", "evidence")).select(M, "object_type", "object_id"))
-    lost = _unresolved(asked, ids, "object_type", "object_id")
-    return plain.unionByName(_rows(lost, F.concat_ws(".", "relation_id", "side"), F.concat(F.col("object_type"), F.lit("_unresolved"))))
+    lost = _unresolved(ends.unionByName(copies), ids, "object_type", "object_id")
+    # a relation's own name for its type, with the side for an end
+    return _rows(lost, F.concat_ws(".", "id", "side"), F.coalesce("code", F.concat("object_type", F.lit("_unresolved"))))
 
 
 def reaching_circles(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -213,24 +223,21 @@ def violations(manifests: DataFrame, artifacts: DataFrame, evidence: DataFrame,
     incomplete = [(F.col("status") != "broken", "incomplete_not_broken"), (F.col("gate_status") == "passed", "incomplete_gate_passed")]
     producers = [t.where(F.col("producer_result_id").isNotNull()).select(M, F.col(i).alias("_id"), F.col("producer_result_id").alias("result_id")) for t, i in ((artifacts, "artifact_id"), (evidence, "evidence_id"))]
     inner = depends.join(evidence.select(M, F.col("evidence_id").alias("depends_on")).distinct(), [M, "depends_on"], "left_semi")
-    parts = [
-        _codes(manifests, M, own),
-        _codes(lacking, M, incomplete),
-        _twice(artifacts.where(F.col("artifact_id").isNotNull()), "artifact_id", "artifact_twice"),
-        _twice(evidence.where(F.col("evidence_id").isNotNull()), "evidence_id", "evidence_twice"),
-        forbidden(artifacts, manifests),
-        required_kinds(artifacts, manifests),
-        artifact_fields(artifacts),
-        repeated_fields(evidence, artifacts),
-        _rows(_unresolved(producers[0].unionByName(producers[1]), results, "result_id"), "_id", "producer_unresolved"),
-        dependencies(depends, artifacts, evidence, results),
-        relation_ends(relations, manifests, artifacts, evidence, objects),
-        _rows(circles(inner, M, "evidence_id", "depends_on"), "node", "dependency_circle"),
+    plain = [
+        [_codes(manifests, M, own), _codes(lacking, M, incomplete), required_kinds(artifacts, manifests)],
+        [forbidden(artifacts, manifests), artifact_fields(artifacts), _twice(artifacts.where(F.col("artifact_id").isNotNull()), "artifact_id", "artifact_twice"), _twice(evidence.where(F.col("evidence_id").isNotNull()), "evidence_id", "evidence_twice")],
+        [_rows(_unresolved(producers[0].unionByName(producers[1]), results, "result_id"), "_id", "producer_unresolved")],
+        [dependencies(depends, artifacts, evidence, results)],
+        [_rows(circles(inner, M, "evidence_id", "depends_on"), "node", "dependency_circle")],
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return settled(out.distinct(), "violations")
+    steps = [reduce(DataFrame.unionByName, step) for step in plain]
+    # each step, and each slice of a large one, is written before the next begins, so their shuffles don't lie on disk together;
+    # a code comes from one step, and a manifest lies in one slice, so no row comes from two of them
+    n_evidence, n_relations = evidence.count(), relations.count()
+    steps += [repeated_fields(e, a) for e, a in _sliced(n_evidence, evidence, artifacts)]
+    steps += [lookups(*some) for some in _sliced(n_relations, relations, manifests, artifacts, evidence, objects)]
+    first, *more = [step.distinct() for step in steps]
+    return settled(first, "violations", *more)
 
 
 def statuses(manifests: DataFrame, found: DataFrame) -> DataFrame:

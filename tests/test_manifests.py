@@ -1,6 +1,7 @@
 """Manifests of three generations, references by type, and circles against plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,46 @@ def test_violations_are_computed_once(spark):
     wrong = manifests.violations(**made)
     plan = manifests.statuses(made["manifests"], wrong)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan  # the checks' rows are read, not made again
+
+
+def test_slices_give_the_same_rows(spark, monkeypatch):
+    arts = [artifact(m, f"a{m % 3}", "plan", producer="gone" if m % 4 else "r") for m in range(12)]
+    rows = dict(
+        manifests=[(m, 2 if m == 5 else 1, "pre_acceptance", "complete", "passed") for m in range(12)],
+        artifacts=arts,
+        evidence=[copy_of(a, f"e{i}", size=i % 2) for i, a in enumerate(arts)] + [copy_of(artifact(3, None, "plan"), "n"), copy_of(artifact(3, "zz", "plan"), "x.source")],
+        relations=[(m, "x", "artifact", f"a{i}", "issue", "i", "owns") for m in range(12) for i in range(4)] + [(3, None, "evidence", "e3", "else", None, "fixes"), (3, "x", "evidence", None, "review", "i", "fixes")],
+        results=[(m, "r") for m in range(12)],
+        objects=[(m, "issue", "i") for m in range(0, 12, 2)],
+    )
+    want = found(spark, **rows)
+    assert len(want[0]) == len(set(want[0])) and {c for _, _, c in want[0]} >= {"artifact_unresolved", "evidence_unresolved", "issue_unresolved", "object_type", "relation_type", "size_bytes_differs"}
+    monkeypatch.setattr(manifests, "SLICE", 5)
+    assert found(spark, **rows) == want
+
+
+def test_shuffle_files_go_when_rows_are_written(spark):
+    from pathlib import Path
+
+    from formledger.sources import tables
+
+    def shuffled():
+        return {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*")}
+
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count()
+    before, setting = shuffled(), spark.conf.get(tables.TIDY)
+    rows = tables.settled(df, "tidy", df)
+    assert spark.conf.get(tables.TIDY) == setting
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and rows.count() == 20
+
+
+def test_checks_are_written_one_after_another(spark, monkeypatch):
+    steps = []
+    whole = manifests.settled
+    monkeypatch.setattr(manifests, "settled", lambda df, what, *more: steps.append((what, 1 + len(more))) or whole(df, what, *more))
+    found(spark, manifests=[(1, 1, "pre_acceptance", "complete", "passed")])
+    assert dict(steps)["violations"] >= 6
