@@ -73,3 +73,32 @@ def test_word_files_lie_together_and_are_read_like_single_ones(spark, tmp_path):
     assert packed == rows(documents.scan(spark, f"file://{single}")) and len(packed[1]) == 2
     got = lambda df: sorted(df.select("part_name", "sha256", "size_bytes").collect())
     assert got(documents.parts_of(files)) == got(documents.parts(spark, f"file://{single}"))
+
+
+def test_formats_need_only_their_own_nodes(spark, tmp_path):
+    from formledger.sources import documents
+
+    runs = '<w:r><w:rPr><w:b/><w:sz w:val="30"/></w:rPr><w:t>text</w:t></w:r>'
+    body = f'<w:p><w:pPr><w:pStyle w:val="A"/><w:jc w:val="both"/><w:rPr><w:i/></w:rPr><w:pPrChange><w:pPr><w:ind w:left="9"/></w:pPr></w:pPrChange></w:pPr>{runs}</w:p><w:tbl><w:tr><w:tc><w:p>{runs}</w:p></w:tc></w:tr></w:tbl><w:p/>'
+    styles = '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="21"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:styleId="A"><w:name w:val="a"/><w:basedOn w:val="B"/><w:pPr><w:spacing w:before="40"/></w:pPr></w:style><w:style w:styleId="B"><w:name w:val="b"/><w:rPr><w:b/></w:rPr></w:style>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {W}>{styles}</w:styles>")
+    (tmp_path / "b.docx").write_bytes(b"x")
+    rows = documents.flattened(documents.files_below(spark, f"file://{tmp_path}"))
+    nodes, problems = documents.told_apart(rows)
+    got = lambda df: sorted(map(str, df.collect()))
+    for texts in (True, False):
+        kept, bad = documents.told_apart(documents.format_nodes(rows, texts))
+        assert kept.count() < nodes.count() and got(bad) == got(problems)
+        assert got(documents.paragraph_formats(kept)) == got(documents.paragraph_formats(nodes)) and got(documents.styles(kept)) == got(documents.styles(nodes))
+        columns = [c for c in documents.paragraphs(nodes).columns if texts or c != "text_preview"]
+        assert got(documents.paragraphs(kept).select(columns)) == got(documents.paragraphs(nodes).select(columns))
+
+
+def test_word_files_that_are_read_once_are_not_written(spark, small, monkeypatch):
+    from formledger.plans import wordfiles
+
+    monkeypatch.setattr(wordfiles, "written", None)
+    for name in ("q49d_summary", "q49e_parts", "q50_products"):
+        assert wordfiles.QUERIES[name](spark, small).count() > 0
