@@ -48,7 +48,7 @@ def _differs(a: Column, b: Column) -> Column:
 
 
 def _told(states: DataFrame) -> DataFrame:
-    """A row for each state with all that the checks take of it, so its text is read once.
+    """A row for each state with all that the checks take of it.
 
     found: what contradicts the stage, the status or the action's kind; target: what a retry refers to; applied: the applied result
     and the copied fields as they stand; inputs: artifacts and paths that the next action asks for.
